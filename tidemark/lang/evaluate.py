@@ -312,8 +312,8 @@ class Session:
     def position(self, c: Col) -> tuple[Frame, str]:
         """A frame with the rows' places, from 0, in a column."""
         over = Window.orderBy(*[F.col(f"`{o}`") for o in [*c.frame.by, *c.frame.order]])
-        f = Frame(c.frame.df.withColumn("__at", (F.row_number().over(over) - 1).cast("long")), c.frame.order, c.frame.by)
-        return f, "__at"
+        f = Frame(c.frame.df, c.frame.order, c.frame.by)
+        return f, f.add((F.row_number().over(over) - 1).cast("long"))
 
     def cut(self, c: Col, keep: Callable[[Column], Column]) -> Col:
         f, at = self.position(c)
@@ -693,6 +693,14 @@ class Session:
             if len(v) != len(i):
                 raise LangError(f"lengths {len(v)} and {len(i)}")
             return Vec(v.kind, [x for x, m in zip(v.items, i.items, strict=True) if m])
+        if isinstance(i, Col):
+            if i.kind != "int":
+                raise LangError(f"an index of {kind_of(i)}")
+            f, at = self.position(v if isinstance(v, Col) else self.spread(v))
+            g, to = self.position(i)
+            values = f.df.select(F.col(at).alias("__p"), F.col(f"`{v.name if isinstance(v, Col) else '__x'}`").alias("__w"))
+            places = g.df.select(F.col(to).alias("__q"), i.x.alias("__p"))
+            return Col(Frame(places.join(values, "__p"), ["__q"]), "__w", v.kind)
         if isinstance(v, Col):
             n = self.fn_count(v) if any(x < 0 for x in (i.items if isinstance(i, Vec) else [i])) else 0
             wanted = [x + n if x < 0 else x for x in (i.items if isinstance(i, Vec) else [i])]

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def smooth(values, alpha: float, start: float | None = None) -> list[float]:
@@ -24,23 +24,23 @@ def ema(df: DataFrame, alpha: float, value: str, order: list[str], by: list[str]
     by = by or []
     dealt = df.repartition(*by) if by else df.repartition(1)
     ordered = dealt.sortWithinPartitions(*by, *order)
-    schema = df.withColumn(name, F.lit(0.0)).schema
+    schema = T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, last = None, None
         for b in batches:
-            if not len(b):
-                continue
-            codes = b[by].apply(tuple, axis=1).tolist() if by else [()] * len(b)
-            out, start = [0.0] * len(b), 0
-            values = b[value].tolist()
-            while start < len(b):
+            values = [float("nan") if v is None else v for v in b.column(b.schema.get_field_index(value)).to_pylist()]
+            codes = list(zip(*(b.column(b.schema.get_field_index(k)).to_pylist() for k in by), strict=True)) if by else [()] * len(values)
+            out, start = [0.0] * len(values), 0
+            while start < len(values):
                 end = start
-                while end < len(b) and codes[end] == codes[start]:
+                while end < len(values) and codes[end] == codes[start]:
                     end += 1
                 got = smooth(values[start:end], alpha, last if key == codes[start] else None)
                 out[start:end] = got
                 key, last, start = codes[start], got[-1], end
-            yield b.assign(**{name: out})
+            kept = [b.column(i) for i, n in enumerate(b.schema.names) if n != name]
+            # Arrow keeps NaN apart from null, which pandas doesn't.
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64())], names=schema.names)
 
-    return ordered.mapInPandas(run, schema)
+    return ordered.mapInArrow(run, schema)
