@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.ship import ship
+
 
 def smooth(values, alpha: float, start: float | None = None) -> list[float]:
     """e0 = v0 (or from ``start`` on), e = alpha v + (1 - alpha) e; NaN spreads."""
@@ -22,6 +24,7 @@ def ema(df: DataFrame, alpha: float, value: str, order: list[str], by: list[str]
     """``df`` with ``name``. Rows are dealt by ``by`` and sorted within partitions; the loop streams
     over batches and holds one number a series, so a long series needs no memory."""
     by = by or []
+    ship(df.sparkSession)
     dealt = df.repartition(*by) if by else df.repartition(1)
     ordered = dealt.sortWithinPartitions(*by, *order)
     schema = T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, T.DoubleType())])
