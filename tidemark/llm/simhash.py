@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.ship import ship
+
 from .common import cut, map_text
 from .components import components
 
@@ -123,6 +125,7 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
     fewer; a pair may come more than once."""
     if most > 3:
         raise ValueError("the segments hold for at most 3 differing bits")
+    ship(distinct.sparkSession)
 
     def run(batches, which):
         for batch in batches:

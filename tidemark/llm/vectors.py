@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.ship import ship
+
 from .common import cut
 from .components import components
 
@@ -155,6 +157,7 @@ def near_duplicates(
     with one id and vector count once; no rows give no rows.
     """
     spark = df.sparkSession
+    ship(spark)
     rows = df.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{embedding}`").alias("v"))
     usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     nodes = cut(rows.filter(usable).distinct().groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "nodes")

@@ -14,6 +14,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.ship import ship
+
 from .common import cut
 
 #: A file is closed when it has so many bytes.
@@ -61,6 +63,7 @@ def write(
     Every attempt of a task writes files of its own names; only those that the returned table, which
     is written once, names are ever read, so lost executors leave nothing half-read.
     """
+    ship(df.sparkSession)
     rows = df.select(
         F.col(f"`{page_id}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"), F.coalesce(F.encode(F.col(f"`{html}`"), "UTF-8"), F.lit(b"")).alias("payload")
     ).withColumn("sha", F.sha1("payload"))
@@ -245,6 +248,7 @@ def read(files: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    ship(files.sparkSession)
     schema = StructType.fromDDL(FIELDS)
     arrow = to_arrow_schema(schema)
     paths = files.select("path").filter("path is not null")
