@@ -160,11 +160,17 @@ def stream(outer: Column) -> Column:
 
 
 def suffixes(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, page, at, run): each place of each page's token stream and the ``depth`` tokens from
-    it on: the host's suffixes, as deep as they need to be sorted to find long runs."""
+    """(host, page, run, lo, hi): each place of each page's token stream and the ``depth`` tokens
+    from it on: the host's suffixes, as deep as they need to be sorted to find long runs. lo to hi
+    are the places that the run covers if it is repeated: all of them inside one block, else those
+    of the blocks that it holds whole, from its first border to its last."""
     s = pages.select("host", "page", stream(F.col("outer")).alias("s")).filter(F.size("s") >= depth)
     at = s.select("host", "page", F.transform("s", lambda x: x["w"]).alias("w"), F.explode(F.sequence(F.lit(1), F.size("s") - depth + 1)).alias("at"))
-    return at.select("host", "page", "at", F.array_join(F.slice("w", F.col("at"), depth), " ").alias("run"))
+    runs = at.select("host", "page", "at", F.slice("w", F.col("at"), depth).alias("r"))
+    first, last = F.array_position("r", "\n"), F.array_position(F.reverse("r"), "\n")
+    lo = F.col("at") + F.when(first > 0, first - 1).otherwise(0)
+    hi = F.col("at") + F.when(last > 0, depth - last).otherwise(depth - 1)
+    return runs.select("host", "page", F.array_join("r", " ").alias("run"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
 
 def repeated(runs: DataFrame) -> DataFrame:
@@ -179,8 +185,8 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", page_id: str =
 
     Where a page has an article, its blocks are the text, less those in elements that are
     boilerplate by kind, class, id or role. Elsewhere the blocks outside such elements are, less
-    every run of ``depth`` tokens or more that distinct pages of the host share; of a block that is
-    covered in part the unique runs stay. A run that pages' articles share is no boilerplate: a
+    every run of ``depth`` tokens or more that distinct pages of the host share; of a block that has
+    such a run inside, the unique runs stay. A run that pages' articles share is no boilerplate: a
     copied article stays whole on each page.
 
     Null and empty pages have text "" and 0; null urls make one host; repeated rows count as one
@@ -199,8 +205,8 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", page_id: str =
     hosts = bare.select("host").distinct()
     runs = suffixes(pages.join(hosts, "host", "left_semi"), depth)
     shared = cut(repeated(runs), "repeated")
-    covered = suffixes(bare, depth).join(shared, ["host", "run"]).groupBy("host", "page").agg(F.collect_set("at").alias("at"))
-    covered = covered.withColumn("at", F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + depth - 1)))))
+    covered = suffixes(bare, depth).join(shared, ["host", "run"]).groupBy("host", "page").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))
+    covered = covered.withColumn("at", F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["lo"], a["hi"])))))
     s = F.transform(stream(F.col("outer")), lambda x, i: F.struct(x["w"].alias("w"), x["b"].alias("b"), (i + 1).alias("at")))
     free = F.filter(s, lambda x: (x["b"] >= 0) & ~F.coalesce(F.array_contains("at", x["at"]), F.lit(False)) & ~F.get("outer", x["b"])["boilerplate"])
     lines = F.transform(F.array_distinct(F.transform("free", lambda x: x["b"])), lambda b: F.array_join(F.transform(F.filter("free", lambda x: x["b"] == b), lambda x: x["w"]), " "))
