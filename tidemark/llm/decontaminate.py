@@ -79,8 +79,10 @@ def decontaminate(
     seeds = h.select("key", F.explode(own).alias("mark")).join(prints, "mark")
     seeds = cut(seeds.groupBy("key").agg(F.collect_set("mark").alias("marks")), "seeds")
 
-    # Extend: the whole windows at the matched marks, compared as words, of one row a text.
-    texts = known.join(seeds, "key").groupBy("key").agg(F.first("t").alias("t"), F.first("marks").alias("marks"))
+    # Extend: the whole windows at the matched marks, compared as words, of one row a text. The
+    # matched texts grow with the documents, so their keys are never broadcast; the filter, which
+    # all keys pass, lets Spark build a Bloom filter of them where the documents are large.
+    texts = known.join(seeds.filter("key > ''").hint("merge"), "key").groupBy("key").agg(F.first("t").alias("t"), F.first("marks").alias("marks"))
     found = texts.select("key", "marks", words(F.col("t")).alias("w")).withColumn("h", hashes(F.col("w")))
     hit = None
     for n in lengths:
@@ -95,7 +97,8 @@ def decontaminate(
     n_words = F.coalesce(F.regexp_count(body, F.lit(ANY_WORD)), F.lit(0)).cast("long")
     out = docs.select(*without(docs, names), n_words.alias("n_words"), text_key(body).alias("__key"))
     kept = out.columns[:-2]
-    out = out.join(hits.select(F.col("key").alias("__key"), F.col("n_hit").alias("__hit"), F.col("item_ids").alias("__items")), "__key", "left")
+    found = hits.select(F.col("key").alias("__key"), F.col("n_hit").alias("__hit"), F.col("item_ids").alias("__items"))
+    out = out.join(found.hint("merge"), "__key", "left")
     ids = F.coalesce("__items", F.array().cast("array<string>"))
     return out.select(
         *(F.col(f"`{c}`") for c in kept), "n_words", F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"),
