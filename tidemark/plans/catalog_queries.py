@@ -312,3 +312,49 @@ column("rate_of_change", lambda x, w: N.fdiv(W.deltas(x, w), N.fdiv(W.deltas(F.c
 def _cor(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders(spark, sf_dir).df
     return o.groupBy("o_orderpriority").agg(F.round(correlation((F.col("ts_ns") / 1000).cast("double"), F.col("o_totalprice")), 6).alias("v"))
+
+
+dialect("agg_count_distinct", "SELECT count(distinct user_id), count(value) FROM events GROUP BY event_type", ["time", "event_type", "u", "n"], f"select cast(null as bigint) as time, event_type, cast(count(distinct user_id) as double) as u, cast(count(value) as double) as n from {E} group by event_type")
+
+
+@frame("line_protocol_roundtrip", f"select t as ts_ns, event_type, user_id, value, event_id from {E}")
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.sources import line_protocol
+
+    e = events(spark, sf_dir).df
+    line = F.concat(F.lit("events,event_type="), "event_type", F.lit(",user_id="), "user_id", F.lit(" value="), F.col("value").cast("string"), F.lit(",event_id="), F.col("event_id").cast("string"), F.lit("i "), F.col("ts_ns").cast("string"))
+    parsed = line_protocol.parse(e.select(line.alias("value")), now_ns=0)
+    return line_protocol.measurement_rows(parsed, "events", ["event_type", "user_id"], {"value": "double", "event_id": "long"})
+
+
+# The array language, end to end: each result must equal what the dialect or SQL says.
+def language(name: str, text: str, columns: list[str], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tidemark.lang.evaluate import Session
+        from tidemark.lang.values import Col, Table
+
+        found = {n: v(spark, sf_dir) for n, v in VIEWS.items()}
+        got = Session(spark, found.get).run(text)
+        if isinstance(got, Col):
+            df = got.frame.df.select(got.x.alias(columns[0]))
+        elif isinstance(got, Table):
+            df = got.dataframe().toDF(*columns)
+        else:
+            df = spark.range(1).select(F.lit(float(got)).alias(columns[0]))
+        return df.select(*(F.round(F.col(c) + 1e-9, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+    QUERIES[name], ORACLE_SQL[name] = run, sql
+
+
+P = f"(select * from {E} where event_type = 'purchase')"
+language("lang_filter", "events.value @ `event_type = `purchase", ["v"], f"select round(value + 1e-9, 6) as v from {P}")
+language("lang_within", "avg events.value within (2024.01.05D00:00; 2024.01.06D00:00)", ["v"], f"select round(avg(value) + 1e-9, 6) as v from {E} where t between 1704412800000000000 and 1704499200000000000")
+language("lang_select", "select avg(value), count(value) from events where event_type in `view`click by (xbar[6h; ts]; event_type)", ["ts", "k", "v", "n"], f"select t // {6 * H} * {6 * H} as ts, event_type as k, round(avg(value) + 1e-9, 6) as v, round(count(value) + 1e-9, 6) as n from {E} where event_type in ('view', 'click') group by 1, 2")
+language("lang_mavg", "mavg[10; events.value @ `event_type = `purchase]", ["v"], f"select round(avg(value) over (order by t, 'events,event_type=' || event_type || ',user_id=' || user_id, event_id rows between 9 preceding and current row) + 1e-9, 6) as v from {P}")
+language("lang_zscore", "v: events.value @ `event_type = `purchase; z: abs (v - avg v) % dev v; z[where z > 1.5]", ["v"], f"select round(abs(value - m) / d + 1e-9, 6) as v from {P}, (select avg(value) as m, stddev_pop(value) as d from {P}) where abs(value - m) / d > 1.5")
+language("lang_spread", "(max events.value) - min events.value", ["v"], f"select round(max(value) - min(value) + 1e-9, 6) as v from {E}")
+language("lang_ema", "ema[0.2; events.value @ `event_type = `error]", ["v"], f"""with recursive o as (select value, row_number() over (order by t, event_id) as n from {E} where event_type = 'error'),
+ e as (select n, value as v from o where n = 1 union all select o.n, 0.2 * o.value + 0.8 * e.v from e join o on o.n = e.n + 1) select round(v + 1e-9, 6) as v from e""")
+language("lang_resample", "resample[12h; events.ts @ `event_type = `click; events.value @ `event_type = `click; sum]", ["ts", "v"], f"select t // {12 * H} * {12 * H} as ts, round(sum(value) + 1e-9, 6) as v from {E} where event_type = 'click' group by 1")
+language("lang_top", "5 # desc events.value", ["v"], f"select round(value + 1e-9, 6) as v from {E} order by value desc limit 5")
+language("lang_lambda", "f: {[a; b] (a * b) + 1}; f[events.value; 2] % 3", ["v"], f"select round((value * 2 + 1) / 3 + 1e-9, 6) as v from {E}")

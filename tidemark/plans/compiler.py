@@ -94,6 +94,10 @@ def compile_select(s: Select, m: Measurement) -> DataFrame:
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(m.ordering())])
     aggs = []
     for a in s.aggs:
+        if a.func == "count_distinct":  # of a tag or a field, as it is
+            known = a.field in m.tags or a.field in m.fields
+            aggs.append((F.count_distinct(F.col(f"`{a.field}`")).cast("double") if known else F.lit(0.0)).alias(a.name))
+            continue
         x = double(F.col(f"`{a.field}`"), m.kind(a.field)) if a.field in m.fields else F.lit(None).cast("double")
         aggs.append(aggregate(a.func, x, order, a.p).alias(a.name))
     tags = [F.coalesce(F.col(f"`{t}`").cast("string"), F.lit("")).alias(t) if t in m.tags else F.lit("").alias(t) for t in s.group]
@@ -105,7 +109,7 @@ def compile_select(s: Select, m: Measurement) -> DataFrame:
     out = keyed.groupBy("time", *names).agg(*aggs) if s.bucket is not None else keyed.groupBy(*names).agg(*aggs).withColumn("time", F.lit(None).cast("long"))
     out = out.select("time", *names, *(F.col(f"`{a.name}`") for a in s.aggs))
     if s.bucket is not None:
-        out = fill(out, s.bucket, s.group, {a.name: a.func == "count" for a in s.aggs}, s.fill)
+        out = fill(out, s.bucket, s.group, {a.name: a.func.startswith("count") for a in s.aggs}, s.fill)
     order = [F.col("time").desc() if s.descending else F.col("time"), *(F.col(f"`{t}`") for t in sorted(s.group))]
     return _page(out.orderBy(*order), s)
 

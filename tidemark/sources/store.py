@@ -184,3 +184,13 @@ class Store:
                     self._fs.delete(status.getPath(), True)
                     dropped.append(f"{name}/{leaf[7:]}")
         return sorted(dropped)
+
+    def maintain(self, retention_seconds: int | None = None) -> dict[str, int]:
+        """One round of upkeep: compact every measurement, then drop what is too old."""
+        compacted = sum(self.compact(name) for name in self.measurements())
+        return {"compacted": compacted, "dropped": len(self.retain(retention_seconds)) if retention_seconds else 0}
+
+    def keep_up(self, stop, every_seconds: float = 60, retention_seconds: int | None = None) -> None:
+        """Upkeep every ``every_seconds`` until the event ``stop`` is set."""
+        while not stop.wait(every_seconds):
+            self.maintain(retention_seconds)
