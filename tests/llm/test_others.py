@@ -278,3 +278,14 @@ def test_pipeline_keeps_rows_without_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = sorted((r["doc_id"] or 0) for r in p.near_dedup_stage(spark, df, SF).collect())
     assert got == [0, 1, 2]
+
+
+def test_audit(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([b + 0.02 * rng.normal(size=(20, 8)) for b in rng.normal(size=(15, 8))]).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    n, _ = brute(x.astype("f8"))
+    asked = n[np.arange(0, len(x), 50)].sum()
+    assert vectors.audit(df, vectors.audited(df)) == (asked, asked)
+    none = df.selectExpr("vec_id", "0L as n_links")
+    assert vectors.audit(df, none) == (0, asked) and vectors.audit(df.filter("false"), none) == (0, 0)

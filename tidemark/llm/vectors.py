@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.ship import ship
@@ -17,6 +17,8 @@ SAMPLE, SHARD, MOST_CENTROIDS = 20_000, 600, 4_096
 #: Out-degree, candidate pool, pruning factor, and beam of the greedy search.
 DEGREE, POOL, ALPHA, BEAM = 32, 64, 1.2, 32
 OVERLAP = 3
+#: Vectors that an audit asks about.
+QUERIES = 512
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -139,6 +141,55 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _rows(df: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, Column]:
+    """(vec_id, v) of every row, and whether a row's vector can link."""
+    rows = df.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{embedding}`").alias("v"))
+    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows, F.col("vec_id").isNotNull() & F.col("v").isNotNull() & whole & F.exists("v", lambda x: x != 0)
+
+
+def audit(df: DataFrame, found: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, every: int = 50, most: int = QUERIES) -> tuple[int, int]:
+    """(links found, links there are) of query rows: those whose id ``every`` divides, at most
+    ``most`` of them by the order of a hash, against all rows by brute force in double precision.
+
+    The queries are a bounded set that every task holds; a task returns a count for each."""
+    rows, usable = _rows(df, vec_id, embedding)
+    rows = rows.filter(usable).distinct()
+    asked = rows.filter(F.col("vec_id") % every == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toPandas()
+    by = {n: (g["vec_id"].to_numpy(), _unit(g["v"])) for n, g in asked.groupby(asked["v"].map(len))} if len(asked) else {}
+    if not by:
+        return 0, 0
+    shared = df.sparkSession.sparkContext.broadcast(by)
+
+    def count(batches):
+        totals: dict[int, int] = {}
+        for b in batches:
+            for n, g in b.groupby(b["v"].map(len)):
+                if (q := shared.value.get(n)) is not None:
+                    hit = q[1] @ _unit(g["v"]).T >= least
+                    hit &= q[0][:, None] != g["vec_id"].to_numpy()[None, :]
+                    for i, c in zip(q[0].tolist(), hit.sum(axis=1).tolist(), strict=True):
+                        if c:
+                            totals[i] = totals.get(i, 0) + c
+        yield pd.DataFrame({"q": list(totals), "c": list(totals.values())}).astype("int64")
+
+    there = rows.mapInPandas(count, "q long, c long").groupBy("q").agg(F.sum("c").alias("c"))
+    ids = df.sparkSession.createDataFrame([(int(i),) for i in asked["vec_id"].unique()], "vec_id long")
+    got = found.join(F.broadcast(ids), "vec_id").select("vec_id", "n_links").distinct()  # ``most`` ids
+    return int(got.agg(F.sum("n_links")).first()[0] or 0), int(there.agg(F.sum("c")).first()[0] or 0)
+
+
+def audited(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, recall: float = 0.95) -> DataFrame:
+    """near_duplicates, its recall measured; while it is under ``recall``, done again with a wider
+    overlap of shards. Fails if the widest doesn't reach it."""
+    for overlap in (OVERLAP, 2 * OVERLAP, 4 * OVERLAP):
+        found = near_duplicates(df, vec_id, embedding, least, overlap=overlap)
+        got, there = audit(df, found, vec_id, embedding, least)
+        if got >= recall * there:
+            return found
+    raise RuntimeError(f"the search found {got} of {there} links of the audited vectors")
+
+
 def near_duplicates(
     df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, shard: int = SHARD, overlap: int = OVERLAP
 ) -> DataFrame:
@@ -158,8 +209,7 @@ def near_duplicates(
     """
     spark = df.sparkSession
     ship(spark)
-    rows = df.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{embedding}`").alias("v"))
-    usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    rows, usable = _rows(df, vec_id, embedding)
     nodes = cut(rows.filter(usable).distinct().groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "nodes")
     total = nodes.count()
     fraction = min(1.0, SAMPLE / max(total, 1))
