@@ -50,11 +50,11 @@ def column(name: str, x: Callable[[Column, object], Column], sql: str) -> None:
     ORACLE_SQL[name] = f"select event_id, round({sql} + 1e-9, 6) as v from {E} window w as (partition by event_type order by t, event_id)"
 
 
-def scalar(name: str, x: Column, sql: str, where: str = "true") -> None:
+def scalar(name: str, x: Callable[[], Column], sql: str, where: str = "true") -> None:
     """One number of all events."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return events(spark, sf_dir).df.filter(where).agg(F.round(x, 6).alias("v"))
+        return events(spark, sf_dir).df.filter(where).agg(F.round(x(), 6).alias("v"))
 
     QUERIES[name], ORACLE_SQL[name] = run, f"select round({sql}, 6) as v from {E} where {where}"
 
@@ -158,41 +158,54 @@ ORACLE_SQL["arr_ema"] = f"""with recursive o as (select event_type, event_id, va
  select event_id, round(v, 6) as v from e"""
 
 # Reductions.
-V = F.col("value")
-scalar("arr_sum", F.coalesce(F.sum(V), F.lit(0.0)), "sum(value)")
-scalar("arr_avg", F.avg(V), "avg(value)")
-scalar("arr_med", F.median(V), "median(value)")
-scalar("arr_dev", F.stddev_pop(V), "stddev_pop(value)")
-scalar("arr_var", F.var_pop(V), "var_pop(value)")
-scalar("arr_pct", nearest_rank(V, 90.0), "list_sort(list(value))[cast(round(0.9 * (count(value) - 1)) as int) + 1]", "event_type = 'click'")
-scalar("arr_wavg", weighted_mean(F.col("event_id").cast("double"), V), "sum(event_id * value) / sum(event_id)")
-scalar("arr_cor", correlation(F.col("event_id").cast("double"), V), "corr(event_id, value)")
-scalar("spread", F.max(V) - F.min(V), "max(value) - min(value)", "event_type = 'view'")
+def V() -> Column:
+    return F.col("value")
+
+
+scalar("arr_sum", lambda: F.coalesce(F.sum(V()), F.lit(0.0)), "sum(value)")
+scalar("arr_avg", lambda: F.avg(V()), "avg(value)")
+scalar("arr_med", lambda: F.median(V()), "median(value)")
+scalar("arr_dev", lambda: F.stddev_pop(V()), "stddev_pop(value)")
+scalar("arr_var", lambda: F.var_pop(V()), "var_pop(value)")
+scalar("arr_pct", lambda: nearest_rank(V(), 90.0), "list_sort(list(value))[cast(round(0.9 * (count(value) - 1)) as int) + 1]", "event_type = 'click'")
+scalar("arr_wavg", lambda: weighted_mean(F.col("event_id").cast("double"), V()), "sum(event_id * value) / sum(event_id)")
+scalar("arr_cor", lambda: correlation(F.col("event_id").cast("double"), V()), "corr(event_id, value)")
+scalar("spread", lambda: F.max(V()) - F.min(V()), "max(value) - min(value)", "event_type = 'view'")
 
 # Elementwise operators, on rows.
-def rows(name: str, cols: dict[str, Column], sql: str) -> None:
+def rows(name: str, cols: Callable[[], dict[str, Column]], sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return events(spark, sf_dir).df.select("event_id", *(c.alias(n) for n, c in cols.items()))
+        return events(spark, sf_dir).df.select("event_id", *(c.alias(n) for n, c in cols().items()))
 
     QUERIES[name], ORACLE_SQL[name] = run, f"select event_id, {sql} from {E}"
 
 
-I, U = F.col("event_id"), F.col("user_id").cast("long")
+def I() -> Column:
+    return F.col("event_id")
+
+
+def U() -> Column:
+    return F.col("user_id").cast("long")
+
+
 u = "cast(user_id as bigint)"
-rows("arr_add", {"a": F.round(V + I, 6), "s": F.round(V - U, 6), "m": F.round(V * 2.5, 6)}, f"round(value + event_id, 6) as a, round(value - {u}, 6) as s, round(value * 2.5, 6) as m")
-rows("arr_div", {"d": F.round(_null_nan(N.fdiv(V, I)) + 1e-9, 6), "z": N.fdiv(V, F.lit(0.0)) == N.INF}, "round(case when event_id <> 0 then value / event_id when value > 0 then 'inf'::double end + 1e-9, 6) as d, value > 0 as z")
-rows("arr_mod", {"i": N.imod(I, U), "n": N.imod(-I, F.lit(7)), "f": F.round(N.fmod(V, F.lit(3.0)), 6)}, f"case when {u} = 0 then 0 else event_id % {u} end as i, -event_id % 7 as n, round(value % 3.0, 6) as f")
-rows("arr_pow", {"p": F.round(F.pow(V / 100, F.lit(2.0)), 6), "r": F.round(F.sqrt(F.abs(V)), 6), "l": F.round(_null_nan(N.flog(V + 1)), 6), "c": N.fround(V, True), "f": N.fround(V, False), "g": N.fsignum(V - 50)}, "round(pow(value / 100, 2), 6) as p, round(sqrt(abs(value)), 6) as r, round(ln(value + 1), 6) as l, ceil(value) as c, floor(value) as f, case when value - 50 >= 0 then 1.0 else -1.0 end::double as g")
-rows("arr_cmp", {"lt": N.compare("<", V, F.lit(50.0)), "ge": N.compare(">=", V, F.lit(50.0)), "eq": N.feq(V, F.lit(50.0)), "nan": N.compare("<=", F.lit(N.NAN), V)}, "value < 50 as lt, value >= 50 as ge, value = 50 as eq, false as nan")
-rows("arr_logic", {"a": (V > 50) & (I % 2 == 0), "o": (V > 90) | (I % 5 == 0), "n": ~(V > 50)}, "value > 50 and event_id % 2 = 0 as a, value > 90 or event_id % 5 = 0 as o, not value > 50 as n")
-rows("arr_xbar", {"x": N.bucket(F.col("ts_ns"), 5 * 60 * 10**9)}, "t // 300000000000 * 300000000000 as x")
-rows("arr_like", {"k": F.col("event_type").rlike("^.*i.?.*$"), "m": F.col("event_type").rlike("^v.*$")}, "event_type like '%i%' as k, event_type like 'v%' as m")
-ts_col = F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000)))
-for part, (x, sql) in {
-    "year": (F.year(ts_col), "year(ts)"), "month": (F.month(ts_col), "month(ts)"), "day": (F.day(ts_col), "day(ts)"), "hour": (F.hour(ts_col), "hour(ts)"),
-    "minute": (F.minute(ts_col), "minute(ts)"), "second": (F.second(ts_col), "second(ts)"), "week": (F.weekofyear(ts_col), "week(ts)"), "dow": (F.weekday(ts_col), "isodow(ts) - 1"),
+rows("arr_add", lambda: {"a": F.round(V() + I(), 6), "s": F.round(V() - U(), 6), "m": F.round(V() * 2.5, 6)}, f"round(value + event_id, 6) as a, round(value - {u}, 6) as s, round(value * 2.5, 6) as m")
+rows("arr_div", lambda: {"d": F.round(_null_nan(N.fdiv(V(), I())) + 1e-9, 6), "z": N.fdiv(V(), F.lit(0.0)) == N.INF}, "round(case when event_id <> 0 then value / event_id when value > 0 then 'inf'::double end + 1e-9, 6) as d, value > 0 as z")
+rows("arr_mod", lambda: {"i": N.imod(I(), U()), "n": N.imod(-I(), F.lit(7)), "f": F.round(N.fmod(V(), F.lit(3.0)), 6)}, f"case when {u} = 0 then 0 else event_id % {u} end as i, -event_id % 7 as n, round(value % 3.0, 6) as f")
+rows("arr_pow", lambda: {"p": F.round(F.pow(V() / 100, F.lit(2.0)), 6), "r": F.round(F.sqrt(F.abs(V())), 6), "l": F.round(_null_nan(N.flog(V() + 1)), 6), "c": N.fround(V(), True), "f": N.fround(V(), False), "g": N.fsignum(V() - 50)}, "round(pow(value / 100, 2), 6) as p, round(sqrt(abs(value)), 6) as r, round(ln(value + 1), 6) as l, ceil(value) as c, floor(value) as f, case when value - 50 >= 0 then 1.0 else -1.0 end::double as g")
+rows("arr_cmp", lambda: {"lt": N.compare("<", V(), F.lit(50.0)), "ge": N.compare(">=", V(), F.lit(50.0)), "eq": N.feq(V(), F.lit(50.0)), "nan": N.compare("<=", F.lit(N.NAN), V())}, "value < 50 as lt, value >= 50 as ge, value = 50 as eq, false as nan")
+rows("arr_logic", lambda: {"a": (V() > 50) & (I() % 2 == 0), "o": (V() > 90) | (I() % 5 == 0), "n": ~(V() > 50)}, "value > 50 and event_id % 2 = 0 as a, value > 90 or event_id % 5 = 0 as o, not value > 50 as n")
+rows("arr_xbar", lambda: {"x": N.bucket(F.col("ts_ns"), 5 * 60 * 10**9)}, "t // 300000000000 * 300000000000 as x")
+rows("arr_like", lambda: {"k": F.col("event_type").rlike("^.*i.?.*$"), "m": F.col("event_type").rlike("^v.*$")}, "event_type like '%i%' as k, event_type like 'v%' as m")
+def calendar(f: Callable[[Column], Column]) -> Callable[[], dict[str, Column]]:
+    return lambda: {"v": f(F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000)))).cast("long")}
+
+
+for part, (f, sql) in {
+    "year": (F.year, "year(ts)"), "month": (F.month, "month(ts)"), "day": (F.day, "day(ts)"), "hour": (F.hour, "hour(ts)"),
+    "minute": (F.minute, "minute(ts)"), "second": (F.second, "second(ts)"), "week": (F.weekofyear, "week(ts)"), "dow": (F.weekday, "isodow(ts) - 1"),
 }.items():
-    rows(f"arr_extract_{part}", {"v": x.cast("long")}, f"cast({sql.replace('ts', 'make_timestamp(t // 1000)')} as bigint) as v")
+    rows(f"arr_extract_{part}", calendar(f), f"cast({sql.replace('ts', 'make_timestamp(t // 1000)')} as bigint) as v")
 
 
 # Structure.
@@ -265,7 +278,7 @@ def _where(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @frame("arr_each", f"select event_id, round(value * value + 1, 6) as v from {E}")
 def _each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.select("event_id", F.round(V * V + 1, 6).alias("v"))
+    return events(spark, sf_dir).df.select("event_id", F.round(V() * V() + 1, 6).alias("v"))
 
 
 @frame("arr_over", f"select event_type, round(sum(value), 6) as s, max(value) as m from {E} group by 1")
