@@ -95,6 +95,12 @@ def test_http(engine):
         assert got["results"][0]["series"][0] == {"name": "cpu", "columns": ["time", "mean(usage)"], "values": [[None, 2.0]]}
         assert json.load(post("/lang", json.dumps({"q": "cpu.usage"})))["values"] == [1.0, 3.0]
         assert json.load(urllib.request.urlopen(base + "/measurements")) == {"measurements": ["cpu"]}
+        live = urllib.request.urlopen(base + "/subscribe?id=a&interval_ms=100&q=sum%20cpu.usage")
+        assert [live.readline() for _ in range(3)][:2] == [b"id: a\n", b'data: {"elapsed_ns": 0, "type": "float", "value": 4.0}\n']
+        assert post("/write", "cpu,host=a usage=5 3").status == 204
+        live.readline()
+        assert json.loads(live.readline()[6:])["value"] == 9.0
+        live.close()
     finally:
         server.shutdown()
 

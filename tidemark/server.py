@@ -1,15 +1,19 @@
-"""A thin HTTP service on an engine: /write, /query, /lang, /status, /measurements, /fields, /health."""
+"""A thin HTTP service on an engine: /write, /query, /lang, /subscribe, /status, /measurements,
+/fields, /health."""
 
 from __future__ import annotations
 
 import json
+import queue
 import time
+import uuid
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 from tidemark.plans.dialect import parse
 from tidemark.render import series_json, value_json
 from tidemark.session import Engine
+from tidemark.streaming.ingest import Subscriptions
 
 
 def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
@@ -36,9 +40,33 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
             elif url.path == "/fields":
                 name = parse_qs(url.query).get("measurement", [""])[0]
                 self.answer(200, {"fields": engine.db_fields(name)})
+            elif url.path == "/subscribe":
+                self.subscribe(parse_qs(url.query))
             else:
                 self.answer(404, {"error": "no such path"})
 
+        def subscribe(self, asked: dict[str, list[str]]) -> None:
+            """Events with the result of ``q`` whenever it changes, until the client goes."""
+            id_ = asked.get("id", [uuid.uuid4().hex])[0]
+            changes: queue.Queue[str] = queue.Queue()
+            polls = Subscriptions(lambda q: value_json(engine.eval(q)), lambda _, text: changes.put(text))
+            self.send_response(200)
+            self.send_header("Content-Type", "text/event-stream")
+            self.end_headers()
+            polls.subscribe(id_, asked.get("q", [""])[0], int(asked.get("interval_ms", ["1000"])[0]))
+            try:
+                while True:
+                    try:
+                        text = f"id: {id_}\ndata: {changes.get(timeout=5)}\n\n"
+                    except queue.Empty:
+                        text = ": still here\n\n"
+                    self.wfile.write(text.encode())
+                    self.wfile.flush()
+            except OSError:
+                pass
+            finally:
+                polls.close()
+
         def do_POST(self) -> None:
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0)).decode("utf-8", "replace")
             try:
