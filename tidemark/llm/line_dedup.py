@@ -47,8 +47,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
     names = df.columns
     idc, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     docs = df.select(*(F.col(f"`{c}`") for c in names), row_key(idc, body).alias("__key"))
-    lines = docs.filter(F.instr(body, "\n") > 0).select("__key", idc.cast("long").alias("__id"), F.split(body, "\n").alias("lines"))
-    single = docs.filter((F.instr(body, "\n") == 0) & (F.size(F.split(body, " ")) >= LONG_LINE)).select("__key", idc.cast("long").alias("__id"), F.array(body).alias("lines"))
+    lines = docs.filter(F.instr(body, "\n") > 0).select("__key", idc.alias("__id"), F.split(body, "\n").alias("lines"))
+    single = docs.filter((F.instr(body, "\n") == 0) & (F.size(F.split(body, " ")) >= LONG_LINE)).select("__key", idc.alias("__id"), F.array(body).alias("lines"))
     each = lines.unionByName(single)
     hashed, counted = F.transform("lines", line_hash), F.transform("lines", lambda x: F.size(F.split(x, " ")))
 
