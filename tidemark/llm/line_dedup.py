@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from .common import cut, let, row_key
 
 #: Chunkings: (whether the rolling window of two lines looks ahead, multiplier, addend).
-#: A window that looks ahead settles a repeated passage's first boundary from its own lines, one
-#: that looks back its later ones; several chunkings catch the lines at a passage's ends.
+#: A window that looks ahead settles the boundary at a repeated passage's start from its own lines,
+#: one that looks back that at its end.
 CHUNKINGS = ((True, 31, 1), (True, 1009, 7), (False, 31, 3), (False, 1009, 11))
 #: A line of so many words is a chunk by itself; chunks of fewer words than LEAST are left alone.
 LONG_LINE, LEAST = 50, 8
+#: Lines on either side of a repeated chunk that are held against those about its first place.
+BESIDE = 3
 
 
 def line_hash(line: Column) -> Column:
@@ -24,7 +26,7 @@ def _starts(hashes: Column, words: Column, ahead: bool, mul: int, add: int) -> C
     hashes has its 16th bit set, and those on either side of a border of a long line."""
 
     def begins(i: Column) -> Column:
-        a, b = (i, i + 1) if ahead else (i - 1, i)
+        a, b = (i, i + 1) if ahead else (i - 2, i - 1)
         rolled = F.coalesce(F.get(hashes, a), F.lit(0)) * mul + F.coalesce(F.get(hashes, b), F.lit(0)) + add
         cut_here = F.shiftright(rolled, 16).bitwiseAND(F.lit(1)) == 1
         long_ = (F.get(words, i) >= LONG_LINE) | (F.get(words, i - 1) >= LONG_LINE)
@@ -33,6 +35,13 @@ def _starts(hashes: Column, words: Column, ahead: bool, mul: int, add: int) -> C
     return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), begins)
 
 
+def _in_common(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from their beginnings."""
+    n = F.least(F.size(a), F.size(b))
+    other = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), F.lit(False))
+    return F.when(other == 0, n).otherwise(other - 1).cast("int")
+
+
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``df`` with globally repeated chunks of lines taken out of ``text``; adds n_removed (long),
     the lines taken out of each text; ``n_chars``, where there is such a column, is counted anew.
@@ -40,7 +49,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
     Lines are what newlines part. A chunk counts if it has two lines or more, or one of LONG_LINE
     words, and LEAST words in all. Of chunks equal byte by byte, that in the row of the smallest id
     (nulls last, then by text key) and there the first stays; all others go. Candidates are found by
-    their hash, and only they are compared as texts. Rows that share id and text are one document
+    their hash, and only they are compared as texts. Up to BESIDE lines on either side that are the
+    same (by 64-bit hashes) as those about the chunk that stays go with it. Rows that share id and text are one document
     and keep the same lines. Null texts stay null, empty ones empty, with 0 removed; a text may
     become empty but no row goes; an empty table gives no rows.
     """
@@ -63,17 +73,22 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
     # Chunks that several chunkings make are taken once.
     spans = let(hashed, lambda h: let(counted, lambda w: F.filter(F.array_distinct(F.concat(*[spans_of(h, w, c) for c in CHUNKINGS])), lambda x: matters(x, w))))
     chunk = F.array_join(F.slice("lines", F.col("c.at") + 1, F.col("c.n")), "\n")
-    chunks = each.select("__key", "__id", "lines", F.explode(spans).alias("c"))
-    chunks = chunks.select("__key", "__id", F.col("c.at").alias("at"), F.col("c.n").alias("n"), chunk.alias("chunk"))
+    chunks = each.select("__key", "__id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.explode(spans).alias("c"))
+    at, n = F.col("c.at"), F.col("c.n")
+    before = F.reverse(F.slice("hashes", F.greatest(at - BESIDE, F.lit(0)) + 1, F.least(at, F.lit(BESIDE))))
+    chunks = chunks.select("__key", "__id", at.alias("at"), n.alias("n"), chunk.alias("chunk"), before.alias("before"), F.slice("hashes", at + n + 1, BESIDE).alias("after"))
     chunks = chunks.withColumn("h", F.xxhash64("chunk"))
     # By hash first: only what may be repeated is carried as text.
-    order = F.struct(F.col("__id").isNull(), "__id", "__key", "at")
+    order = F.struct(F.col("__id").isNull(), "__id", "__key", "at", "before", "after")
     often = chunks.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")
     again = cut(chunks.join(often, "h"), "chunks")
     first = again.groupBy("h", "chunk").agg(F.min(order).alias("first"), F.count("*").alias("times")).filter("times > 1")
     keep_one = first.select("h", "chunk", "first")
     gone = again.join(keep_one, ["h", "chunk"]).filter(~((F.col("first.__key") == F.col("__key")) & (F.col("first.at") == F.col("at"))))
     # Chunks of one kept document that repeat inside it go as well; those of an equal row don't.
+    back = _in_common(F.col("before"), F.col("first.before"))
+    ahead = _in_common(F.col("after"), F.col("first.after"))
+    gone = gone.select("__key", (F.col("at") - back).alias("at"), (F.col("n") + back + ahead).alias("n"))
     removed = gone.groupBy("__key").agg(F.collect_set(F.struct("at", "n")).alias("__gone"))
     out = docs.join(removed, "__key", "left")
     hit = F.col("__gone").isNotNull()

@@ -83,14 +83,17 @@ with docs as (select doc_id, text, n_chars, coalesce(doc_id::varchar, 'null') ||
 lines as (select k, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from docs
   where contains(text, chr(10)) or len(string_split(text, ' ')) >= 50),
 h as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h, len(string_split(line, ' ')) as w from lines),
-g as (select *, lead(h, 1, 0) over d as nh, lag(h, 1, 0) over d as ph, coalesce(lag(w) over d, 0) as pw from h window d as (partition by k order by i)),
-b as (select g.*, c, i = 0 or w >= 50 or pw >= 50 or ((case when ahead then h * mul + nh + ad else ph * mul + h + ad end) >> 16) & 1 = 1 as s
+g as (select *, lead(h, 1, 0) over d as nh, lag(h, 1, 0) over d as ph, lag(h, 2, 0) over d as p2, coalesce(lag(w) over d, 0) as pw from h window d as (partition by k order by i)),
+b as (select g.*, c, i = 0 or w >= 50 or pw >= 50 or ((case when ahead then h * mul + nh + ad else p2 * mul + ph + ad end) >> 16) & 1 = 1 as s
   from g, (values (0, true, 31, 1), (1, true, 1009, 7), (2, false, 31, 3), (3, false, 1009, 11)) t(c, ahead, mul, ad)),
 m as (select *, sum(s::int) over (partition by k, c order by i) as chunk from b),
 ch as (select k, doc_id, min(i) as pos, count(*) as n, sum(w) as w, string_agg(line, chr(10) order by i) as body from m group by k, doc_id, c, chunk),
 sp as (select distinct k, doc_id, pos, n, body from ch where (n >= 2 or w >= 50) and w >= 8),
-f as (select *, row_number() over (partition by body order by doc_id is null, doc_id, k, pos) as r from sp),
-gone as (select distinct k, unnest(range(pos, pos + n)) as i from f where r > 1),
+f as (select *, first_value(k) over o as fk, first_value(pos) over o as fp from sp window o as (partition by body order by doc_id is null, doc_id, k, pos)),
+g2 as (select * from f where k <> fk or pos <> fp),
+x as (select g2.k, g2.pos, g2.n, s, e, l.i from g2, (values (-1), (1)) a(s), (values (1), (2), (3)) b(e), lines l, lines o
+  where l.k = g2.k and l.i = case when s < 0 then pos - e else pos + n - 1 + e end and o.k = g2.fk and o.i = case when s < 0 then fp - e else fp + n - 1 + e end and o.line = l.line),
+gone as (select distinct k, i from (select k, unnest(range(pos, pos + n)) as i from g2 union all select k, i from (select *, count(*) over (partition by k, pos, n, s order by e) as c from x) where c = e)),
 rest as (select l.k, string_agg(l.line, chr(10) order by l.i) as body from lines l left join gone using (k, i) where gone.i is null group by l.k),
 cnt as (select k, count(*) as n from gone group by k)
 select d.doc_id, case when cnt.n > 0 then coalesce(rest.body, '') else d.text end as text, case when cnt.n > 0 then length(coalesce(rest.body, '')) else d.n_chars end as n_chars, coalesce(cnt.n, 0)::bigint as n_removed
