@@ -15,7 +15,7 @@ from tidemark.functions import numeric as N
 from tidemark.model import Measurement
 from tidemark.operators import windows as W
 from tidemark.operators.aggregates import correlation
-from tidemark.operators.aggregates import nearest_rank as nearest_rank_column
+from tidemark.operators.aggregates import nearest_rank as nearest_rank_rows
 from tidemark.operators.aggregates import weighted_mean
 from tidemark.operators.ema import ema, smooth
 from tidemark.operators.joins import asof
@@ -617,8 +617,8 @@ class Session:
 
     def call_pct(self, p: object, v: object) -> object:
         if isinstance(v, Col):
-            got = v.frame.df.agg(nearest_rank_column(self.double(v), float(p))).first()[0]
-            return None if got is None else float(got)
+            row = nearest_rank_rows(v.frame.df.select(self.double(v).alias("v")), [], "v", {"p": float(p)}).first()
+            return None if row is None or row[0] is None else float(row[0])
         items = self.floats(v)
         return L.nearest_rank(float(p), items) if items else None
 

@@ -1,25 +1,35 @@
-"""Aggregates of the dialect and the array language, as columns."""
+"""Aggregates of the dialect and the array language."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import fdiv, quiet
 
 
-def nearest_rank(x: Column, p: float) -> Column:
-    """The value at rank round(p / 100 (n - 1)) of the sorted values, halves away from zero.
+def nearest_rank(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """For each group of ``keys`` the values at ranks round(p / 100 (n - 1)) of its sorted values,
+    halves away from zero, by the names in ``ranks``. Nulls aren't values; keys aren't null.
 
-    A group's values are sorted in one place, as the rank depends on how many there are; the groups
-    are buckets of one series, not whole tables."""
-    values = F.array_sort(F.collect_list(x))
-    n = F.count(x)
-    rank = F.round(F.lit(p / 100.0) * (n - 1)).cast("int") + 1
-    return F.when(n > 0, F.element_at(values, F.greatest(F.least(rank, n.cast("int")), F.lit(1))))
+    Equal values are counted first, with partial counts, so that what meets by group is a row for
+    each different value; these are sorted and summed along, and may spill. No group is held as one
+    row.
+    """
+    k = [F.col(f"`{c}`") for c in keys]
+    counts = df.filter(F.col(f"`{value}`").isNotNull()).groupBy(*k, F.col(f"`{value}`").alias("__x")).agg(F.count("*").alias("__c"))
+    by = Window.partitionBy(*k)
+    upto = F.sum("__c").over(by.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
+    summed = counts.select(*k, "__x", "__c", upto.alias("__upto"), F.sum("__c").over(by).alias("__n"))
 
+    def at(p: float) -> Column:
+        rank = F.round(F.lit(p / 100.0) * (F.col("__n") - 1))
+        return F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank), F.col("__x")))
 
-def aggregate(func: str, x: Column, order: Column, p: float | None = None) -> Column:
+    return summed.groupBy(*k).agg(*(at(p).alias(n) for n, p in ranks.items()))
+
+
+def aggregate(func: str, x: Column, order: Column) -> Column:
     """``x`` is a double, null where missing; ``order`` decides first and last."""
     if func == "count":
         return F.count(x).cast("double")
@@ -41,8 +51,6 @@ def aggregate(func: str, x: Column, order: Column, p: float | None = None) -> Co
         return F.var_pop(x)
     if func in ("median", "med"):
         return F.median(x)
-    if func == "percentile":
-        return nearest_rank(x, p)
     raise ValueError(f"unknown aggregate {func!r}")
 
 

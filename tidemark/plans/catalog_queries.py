@@ -167,11 +167,20 @@ scalar("arr_avg", lambda: F.avg(V()), "avg(value)")
 scalar("arr_med", lambda: F.median(V()), "median(value)")
 scalar("arr_dev", lambda: F.stddev_pop(V()), "stddev_pop(value)")
 scalar("arr_var", lambda: F.var_pop(V()), "var_pop(value)")
-scalar("arr_pct", lambda: nearest_rank(V(), 90.0), "list_sort(list(value))[cast(round(0.9 * (count(value) - 1)) as int) + 1]", "event_type = 'click'")
 scalar("arr_wavg", lambda: weighted_mean(F.col("event_id").cast("double"), V()), "sum(event_id * value) / sum(event_id)")
 scalar("arr_cor", lambda: correlation(F.col("event_id").cast("double"), V()), "corr(event_id, value)")
 scalar("spread", lambda: F.max(V()) - F.min(V()), "max(value) - min(value)", "event_type = 'view'")
 
+
+def _pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).df.filter("event_type = 'click'")
+    return nearest_rank(e, [], "value", {"v": 90.0}).select(F.round("v", 6).alias("v"))
+
+
+QUERIES["arr_pct"] = _pct
+ORACLE_SQL["arr_pct"] = f"select round(list_sort(list(value))[cast(round(0.9 * (count(value) - 1)) as int) + 1], 6) as v from {E} where event_type = 'click'"
+
+
 # Elementwise operators, on rows.
 def rows(name: str, cols: Callable[[], dict[str, Column]], sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import bucket, double
 from tidemark.model import Measurement
-from tidemark.operators.aggregates import aggregate
+from tidemark.operators.aggregates import aggregate, nearest_rank
 from tidemark.operators.filling import fill
 
-from .dialect import Compare, Logic, Select
+from .dialect import Agg, Compare, Logic, Select
 
 MIN_NS, MAX_NS = -(2**63), 2**63 - 1
 
@@ -92,28 +92,51 @@ def compile_select(s: Select, m: Measurement) -> DataFrame:
         out = df.orderBy(*order).select(F.col("ts_ns").alias("time"), *chosen)
         return _page(out, s)
     order = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(m.ordering())])
-    aggs = []
-    for a in s.aggs:
-        if a.func == "count_distinct":  # of a tag or a field, as it is
-            known = a.field in m.tags or a.field in m.fields
-            aggs.append((F.count_distinct(F.col(f"`{a.field}`")).cast("double") if known else F.lit(0.0)).alias(a.name))
-            continue
-        x = double(F.col(f"`{a.field}`"), m.kind(a.field)) if a.field in m.fields else F.lit(None).cast("double")
-        aggs.append(aggregate(a.func, x, order, a.p).alias(a.name))
+    plain = [_aggregate(a, m, order) for a in s.aggs if a.func != "percentile"]
     tags = [F.coalesce(F.col(f"`{t}`").cast("string"), F.lit("")).alias(t) if t in m.tags else F.lit("").alias(t) for t in s.group]
     names = [f"`{t}`" for t in s.group]
+    columns = [F.col(f"`{a.name}`") for a in s.aggs]
     if s.bucket is None and not s.group:
-        return _page(df.agg(*aggs).select(F.lit(None).cast("long").alias("time"), *(F.col(f"`{a.name}`") for a in s.aggs)), s)
+        out = df.agg(F.count("*").alias("__rows"), *plain)
+        for ranked in _ranked(df, [], s, m):  # one row each
+            out = out.join(F.broadcast(ranked), how="left")
+        return _page(out.select(F.lit(None).cast("long").alias("time"), *columns), s)
+    keys = [*(["time"] if s.bucket is not None else []), *s.group]
     time = bucket(F.col("ts_ns"), s.bucket) if s.bucket is not None else F.lit(None).cast("long")
     keyed = df.select(time.alias("time"), *tags, *_inputs(s, m, df))
-    out = keyed.groupBy("time", *names).agg(*aggs) if s.bucket is not None else keyed.groupBy(*names).agg(*aggs).withColumn("time", F.lit(None).cast("long"))
-    out = out.select("time", *names, *(F.col(f"`{a.name}`") for a in s.aggs))
+    out = keyed.groupBy(*(f"`{k}`" for k in keys)).agg(F.count("*").alias("__rows"), *plain)
+    for ranked in _ranked(keyed, keys, s, m):
+        out = out.join(ranked, keys, "left")
+    if s.bucket is None:
+        out = out.withColumn("time", F.lit(None).cast("long"))
+    out = out.select("time", *names, *columns)
     if s.bucket is not None:
         out = fill(out, s.bucket, s.group, {a.name: a.func.startswith("count") for a in s.aggs}, s.fill)
     order = [F.col("time").desc() if s.descending else F.col("time"), *(F.col(f"`{t}`") for t in sorted(s.group))]
     return _page(out.orderBy(*order), s)
 
 
+def _aggregate(a: Agg, m: Measurement, order: Column) -> Column:
+    known = a.field in m.tags or a.field in m.fields
+    if a.func == "count_distinct":  # of a tag or a field, as it is
+        return (F.count_distinct(F.col(f"`{a.field}`")).cast("double") if known else F.lit(0.0)).alias(a.name)
+    x = double(F.col(f"`{a.field}`"), m.kind(a.field)) if a.field in m.fields else F.lit(None).cast("double")
+    return aggregate(a.func, x, order).alias(a.name)
+
+
+def _ranked(df: DataFrame, keys: list[str], s: Select, m: Measurement) -> list[DataFrame]:
+    """A table of percentiles for each field that has some."""
+    wanted: dict[str, dict[str, float]] = {}
+    for a in s.aggs:
+        if a.func == "percentile":
+            wanted.setdefault(a.field, {})[a.name] = a.p
+    out = []
+    for f, ranks in wanted.items():
+        x = double(F.col(f"`{f}`"), m.kind(f)) if f in m.fields else F.lit(None).cast("double")
+        out.append(nearest_rank(df.select(*(F.col(f"`{k}`") for k in keys), x.alias("__value")), keys, "__value", ranks))
+    return out
+
+
 def _inputs(s: Select, m: Measurement, df: DataFrame) -> list[Column]:
     """The scanned columns that aggregates and their order need, but for those grouped by."""
     need = {"ts_ns", *m.tags, *m.order, *(a.field for a in s.aggs if a.field in m.fields)}
