@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if (own := getattr(sc, "_tidemark_dir", None)) is None:
-        own = sc._tidemark_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        own = sc._tidemark_dir = "file://" + folder
     return own
 
 
