@@ -12,7 +12,8 @@ from .common import map_text
 
 #: Stands for the space before a pre-token.
 SPACE = "▁"
-#: Trie nodes and terminal counts that a worker keeps; beyond either it starts a new trie.
+#: Trie nodes and terminal counts that a worker keeps; beyond either it starts a new trie. The
+#: counts of the trie before stay at hand, so that frequent pre-tokens aren't scored again.
 NODES, WORDS = 400_000, 200_000
 #: Pre-tokens longer than this are scored alone and not kept.
 LONG = 200
@@ -23,57 +24,103 @@ class UnigramTrie:
 
     A node stands for a prefix. Its forward score is the best sum of piece scores over ways to cut
     the prefix into pieces, with the number of tokens of that cut (the fewer, if two are as good).
-    All pre-tokens with a prefix in common use its score once computed. A character that no piece
-    holds costs a token for each UTF-8 byte, ``byte_score`` each.
+    All pre-tokens with a prefix in common use its score once computed. The pieces that end at a
+    node are known from a state of an Aho-Corasick automaton over all pieces, kept at the node. A
+    character that no piece holds costs a token for each UTF-8 byte, ``byte_score`` each.
     """
 
     def __init__(self, pieces: dict[str, float], byte_score: float):
         self.pieces, self.byte_score = pieces, byte_score
-        self.longest = max(map(len, pieces), default=1)
+        self._automaton()
+        self.terminal: dict[str, int] = {}
         self.clear()
 
+    def _automaton(self) -> None:
+        step: dict[tuple[int, str], int] = {}
+        ends: list[tuple[tuple[int, float], ...]] = [()]
+        below: list[list[tuple[str, int]]] = [[]]
+        for piece, score in self.pieces.items():
+            at = 0
+            for ch in piece:
+                to = step.get((at, ch))
+                if to is None:
+                    to = step[at, ch] = len(ends)
+                    ends.append(())
+                    below.append([])
+                    below[at].append((ch, to))
+                at = to
+            ends[at] = ((len(piece), score),)
+        fail, queue = [0] * len(ends), [to for _, to in below[0]]
+        for at in queue:  # by depth: what a state falls back to is done before it
+            ends[at] += ends[fail[at]]
+            for ch, to in below[at]:
+                back = fail[at]
+                while back and (back, ch) not in step:
+                    back = fail[back]
+                fail[to] = step.get((back, ch), 0)
+                queue.append(to)
+        self.step, self.fail, self.ends = step, fail, ends
+
+    def _state(self, at: int, ch: str) -> int:
+        step, fail = self.step, self.fail
+        while (to := step.get((at, ch))) is None:
+            if not at:
+                return 0
+            at = fail[at]
+        return to
+
     def clear(self) -> None:
+        """Start a new trie; the counts of the one before are kept until the next."""
+        self.before = self.terminal
         self.child: dict[tuple[int, str], int] = {}
-        self.score, self.tokens = [0.0], [0]
-        self.terminal: dict[str, int] = {}
+        self.score, self.tokens, self.state = [0.0], [0], [0]
+        self.terminal = {}
 
-    def _forward(self, s: str, d: int, path: list[int], score: list[float], tokens: list[int]) -> tuple[float, int]:
+    def _forward(self, s: str, d: int, state: int, path, score: list[float], tokens: list[int]) -> tuple[float, int]:
         """Score and tokens of s[:d], from those of the shorter prefixes along ``path``."""
-        n_bytes = len(s[d - 1].encode("utf-8", "replace"))
-        before = path[d - 1]
-        best, count = score[before] + n_bytes * self.byte_score, tokens[before] + n_bytes
-        get = self.pieces.get
-        for start in range(max(0, d - self.longest), d):
-            if (p := get(s[start:d])) is not None:
-                before = path[start]
-                total = score[before] + p
-                if total > best or (total == best and tokens[before] + 1 < count):
-                    best, count = total, tokens[before] + 1
+        ends = self.ends[state]
+        if ends and ends[-1][0] == 1:
+            best, count = -1e300, 0
+        else:
+            n_bytes = len(s[d - 1].encode("utf-8", "replace"))
+            before = path[d - 1]
+            best, count = score[before] + n_bytes * self.byte_score, tokens[before] + n_bytes
+        for length, p in ends:
+            before = path[d - length]
+            total = score[before] + p
+            if total > best or (total == best and tokens[before] + 1 < count):
+                best, count = total, tokens[before] + 1
         return best, count
 
     def count(self, word: str) -> int:
         """Tokens of the pre-token ``word``, a space before it."""
         if (known := self.terminal.get(word)) is not None:
             return known
-        s = SPACE + word
+        if (known := self.before.get(word)) is not None:
+            self.terminal[word] = known
+            return known
+        s, state = SPACE + word, 0
         if len(word) > LONG:
             score, tokens = [0.0], [0]
             path = range(len(s) + 1)
-            for d in range(1, len(s) + 1):
-                a, b = self._forward(s, d, path, score, tokens)
+            for d, ch in enumerate(s, 1):
+                state = self._state(state, ch)
+                a, b = self._forward(s, d, state, path, score, tokens)
                 score.append(a)
                 tokens.append(b)
             return tokens[-1]
         if len(self.score) > NODES or len(self.terminal) > WORDS:
             self.clear()
-        child, score, tokens = self.child, self.score, self.tokens
+        child, score, tokens, states = self.child, self.score, self.tokens, self.state
         node, path = 0, [0]
         for d, ch in enumerate(s, 1):
             if (to := child.get((node, ch))) is None:
-                a, b = self._forward(s, d, path, score, tokens)
+                state = self._state(states[node], ch)
+                a, b = self._forward(s, d, state, path, score, tokens)
                 to = child[node, ch] = len(score)
                 score.append(a)
                 tokens.append(b)
+                states.append(state)
             path.append(to)
             node = to
         self.terminal[word] = tokens[node]
