@@ -232,3 +232,20 @@ def test_digests(spark):
     row = queries.op9_bpe(spark, "/root/testdata/sf0.001").filter("doc_id = 3").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id = 3").first()["text"]
     assert row["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_line_dedup_of_short_lines(spark):
+    rng = random.Random(9)
+    line = lambda n=7: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    shapes = [(30, 30), (20, 20, 20), (15,) * 4, (12,) * 5, (49, 2), (2, 49), (6,) * 10, (60, 30)]
+    passages = [[line(n) for n in shape] for shape in shapes for _ in range(6)]
+    texts = []
+    for _ in range(3):
+        texts += ["\n".join([line() for _ in range(rng.randint(0, 3))] + p + [line() for _ in range(rng.randint(0, 3))]) for p in passages]
+    few, same = [line(25), line(24)], " ".join(f"x{i}" for i in range(1, 11))
+    texts += ["\n".join([line(), *few, line()]) for _ in range(2)] + ["\n".join([same] * 30)]
+    rows = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts[: 3 * len(passages)]):
+        p = passages[i % len(passages)]
+        assert rows[i] == ([x for x in t.split("\n") if x not in p] or [""] if i >= len(passages) else t.split("\n"))
+    assert rows[len(texts) - 1][:6] == [same] * 6  # the first place stays whole, though later ones overlap it

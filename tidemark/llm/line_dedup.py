@@ -35,6 +35,40 @@ def _starts(hashes: Column, words: Column, ahead: bool, mul: int, add: int) -> C
     return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), begins)
 
 
+def _windows(lines: Column) -> Column:
+    """(at, n) of the shortest runs of lines with over LONG_LINE words that begin or end at each
+    line with words, but for single lines. Those of a repeated run are repeated, and cover it."""
+    words = F.transform(lines, lambda x: F.size(F.array_remove(F.split(x, " "), "")))
+
+    def runs(w: Column) -> Column:
+        line_of = F.flatten(F.transform(w, lambda n, i: F.array_repeat(i, n)))  # by number of word
+        start = F.aggregate(w, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        run = lambda a, b: F.struct(a.alias("at"), (b - a + 1).alias("n"))
+
+        def about(of: Column, at: Column) -> Column:
+            ahead = F.transform(w, lambda n, i: F.when(n > 0, run(i, F.get(of, F.get(at, i) + LONG_LINE))))
+            back = F.transform(w, lambda n, i: F.when((n > 0) & (F.get(at, i + 1) > LONG_LINE), run(F.get(of, F.get(at, i + 1) - 1 - LONG_LINE), i)))
+            return F.filter(F.array_distinct(F.concat(ahead, back)), lambda x: x["n"] > 1)
+
+        return let(line_of, lambda of: let(start, lambda at: about(of, at)))
+
+    return let(words, lambda w: F.when(F.aggregate(w, F.lit(0), lambda a, n: a + n) > LONG_LINE, runs(w)))
+
+
+def _repeated_windows(each: DataFrame) -> DataFrame:
+    """(__key, at, n) of the runs of over LONG_LINE words that an earlier place has, by SHA-256 of
+    their text. What overlaps the first place in its own document stays with it."""
+    runs = each.select("__key", "__id", "lines", F.explode(_windows(F.col("lines"))).alias("c"))
+    text = F.array_join(F.slice("lines", F.col("c.at") + 1, F.col("c.n")), "\n")
+    runs = runs.select("__key", "__id", F.col("c.at").alias("at"), F.col("c.n").alias("n"), F.unhex(F.sha2(text, 256)).alias("d"))
+    runs = cut(runs, "runs")  # finding them costs more than reading them twice
+    often = runs.groupBy("d").agg(F.count("*").alias("times")).filter("times > 1").select("d")
+    again = cut(runs.join(often, "d"), "again")
+    first = again.groupBy("d").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__key", "at")).alias("first"))
+    later = (F.col("first.__key") != F.col("__key")) | (F.col("at") >= F.col("first.at") + F.col("n"))
+    return again.join(first, "d").filter(later).select("__key", "at", "n")
+
+
 def _in_common(a: Column, b: Column) -> Column:
     """How many elements two arrays have in common from their beginnings."""
     n = F.least(F.size(a), F.size(b))
@@ -50,7 +84,9 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
     words, and LEAST words in all. Of chunks equal byte by byte, that in the row of the smallest id
     (nulls last, then by text key) and there the first stays; all others go. Candidates are found by
     their hash, and only they are compared as texts. Up to BESIDE lines on either side that are the
-    same (by 64-bit hashes) as those about the chunk that stays go with it. Rows that share id and text are one document
+    same (by 64-bit hashes) as those about the chunk that stays go with it. Besides, every run of
+    lines of over LONG_LINE words (spaces part them) that an earlier place has goes, whatever its
+    chunks are; only blank lines may stay of it. Rows that share id and text are one document
     and keep the same lines. Null texts stay null, empty ones empty, with 0 removed; a text may
     become empty but no row goes; an empty table gives no rows.
     """
@@ -89,6 +125,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
     back = _in_common(F.col("before"), F.col("first.before"))
     ahead = _in_common(F.col("after"), F.col("first.after"))
     gone = gone.select("__key", (F.col("at") - back).alias("at"), (F.col("n") + back + ahead).alias("n"))
+    gone = gone.unionByName(_repeated_windows(lines))
     removed = gone.groupBy("__key").agg(F.collect_set(F.struct("at", "n")).alias("__gone"))
     out = docs.join(removed, "__key", "left")
     hit = F.col("__gone").isNotNull()
