@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import bpe, decontaminate, line_dedup, simhash, token_counts
+from tidemark.llm import bpe, decontaminate, line_dedup, similar, simhash, token_counts
 
 BPE, UNIGRAM = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, Decoded string"
@@ -158,6 +158,32 @@ def test_simhash_on_rows(spark):
     assert simhash.near_duplicates(docs(spark, texts).filter("false")).count() == 0
 
 
+def test_pipeline_finds_similar_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    base = [" ".join(f"w{rng.randint(0, 10**5)}" for _ in range(rng.randint(40, 300))) for _ in range(8)]
+    texts = [*HARD, *base]
+    for t in base:
+        for _ in range(8):
+            w = t.split()
+            for _ in range(rng.randint(1, max(1, len(w) // 20))):
+                w[rng.randrange(len(w))] = rng.choice(["Changed", "other"])
+            texts.append(" ".join(w))
+    words = [(t or "").encode().lower().split() for t in texts]
+    sets = [{b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    alike = lambda a, b: a == b or 100 * len(a & b) >= 80 * len(a | b)
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if alike(sets[a], sets[b])]
+    fps = [plain_fingerprint(t) for t in texts]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 3 for a, b in links) > 20  # 3 bits would miss these
+    root = groups(links, range(len(texts)))
+    df = docs(spark, texts)
+    assert {(r["doc_id"], r["component_id"]) for r in similar.near_duplicates(df).collect() if r["doc_id"] is not None} == {(i, root[i]) for i in range(len(texts)) if i != 4}
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect() if r["doc_id"] is not None)
+    assert kept == sorted(i for i in range(len(texts)) if root[i] == i and i != 4)
+    assert similar.near_duplicates(df.filter("false")).count() == 0
+
+
 def plain_windows(documents, items):
     word, low = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: word.findall((t or "").translate(low))
