@@ -280,6 +280,17 @@ def test_pipeline_keeps_rows_without_ids(spark):
     assert got == [0, 1, 2]
 
 
+def test_copies_of_a_page_without_an_article(spark):
+    menu = "<div>subscribe to our weekly letter and get all of the news</div>"
+    story = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(3)]
+    page = lambda i, tag="div": f"<body>{menu}<{tag}>{story[i]}</{tag}></body>"
+    rows = [(1, "http://a.com/x", page(0)), (2, "http://a.com/y", page(0)), (3, "http://a.com/z", page(0, "p"))]
+    rows += [(4, "http://b.com/x", page(1)), (5, "http://b.com/y", page(1)), (6, "http://b.com/z", page(2))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == menu[5:-6] + "\n" + story[0] for i in (1, 2, 3))  # one page: nothing recurs
+    assert got[4] == got[5] == story[1] and got[6] == story[2]
+
+
 def test_audit(spark):
     rng = np.random.default_rng(9)
     x = np.concatenate([b + 0.02 * rng.normal(size=(20, 8)) for b in rng.normal(size=(15, 8))]).astype("f4")

@@ -187,12 +187,12 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", page_id: str =
     boilerplate by kind, class, id or role. Elsewhere the blocks outside such elements are, less
     every run of ``depth`` tokens or more that distinct pages of the host share; of a block that has
     such a run inside, the unique runs stay. A run that pages' articles share is no boilerplate: a
-    copied article stays whole on each page.
+    copied article stays whole on each page. Pages of a host that show the same text count as one
+    page, so copies stay whole as well; pages that share only a part of their text don't.
 
-    Null and empty pages have text "" and 0; null urls make one host; repeated rows count as one
-    page; clashing columns are replaced; an empty table gives no rows.
+    Null and empty pages have text "" and 0; null urls make one host; clashing columns are replaced; an empty table gives no rows.
     """
-    key = F.concat_ws(":", F.coalesce(F.col(f"`{page_id}`").cast("string"), F.lit("null")), text_key(F.col(f"`{html}`")))
+    key = text_key(F.col(f"`{html}`"))
     host = F.coalesce(F.lower(F.regexp_extract(F.col(f"`{url}`"), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     rest = [c for c in df.columns if c.lower() not in {html.lower(), "text", "n_chars"}]
     work = df.select(*(F.col(f"`{c}`") for c in rest), host.alias("__host"), key.alias("__page"), F.col(f"`{html}`").alias("__html"))
@@ -203,7 +203,9 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", page_id: str =
     bare = cut(pages.filter("article is null").select("page", "host", "outer").dropDuplicates(["page", "host"]), "bare")
     # Only hosts that have a page without an article need their runs looked at.
     hosts = bare.select("host").distinct()
-    runs = suffixes(pages.join(hosts, "host", "left_semi"), depth)
+    # Copies of a page, whatever their ids and markup, are one page: by the text that they show.
+    body = F.md5(F.concat(F.coalesce("article", F.lit("")), F.lit("\f"), F.array_join(F.transform("outer", lambda x: x["text"]), "\n")))
+    runs = suffixes(pages.join(hosts, "host", "left_semi").select("host", body.alias("page"), "outer"), depth)
     shared = cut(repeated(runs), "repeated")
     covered = suffixes(bare, depth).join(shared, ["host", "run"]).groupBy("host", "page").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))
     covered = covered.withColumn("at", F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a["lo"], a["hi"])))))
