@@ -94,3 +94,23 @@ def test_range_reaches_the_scan(spark, tmp_path):
     m = e.store.measurement("cpu")
     plan = compile_select(parse(f"select usage from cpu where time >= {4 * 3600 * S}"), m)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(__hour" in plan and "PushedFilters: [IsNotNull(ts_ns)" in plan
+
+
+@pytest.mark.parametrize("name", ["fill_null_all", "fill_previous_all", "fill_linear_all", "fill_value_all", "fill_none_all"])
+def test_whole_table_queries_equal_their_sql(spark, name):
+    equals_sql(spark, name)
+
+
+def equals_sql(spark, name):
+    import duckdb
+
+    from tidemark.plans import catalog_queries
+
+    db = duckdb.connect()
+    db.execute("create view events as select * from '/root/testdata/sf0.001/events.parquet'")
+    key = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
+    got = sorted((tuple(r) for r in catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001").collect()), key=key)
+    want = sorted(db.execute(catalog_queries.ORACLE_SQL[name]).fetchall(), key=key)
+    assert len(got) == len(want) >= db.execute("select count(distinct epoch_us(ts) // 600000000) from events").fetchone()[0]
+    for a, b in zip(got, want, strict=True):
+        assert all(x == y or abs(x - y) < 2e-6 for x, y in zip(a, b, strict=True) if not (x is None and y is None))

@@ -111,6 +111,13 @@ for kind, sql in {"null": "null", "previous": "v0", "linear": "v0 + (v1 - v0) *
     dialect(f"fill_{'value' if kind == '0' else kind}", f"SELECT sum(value), count(value) FROM events WHERE user_id IN ('3', '4') GROUP BY time(1h), event_type FILL({kind})", ["time", "event_type", "v", "n"], GAPS.format(fill=sql))
 dialect("fill_none", "SELECT sum(value), count(value) FROM events WHERE user_id IN ('3', '4') GROUP BY time(1h), event_type FILL(none)", ["time", "event_type", "v", "n"], f"select t // {H} * {H} as time, event_type, round(sum(value), 6) as v, cast(count(value) as double) as n from {E} where user_id in ('3', '4') group by 1, 2")
 
+# Gap filling of all events, by ten minutes so that there are gaps.
+M = 600_000_000_000
+WHOLE = {n: ORACLE_SQL[n].replace(" where user_id in ('3', '4')", "").replace(str(H), str(M)) for n in ("fill_null", "fill_previous", "fill_linear", "fill_value", "fill_none")}
+for name, sql in WHOLE.items():
+    kind = "0" if name == "fill_value" else name.removeprefix("fill_")
+    dialect(f"{name}_all", f"SELECT sum(value), count(value) FROM events GROUP BY time(10m), event_type FILL({kind})", ["time", "event_type", "v", "n"], sql)
+
 # Vector functions.
 for func, sql in {"mavg": "avg(value)", "msum": "sum(value)", "mmin": "min(value)", "mmax": "max(value)", "mdev": "stddev_pop(value)", "mcount": "count(value)"}.items():
     column(f"arr_{func}", lambda x, w, f=func: W.moving(f, 10, x, w), f"{sql} over (partition by event_type order by t, event_id rows between 9 preceding and current row)")
