@@ -96,7 +96,7 @@ def test_range_reaches_the_scan(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(__hour" in plan and "PushedFilters: [IsNotNull(ts_ns)" in plan
 
 
-@pytest.mark.parametrize("name", ["fill_null_all", "fill_previous_all", "fill_linear_all", "fill_value_all", "fill_none_all"])
+@pytest.mark.parametrize("name", ["fill_null_all", "fill_previous_all", "fill_linear_all", "fill_value_all", "fill_none_all", "arr_asc_all", "arr_desc_all", "arr_rev_all"])
 def test_whole_table_queries_equal_their_sql(spark, name):
     equals_sql(spark, name)
 

@@ -272,6 +272,19 @@ def _rev(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).df.orderBy(F.desc("ts_ns"), F.desc("event_id")).select("event_id").limit(100)
 
 
+# The same orders of all rows, each with its place.
+def ranked(name: str, x: str, by: Callable[[], list[Column]], sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return events(spark, sf_dir).df.select((F.row_number().over(Window.orderBy(*by())) - 1).cast("long").alias("i"), x)
+
+    QUERIES[name], ORACLE_SQL[name] = run, f"select row_number() over (order by {sql}) - 1 as i, {x} from {E}"
+
+
+ranked("arr_asc_all", "value", lambda: [F.col("value")], "value")
+ranked("arr_desc_all", "value", lambda: [F.desc("value")], "value desc")
+ranked("arr_rev_all", "event_id", lambda: [F.desc("ts_ns"), F.desc("event_id")], "t desc, event_id desc")
+
+
 @frame("arr_find", f"select coalesce(min(i), -1) as v from (select event_type, row_number() over (order by t, event_id) - 1 as i from {E}) where event_type = 'error'")
 def _find(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).df
