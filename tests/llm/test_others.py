@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 import numpy as np
 import pytest
@@ -229,10 +230,15 @@ PAGE = '<html><head><title>t</title><style>p{}</style><script>if (a<b) "</p>";</
     ("<article><p>&#233;&eacute;&unknown; &am</p></article>", "éé&unknown; &am"),
     ("<article></article>", ""),
     ("", ""),
+    ('<article><p style="overflow:hidden">a</p><p>see <a href="/the-hidden-valley">the valley</a> now</p><p data-id="widget">d</p></article>', "a\nsee the valley now\nd"),
+    ('<article><div class="ad-free">e</div><h2 class="section-header">f</h2><p class="comment">g</p></article>', "e\nf\ng"),
+    ("<article><p title=it's>one</p><p title='a>b' data-x=\"c>d\">two</p></article>", "one\ntwo"),
+    ("<b><article>a</b> c</article> out", "a c"),
+    ("<article>a <b>b</article></b><p>out</p>", "a b"),
+    ('<article><div class="comments">x</div><div role="navigation">y</div><section id="share-links">z</section></article>', "z"),
 ])
 def test_articles(spark, body, text):
-    got = [t for t, main, drop in html.blocks(PAGE.replace("{}", body)) if main and not drop]
-    assert "\n".join(got) == text
+    assert html.finish(html.blocks(PAGE.replace("{}", body)), [])[0] == text
 
 
 def test_pages_without_an_article(spark):
@@ -242,7 +248,7 @@ def test_pages_without_an_article(spark):
     rows += [(10, "http://a.com/z", f"<body><article><p>{'same words ' * 9}</p></article>{shared}</body>", "c"), (11, None, None, "c"), (12, "no url", "", "c"), (0, *rows[0][1:])]
     rows += [(13, "http://a.com/z", f"<body><article><p>{'same words ' * 9}</p></article></body>", "c"), (None, "http://c.com", "<p>only &amp; this</p>", "c")]
     out = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, N_Chars string"))
-    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert out.columns == ["page_id", "url", "text", "n_chars", "cut_repeated", "cut_structure"]
     got = {(r["page_id"], r["url"]): r["text"] for r in out.collect()}
     assert out.count() == len(rows)
     for i in range(4):
@@ -254,6 +260,72 @@ def test_pages_without_an_article(spark):
     assert html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, t string").filter("false")).count() == 0
 
 
+def test_a_head_left_open_and_a_long_page():
+    body = "<title>t</title><meta a=b><style>x</style><p>one</p><p>two"
+    assert [b[0] for b in html.blocks("<html><head>" + body)] == ["one", "two"] == [b[0] for b in html.blocks("<head><title>t</title>" + body[16:].replace("<p>one</p>", "one"))]
+    for part in ("<div>", "</p>", "<p>", '<a b="', "<script>", "<b c='x'", "<td>", "<", "<!--"):
+        started = time.perf_counter()
+        html.blocks(part * 60_000 + "</p>" * 60_000)
+        assert time.perf_counter() - started < 3, part
+
+
+def plain_extract(rows, depth=html.DEPTH):
+    """Every stretch of ``depth`` tokens of each page against all those of the host's other pages."""
+    streams = []
+    for _, url, page in rows:
+        got, words, origin = html.blocks(page or ""), [], []
+        for i, (text, _, _, border) in enumerate(got):
+            words += ["\n" + border, *text.split(" ")]
+            origin += [None, *[i] * len(text.split(" "))]
+        streams.append((url.split("/")[2].lower(), "\n".join(b[0] for b in got), got, [*words, "\n"], [*origin, None]))
+    runs = [{tuple(w[i : i + depth]) for i in range(len(w) - depth + 1)} for _, _, _, w, _ in streams]
+    out = []
+    for k, (host, body, got, words, origin) in enumerate(streams):
+        gone = set()
+        for i in range(len(words) - depth + 1):
+            if any(h == host and b != body and tuple(words[i : i + depth]) in runs[j] for j, (h, b, *_) in enumerate(streams)):
+                edges = [j for j in range(i, i + depth) if origin[j] is None]
+                gone |= set(range(edges[0], edges[-1] + 1) if edges else range(i, i + depth))
+        article = any(main and mark < 2 for _, main, mark, _ in got)
+        lines = []
+        for b, (text, main, mark, _) in enumerate(got):
+            if main and not mark:
+                lines.append(text)
+            elif mark < 2 and (main or not article):
+                lines.append(" ".join(words[j] for j in range(len(words)) if origin[j] == b and j not in gone))
+        out.append("\n".join(x for x in lines if x))
+    return out
+
+
+@pytest.mark.parametrize("most_sent", [html.MOST_SENT, 0])
+def test_pages_against_all_stretches(spark, most_sent):
+    rng = random.Random(12)
+    word = lambda: rng.choice("ab") + str(rng.randint(0, 6))
+    some = lambda n: " ".join(word() for _ in range(rng.randint(1, n)))
+    phrases = [some(14) for _ in range(12)]
+    block = lambda: rng.choice(["<p>{}</p>", "<div class='share-box'>{}</div>", "<nav><li>{}<li>x</nav>", "<div>{}</div>"]).format(rng.choice([rng.choice(phrases), some(20), rng.choice(phrases) + " " + some(5)]))
+    page = lambda: "".join(block() for _ in range(rng.randint(0, 6)))
+    rows = []
+    for i in range(60):
+        kind = rng.randrange(3)
+        body = page() if kind else f"{page()}<article>{page()}</article>{page()}"
+        rows.append((i, f"http://h{rng.randrange(3)}.com/{i}", body))
+    rows += [(100 + i, f"http://h0.com/{i}", rows[i][2]) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), most_sent=most_sent).collect()}
+    want = plain_extract(rows)
+    assert [got[r[0]] for r in rows] == want and sum(map(bool, want)) > 40
+    hinted = [r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), most_sent=most_sent).collect() if r["cut_repeated"]]
+    assert len(hinted) > 10
+
+
+def test_pages_with_clashing_columns(spark):
+    rows = [(1, "http://h/1", f"<p>{'a b c ' * 9}</p>", "h", 2, "x", 1, "t"), (2, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, page long, article string, __key long, c0 string")
+    for most_sent in (html.MOST_SENT, 0):
+        got = sorted(html.extract(df, most_sent=most_sent).drop("cut_repeated", "cut_structure").collect(), key=lambda r: r["page_id"])
+        assert tuple(got[0]) == (1, "http://h/1", "h", 2, "x", 1, "t", ("a b c " * 9).strip(), 53) and got[1]["text"] == "" and got[1]["article"] is None
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 

@@ -61,7 +61,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "cut_repeated", "cut_structure")
 
 
 QUERIES = {f.__name__: f for f in (op1_vector_dedup, op2_toxicity, op3_token_counts, op4_line_dedup, op5_decontaminate, op6_warc, op7_simhash, op8_quality, op9_bpe, op10_html)}
