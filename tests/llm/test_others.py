@@ -57,12 +57,14 @@ def test_vectors(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [None] + [1.0] * 15, 0), (903, [float("nan")] + [1.0] * 15, 0), (904, [], 0), (905, x[0].tolist()[:8], 0), (None, x[0].tolist(), 0)]
     df = spark.createDataFrame([*rows, *odd, rows[3]], "vec_id long, embedding array<float>, N_Links int")
-    for shard in (600, 40):  # one shard, and several with blocks
+    for shard in (600, 40, 6):  # one shard; several; a tree of shards that are split again
         got = vectors.near_duplicates(df, shard=shard).collect()
         n, low = brute(x.astype("f8"))
+        different = len(np.unique(x, axis=0))
         by = {r["vec_id"]: r for r in got}
         links = np.array([by[i]["n_links"] for i in range(len(x))])
         assert (links <= n).all() and links.sum() >= 0.97 * n.sum()
+        assert all(by[i]["n_distinct"] <= min(links[i], different) for i in range(len(x)))
         if shard == 600:
             assert (links == n).all() and [by[i]["component_id"] for i in range(len(x))] == low.tolist()
         assert all(by[i]["n_links"] == 0 and by[i]["component_id"] == i and by[i]["kept"] for i in range(900, 906))
@@ -71,6 +73,37 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_vectors_of_many_shards(spark):
+    """6,000 vectors in clusters that reach over shards: no link lost, within shards or between."""
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(400, 24))
+    x = (base[rng.integers(0, 400, 6000)] + 0.2 * rng.normal(size=(6000, 24))).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    n, low = brute(x.astype("f8"))
+    found = cut(vectors.near_duplicates(df, shard=200, overlap=2))
+    got = found.toPandas().set_index("vec_id").loc[range(len(x))]
+    links = got["n_links"].to_numpy()
+    assert (links <= n).all() and links.sum() >= 0.999 * n.sum() and (got["n_distinct"] == got["n_links"]).all()
+    same = got["component_id"].to_numpy() == low
+    assert same.mean() > 0.999
+    asked = np.arange(0, len(x), 50)
+    assert vectors.audit(df, found) == (links[asked].sum(), n[asked].sum())
+
+
+def test_links_between_shards(spark):
+    """A chain of three vectors, no two neighbours of which share a shard with the third."""
+    angle = np.arccos(0.95)
+    v = [[float(np.cos(k * angle)), float(np.sin(k * angle))] for k in range(5)]
+    info = spark.createDataFrame([(k, v[k], k + 1, [f"s{k // 2}"]) for k in range(5)], "id long, v array<double>, copies long, shards array<string>")
+    united = spark.createDataFrame([(0, [1]), (1, [0, 2]), (2, [3, 1]), (3, [2, 4]), (4, [3])], "id long, near array<long>")
+    first = spark.createDataFrame([(0, [2]), (1, [2, 3])], "id long, far array<long>")
+    got = {tuple(r) for r in vectors._between_shards(first, united, info, 0.949).collect()}
+    assert got == {(1, 2, 2, 3)}  # 3 and 4 share no list that 1 and 2 lead to but 2's: (1, 3) is too far
+    wider = {tuple(r)[:2] for r in vectors._between_shards(first, united, info, 0.8).collect()}
+    assert wider == {(0, 2), (1, 2), (1, 3)}
+    assert vectors._between_shards(first.filter("false"), united, info, 0.9).count() == 0
+
+
 def test_recall_on_the_table(spark):
     """Every vector whose id 50 divides, against all rows."""
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
@@ -370,5 +403,7 @@ def test_audit(spark):
     n, _ = brute(x.astype("f8"))
     asked = n[np.arange(0, len(x), 50)].sum()
     assert vectors.audit(df, vectors.audited(df)) == (asked, asked)
-    none = df.selectExpr("vec_id", "0L as n_links")
+    twice = df.union(df.selectExpr("vec_id + 1000", "embedding"))  # copies weigh nothing
+    assert vectors.audit(twice, vectors.audited(twice)) == (asked, asked)
+    none = df.selectExpr("vec_id", "0L as n_distinct")
     assert vectors.audit(df, none) == (0, asked) and vectors.audit(df.filter("false"), none) == (0, 0)

@@ -15,7 +15,7 @@ TOKENIZERS = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 
 
 def op1_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.audited(table(spark, sf_dir, "embeddings"))
+    return vectors.audited(table(spark, sf_dir, "embeddings")).drop("n_distinct")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
