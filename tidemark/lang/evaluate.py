@@ -11,6 +11,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import Column, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import calendar
 from tidemark.functions import numeric as N
 from tidemark.model import Measurement
 from tidemark.operators import windows as W
@@ -165,12 +166,10 @@ class Session:
         raise LangError(f"{kind_of(v)} has no member {name}")
 
     def time_part(self, v: object, name: str) -> object:
-        columns = {"year": F.year, "month": F.month, "day": F.day, "hour": F.hour, "minute": F.minute, "second": F.second, "week": F.weekofyear, "dow": F.weekday}
-        if name not in columns:
+        if name not in calendar.PARTS:
             raise LangError(f"a time has no {name}")
         if isinstance(v, Col):
-            t = F.timestamp_seconds(F.floor(v.x / 10**9))
-            return Col(v.frame, v.frame.add(columns[name](t).cast("long")), "int")
+            return Col(v.frame, v.frame.add(calendar.part(v.x, name)), "int")
 
         def part(ns: int) -> int:
             t = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=int(ns) // 10**9)

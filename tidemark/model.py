@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,22 +49,12 @@ class Measurement:
                 continue
             limit = F.lit(max(min(bound, 2**63 - 1), -(2**63))).cast("long")
             df = df.filter(F.col("ts_ns") >= limit if op == "ge" else F.col("ts_ns") <= limit)
-            if self.partition and abs(bound) < 2**62:
-                hour = F.lit(hour_name(bound))
+            if self.partition:
+                hour = F.lit(hour_name(max(min(bound, 2**63 - 1), -(2**63))))
                 df = df.filter(F.col(self.partition) >= hour if op == "ge" else F.col(self.partition) <= hour)
         return df
 
 
 def hour_name(ts_ns: int) -> str:
-    from datetime import UTC, datetime, timedelta
-
+    """The folder of a time, as ``calendar.hour_name`` names it."""
     return (datetime(1970, 1, 1, tzinfo=UTC) + timedelta(seconds=ts_ns // 10**9)).strftime("%Y-%m-%dT%H")
-
-
-def hour_column(ts_ns: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(F.floor(ts_ns / 1e9)), "yyyy-MM-dd'T'HH")
-
-
-def ts_ns(column: Column) -> Column:
-    """Nanoseconds since 1970 of a timestamp without a zone, taken as UTC."""
-    return F.unix_micros(column.cast("timestamp")) * 1000

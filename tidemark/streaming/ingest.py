@@ -25,16 +25,12 @@ def lines_from_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
 
 
 def ingest(lines: DataFrame, store: Store, checkpoint: str, once: bool = False, every: str = "5 seconds") -> StreamingQuery:
-    """Append line protocol to the store batch by batch; bad lines are left out. With ``once`` what
-    is there is taken in and the query ends. A batch that is done again after a failure adds its
-    points again, which merging reads as one."""
+    """Append line protocol to the store batch by batch; bad lines are left out, whatever is wrong
+    with them. With ``once`` what is there is taken in and the query ends. The store's log keeps each
+    batch's number, so that one done again after a failure isn't written again."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.persist()
-        try:
-            store.write_lines(batch, skip_bad=True)
-        finally:
-            batch.unpersist()
+        store.write_lines(batch, skip_bad=True, stream=(checkpoint, number))
 
     writer = lines.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
