@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.scratch import scratch_path, shared_dir  # noqa: F401
 from tidemark.ship import ship
 
 #: Texts of one Python step are handed back in slices of about this many bytes.
@@ -24,28 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none, as in tests on one machine, a local folder is set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc._conf.get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if (own := getattr(sc, "_tidemark_dir", None)) is None:
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        own = sc._tidemark_dir = "file://" + folder
-    return own
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here and a lost
     executor costs only a re-read. Reading back gives real sizes, so Spark broadcasts a side
