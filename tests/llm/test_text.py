@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -275,3 +276,41 @@ def test_line_dedup_of_short_lines(spark):
         p = passages[i % len(passages)]
         assert rows[i] == ([x for x in t.split("\n") if x not in p] or [""] if i >= len(passages) else t.split("\n"))
     assert rows[len(texts) - 1][:6] == [same] * 6  # the first place stays whole, though later ones overlap it
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    """Linear in the lines: 200,000 of them, twice."""
+    N = 200_000
+    text = "\n".join(f"line {i} {i * 7919 % 100_003} of a long text" for i in range(N))
+    df = spark.createDataFrame([(1, text), (2, "head\n" + text + "\ntail"), (3, "a\nb")], "doc_id long, text string").cache()
+    df.count()
+    started = time.perf_counter()
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert time.perf_counter() - started < 90
+    assert rows[1]["text"] == text and rows[2]["text"] == "head\ntail" and rows[2]["n_removed"] == N and rows[3]["n_removed"] == 0
+
+
+def test_line_dedup_compares_texts(spark, monkeypatch):
+    """Chunks whose hashes all agree are told apart by their bytes."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    line = lambda: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(9))
+    texts = ["\n".join(line() for _ in range(4)) for _ in range(6)]
+    monkeypatch.setattr(line_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    df = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
+    assert all(rows[i]["text"] == texts[i] for i in range(6)) and rows[6]["n_removed"] >= 3
+
+
+def test_hot_groups_are_joined_once(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.common import join_groups
+
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 1500, 0).otherwise(F.col("id") % 400).alias("k"))
+    groups = rows.groupBy("k").agg(F.count("*").alias("times"), F.max("id").alias("top"))
+    got = join_groups(rows, groups.filter("k <> 7"), ["k"], ["id"])
+    want = rows.join(groups.filter("k <> 7"), "k")
+    assert sorted(map(tuple, got.select("id", "k", "top").collect())) == sorted(map(tuple, want.select("id", "k", "top").collect()))
+    assert join_groups(rows.filter("false"), groups.filter("false"), ["k"], ["id"]).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let, row_key
+from .common import cut, join_groups, let, row_key
 
 #: Chunkings: (whether the rolling window of two lines looks ahead, multiplier, addend).
 #: A window that looks ahead settles the boundary at a repeated passage's start from its own lines,
@@ -13,14 +13,37 @@ from .common import cut, let, row_key
 CHUNKINGS = ((True, 31, 1), (True, 1009, 7), (False, 31, 3), (False, 1009, 11))
 #: A line of so many words is a chunk by itself; chunks of fewer words than LEAST are left alone.
 LONG_LINE, LEAST = 50, 8
-#: Lines on either side of a repeated chunk that are held against those about its first place.
-BESIDE = 3
+#: Lines whose words are added up in one go, so that the sums of a long text take linear time.
+BLOCK = 256
 
 
 def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
+def _span(at: Column, n: Column) -> Column:
+    """A run of lines as one number, which sets of them are made of by hashing."""
+    return F.shiftleft(at.cast("long"), 31) + n
+
+
+def _at(span: Column) -> Column:
+    return F.shiftright(span, 31).cast("int")
+
+
+def _n(span: Column) -> Column:
+    return span.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+
+
+def _places(span: Column) -> Column:
+    """The lines of a run, by number. They are got one by one: a slice inside a lambda copies the
+    whole array first."""
+    return F.sequence(_at(span), _at(span) + _n(span) - 1)
+
+
+def _text(lines: Column, span: Column) -> Column:
+    return F.array_join(F.transform(_places(span), lambda i: F.get(lines, i)), "\n")
+
+
 def _starts(hashes: Column, words: Column, ahead: bool, mul: int, add: int) -> Column:
     """Places (from 0) of the lines that begin a chunk: those whose rolling hash of two line
     hashes has its 16th bit set, and those on either side of a border of a long line."""
@@ -35,45 +58,80 @@ def _starts(hashes: Column, words: Column, ahead: bool, mul: int, add: int) -> C
     return F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), begins)
 
 
+def _chunks(lines: Column) -> Column:
+    """Spans of a text's chunks that matter; those that several chunkings make are taken once."""
+
+    def spans_of(h: Column, w: Column, chunking: tuple) -> Column:
+        ends = lambda at: F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(h)))
+        return let(_starts(h, w, *chunking), lambda at: F.zip_with(at, ends(at), lambda a, b: _span(a, b - a)))
+
+    def matters(x: Column, w: Column) -> Column:
+        total = F.aggregate(_places(x), F.lit(0), lambda a, i: a + F.get(w, i))
+        return let(total, lambda t: ((_n(x) >= 2) | (t >= LONG_LINE)) & (t >= LEAST))
+
+    hashed, counted = F.transform(lines, line_hash), F.transform(lines, lambda x: F.size(F.split(x, " ")))
+    return let(hashed, lambda h: let(counted, lambda w: F.filter(F.array_distinct(F.concat(*[spans_of(h, w, c) for c in CHUNKINGS])), lambda x: matters(x, w))))
+
+
 def _windows(lines: Column) -> Column:
-    """(at, n) of the shortest runs of lines with over LONG_LINE words that begin or end at each
+    """Spans of the shortest runs of lines with over LONG_LINE words that begin or end at each
     line with words, but for single lines. Those of a repeated run are repeated, and cover it."""
     words = F.transform(lines, lambda x: F.size(F.array_remove(F.split(x, " "), "")))
 
     def runs(w: Column) -> Column:
         line_of = F.flatten(F.transform(w, lambda n, i: F.array_repeat(i, n)))  # by number of word
-        start = F.aggregate(w, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-        run = lambda a, b: F.struct(a.alias("at"), (b - a + 1).alias("n"))
+        add = lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(w, b * BLOCK + 1, F.lit(BLOCK)), F.array(F.lit(0)), add))
 
-        def about(of: Column, at: Column) -> Column:
-            ahead = F.transform(w, lambda n, i: F.when(n > 0, run(i, F.get(of, F.get(at, i) + LONG_LINE))))
-            back = F.transform(w, lambda n, i: F.when((n > 0) & (F.get(at, i + 1) > LONG_LINE), run(F.get(of, F.get(at, i + 1) - 1 - LONG_LINE), i)))
-            return F.filter(F.array_distinct(F.concat(ahead, back)), lambda x: x["n"] > 1)
+        def about(of: Column, parts: Column, base: Column) -> Column:
+            block = lambda i: F.shiftright(i, BLOCK.bit_length() - 1)
+            start = lambda i: F.get(base, block(i)) + F.get(F.get(parts, block(i)), i % BLOCK)
+            run = lambda a, b: _span(a, b - a + 1)
+            ahead = F.transform(w, lambda n, i: F.when(n > 0, run(i, F.get(of, start(i) + LONG_LINE))))
+            back = F.transform(w, lambda n, i: F.when((n > 0) & (start(i) + n > LONG_LINE), run(F.get(of, start(i) + n - 1 - LONG_LINE), i)))
+            return F.filter(F.array_distinct(F.concat(ahead, back)), lambda x: x.isNotNull() & (_n(x) > 1))
 
-        return let(line_of, lambda of: let(start, lambda at: about(of, at)))
+        offsets = lambda parts: F.aggregate(parts, F.array(F.lit(0)), lambda a, p: add(a, F.element_at(p, -1)))
+        return let(line_of, lambda of: let(blocks, lambda parts: let(offsets(parts), lambda base: about(of, parts, base))))
 
     return let(words, lambda w: F.when(F.aggregate(w, F.lit(0), lambda a, n: a + n) > LONG_LINE, runs(w)))
 
 
+#: The order that says which of equal places stays.
+_FIRST = ("__id", "__key", "at")
+
+
+def _later(again: DataFrame, same: list[str]) -> DataFrame:
+    """``again`` with ``first``, the first place of all rows alike in ``same``."""
+    first = again.groupBy(*same).agg(F.min(F.struct(F.col("__id").isNull(), *_FIRST)).alias("first"), F.count("*").alias("times"))
+    first = cut(first.filter("times > 1"), "first")
+    return join_groups(again, first, same, ["__key", "at"]).drop("times")
+
+
+def _repeated_chunks(each: DataFrame) -> DataFrame:
+    """(__key, at, n) of the chunks that an earlier place has, compared as texts."""
+    lines = F.col("lines")
+    # Texts are taken inside the array: a row a chunk with all lines would copy the text for each.
+    made = F.transform(_chunks(lines), lambda c: F.struct(_at(c).alias("at"), _n(c).alias("n"), _text(lines, c).alias("chunk")))
+    chunks = each.select("__key", "__id", F.explode(made).alias("c")).select("__key", "__id", "c.*")
+    chunks = chunks.withColumn("h", F.xxhash64("chunk"))
+    # By hash first: only what may be repeated is carried on as text.
+    often = cut(chunks.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1"), "often")
+    again = cut(join_groups(chunks, often, ["h"], ["__key", "at"]).drop("times"), "chunks")
+    found = _later(again, ["h", "chunk"])
+    return found.filter((F.col("first.__key") != F.col("__key")) | (F.col("first.at") != F.col("at"))).select("__key", "at", "n")
+
+
 def _repeated_windows(each: DataFrame) -> DataFrame:
     """(__key, at, n) of the runs of over LONG_LINE words that an earlier place has, by SHA-256 of
     their text. What overlaps the first place in its own document stays with it."""
-    runs = each.select("__key", "__id", "lines", F.explode(_windows(F.col("lines"))).alias("c"))
-    text = F.array_join(F.slice("lines", F.col("c.at") + 1, F.col("c.n")), "\n")
-    runs = runs.select("__key", "__id", F.col("c.at").alias("at"), F.col("c.n").alias("n"), F.unhex(F.sha2(text, 256)).alias("d"))
-    runs = cut(runs, "runs")  # finding them costs more than reading them twice
-    often = runs.groupBy("d").agg(F.count("*").alias("times")).filter("times > 1").select("d")
-    again = cut(runs.join(often, "d"), "again")
-    first = again.groupBy("d").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__key", "at")).alias("first"))
-    later = (F.col("first.__key") != F.col("__key")) | (F.col("at") >= F.col("first.at") + F.col("n"))
-    return again.join(first, "d").filter(later).select("__key", "at", "n")
-
-
-def _in_common(a: Column, b: Column) -> Column:
-    """How many elements two arrays have in common from their beginnings."""
-    n = F.least(F.size(a), F.size(b))
-    other = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), F.lit(False))
-    return F.when(other == 0, n).otherwise(other - 1).cast("int")
+    lines = F.col("lines")
+    made = F.transform(_windows(lines), lambda c: F.struct(_at(c).alias("at"), _n(c).alias("n"), F.unhex(F.sha2(_text(lines, c), 256)).alias("d")))
+    runs = cut(each.select("__key", "__id", F.explode(made).alias("c")).select("__key", "__id", "c.*"), "runs")  # finding them costs more than reading them twice
+    often = cut(runs.groupBy("d").agg(F.count("*").alias("times")).filter("times > 1"), "often")
+    again = cut(join_groups(runs, often, ["d"], ["__key", "at"]).drop("times"), "again")
+    found = _later(again, ["d"])
+    return found.filter((F.col("first.__key") != F.col("__key")) | (F.col("at") >= F.col("first.at") + F.col("n"))).select("__key", "at", "n")
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
@@ -82,57 +140,26 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
 
     Lines are what newlines part. A chunk counts if it has two lines or more, or one of LONG_LINE
     words, and LEAST words in all. Of chunks equal byte by byte, that in the row of the smallest id
-    (nulls last, then by text key) and there the first stays; all others go. Candidates are found by
-    their hash, and only they are compared as texts. Up to BESIDE lines on either side that are the
-    same (by 64-bit hashes) as those about the chunk that stays go with it. Besides, every run of
-    lines of over LONG_LINE words (spaces part them) that an earlier place has goes, whatever its
-    chunks are; only blank lines may stay of it. Rows that share id and text are one document
-    and keep the same lines. Null texts stay null, empty ones empty, with 0 removed; a text may
-    become empty but no row goes; an empty table gives no rows.
+    (nulls last, then by text key) and there the first stays; all others go, those of the same
+    document as well. Candidates are found by their hash, and only they are compared as texts.
+    Besides, every run of lines of over LONG_LINE words (spaces part them) that an earlier place has
+    goes, whatever its chunks are; only blank lines may stay of it. Rows that share id and text are
+    one document and keep the same lines. Null texts stay null, empty ones empty, with 0 removed; a
+    text may become empty but no row goes; an empty table gives no rows. The time is linear in a
+    text's lines.
     """
     names = df.columns
     idc, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     docs = df.select(*(F.col(f"`{c}`") for c in names), row_key(idc, body).alias("__key"))
     lines = docs.filter(F.instr(body, "\n") > 0).select("__key", idc.alias("__id"), F.split(body, "\n").alias("lines"))
     single = docs.filter((F.instr(body, "\n") == 0) & (F.size(F.split(body, " ")) >= LONG_LINE)).select("__key", idc.alias("__id"), F.array(body).alias("lines"))
-    each = lines.unionByName(single)
-    hashed, counted = F.transform("lines", line_hash), F.transform("lines", lambda x: F.size(F.split(x, " ")))
-
-    def spans_of(h: Column, w: Column, chunking: tuple) -> Column:
-        ends = lambda at: F.concat(F.slice(at, 2, F.size(at)), F.array(F.size(h)))
-        return let(_starts(h, w, *chunking), lambda at: F.zip_with(at, ends(at), lambda a, b: F.struct(a.alias("at"), (b - a).alias("n"))))
-
-    def matters(x: Column, w: Column) -> Column:
-        total = F.aggregate(F.slice(w, x["at"] + 1, x["n"]), F.lit(0), lambda a, v: a + v)
-        return let(total, lambda t: ((x["n"] >= 2) | (t >= LONG_LINE)) & (t >= LEAST))
-
-    # Chunks that several chunkings make are taken once.
-    spans = let(hashed, lambda h: let(counted, lambda w: F.filter(F.array_distinct(F.concat(*[spans_of(h, w, c) for c in CHUNKINGS])), lambda x: matters(x, w))))
-    chunk = F.array_join(F.slice("lines", F.col("c.at") + 1, F.col("c.n")), "\n")
-    chunks = each.select("__key", "__id", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"), F.explode(spans).alias("c"))
-    at, n = F.col("c.at"), F.col("c.n")
-    before = F.reverse(F.slice("hashes", F.greatest(at - BESIDE, F.lit(0)) + 1, F.least(at, F.lit(BESIDE))))
-    chunks = chunks.select("__key", "__id", at.alias("at"), n.alias("n"), chunk.alias("chunk"), before.alias("before"), F.slice("hashes", at + n + 1, BESIDE).alias("after"))
-    chunks = chunks.withColumn("h", F.xxhash64("chunk"))
-    # By hash first: only what may be repeated is carried as text.
-    order = F.struct(F.col("__id").isNull(), "__id", "__key", "at", "before", "after")
-    often = chunks.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1").select("h")
-    again = cut(chunks.join(often, "h"), "chunks")
-    first = again.groupBy("h", "chunk").agg(F.min(order).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    keep_one = first.select("h", "chunk", "first")
-    gone = again.join(keep_one, ["h", "chunk"]).filter(~((F.col("first.__key") == F.col("__key")) & (F.col("first.at") == F.col("at"))))
-    # Chunks of one kept document that repeat inside it go as well; those of an equal row don't.
-    back = _in_common(F.col("before"), F.col("first.before"))
-    ahead = _in_common(F.col("after"), F.col("first.after"))
-    gone = gone.select("__key", (F.col("at") - back).alias("at"), (F.col("n") + back + ahead).alias("n"))
-    gone = gone.unionByName(_repeated_windows(lines))
-    removed = gone.groupBy("__key").agg(F.collect_set(F.struct("at", "n")).alias("__gone"))
+    gone = _repeated_chunks(lines.unionByName(single)).unionByName(_repeated_windows(lines))
+    removed = gone.groupBy("__key").agg(F.collect_set(_span(F.col("at"), F.col("n"))).alias("__gone"))  # of one text, so bounded by it
     out = docs.join(removed, "__key", "left")
     hit = F.col("__gone").isNotNull()
-    parts = F.split(body, "\n")
-    covered = F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(g["at"], g["at"] + g["n"] - 1))))
+    covered = F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(_at(g), _at(g) + _n(g) - 1))))
     out = out.withColumn("__covered", F.when(hit, covered))
-    kept = F.transform(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda p: ~F.array_contains("__covered", p["i"])), lambda p: p["x"])
+    kept = let(F.split(body, "\n"), lambda parts: F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__covered"), lambda i: F.get(parts, i)))
     fresh = F.when(hit, F.array_join(kept, "\n")).otherwise(body)
     n_removed = F.when(hit, F.size("__covered").cast("long")).otherwise(F.lit(0).cast("long"))
     cols = []
@@ -144,5 +171,3 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
         elif c.lower() != "n_removed":
             cols.append(F.col(f"`{c}`"))
     return out.select(*cols, n_removed.alias("n_removed"))
-
-

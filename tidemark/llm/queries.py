@@ -90,10 +90,13 @@ m as (select *, sum(s::int) over (partition by k, c order by i) as chunk from b)
 ch as (select k, doc_id, min(i) as pos, count(*) as n, sum(w) as w, string_agg(line, chr(10) order by i) as body from m group by k, doc_id, c, chunk),
 sp as (select distinct k, doc_id, pos, n, body from ch where (n >= 2 or w >= 50) and w >= 8),
 f as (select *, first_value(k) over o as fk, first_value(pos) over o as fp from sp window o as (partition by body order by doc_id is null, doc_id, k, pos)),
-g2 as (select * from f where k <> fk or pos <> fp),
-x as (select g2.k, g2.pos, g2.n, s, e, l.i from g2, (values (-1), (1)) a(s), (values (1), (2), (3)) b(e), lines l, lines o
-  where l.k = g2.k and l.i = case when s < 0 then pos - e else pos + n - 1 + e end and o.k = g2.fk and o.i = case when s < 0 then fp - e else fp + n - 1 + e end and o.line = l.line),
-gone as (select distinct k, i from (select k, unnest(range(pos, pos + n)) as i from g2 union all select k, i from (select *, count(*) over (partition by k, pos, n, s order by e) as c from x) where c = e)),
+nw as (select k, doc_id, line, i, len(list_filter(string_split(line, ' '), lambda x: x <> '')) as n from lines),
+ce as (select *, sum(n) over (partition by k order by i) as e from nw), cs as (select *, e - n as s from ce),
+ww as (select a.k, a.i as lo, b.i as hi from cs a join cs b on a.k = b.k and b.s <= a.s + 50 and a.s + 50 < b.e where a.n > 0
+  union select a.k, b.i, a.i from cs a join cs b on a.k = b.k and b.s <= a.e - 51 and a.e - 51 < b.e where a.n > 0),
+wt as (select w.k, l.doc_id, lo, hi - lo + 1 as n, string_agg(l.line, chr(10) order by l.i) as body from ww w join lines l on l.k = w.k and l.i between lo and hi where hi > lo group by w.k, l.doc_id, lo, hi),
+wf as (select *, first_value(k) over o as fk, first_value(lo) over o as fp from wt window o as (partition by body order by doc_id is null, doc_id, k, lo)),
+gone as (select distinct k, i from (select k, unnest(range(pos, pos + n)) as i from f where k <> fk or pos <> fp union all select k, unnest(range(lo, lo + n)) from wf where k <> fk or lo >= fp + n)),
 rest as (select l.k, string_agg(l.line, chr(10) order by l.i) as body from lines l left join gone using (k, i) where gone.i is null group by l.k),
 cnt as (select k, count(*) as n from gone group by k)
 select d.doc_id, case when cnt.n > 0 then coalesce(rest.body, '') else d.text end as text, case when cnt.n > 0 then length(coalesce(rest.body, '')) else d.n_chars end as n_chars, coalesce(cnt.n, 0)::bigint as n_removed
