@@ -30,14 +30,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], part: list[str], times: str = "times", total: int | None = None, share: int = 1000, salts: int = 32) -> DataFrame:
-    """``rows`` with the columns of their group (inner join by ``on``), hot groups dealt out.
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], part: list[str], times: str = "times", total: int | None = None, share: int = 1000, salts: int = 32, how: str = "inner", merge: bool = False) -> DataFrame:
+    """``rows`` with the columns of their group (joined by ``on``), hot groups dealt out.
 
     ``groups`` has one row a key, whose ``times`` is the number of its rows, and should be cheap to
     read (cut). Keys with over a ``share``-th of all rows, fewer than ``share`` as they can't add up
     to more, are sent to the rows as marks; their rows are dealt by ``part`` into ``salts`` parts,
     each with its copy of the group's row. So no task has more than a small part of a hot key, and
-    what is broadcast has a bound that doesn't grow with the data."""
+    what is broadcast has a bound that doesn't grow with the data. ``merge`` joins by sorting even
+    where the groups are few, for those whose number grows with the data."""
     if total is None:
         total = groups.agg(F.sum(times)).first()[0] or 0
     least = max(256, total // share)
@@ -45,7 +46,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], part: list[st
     salted = F.when(F.col("__hot"), F.pmod(F.xxhash64(*part), F.lit(salts))).otherwise(0)
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", salted).drop("__hot")
     copies = F.when(F.col(times) >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(groups.withColumn("__salt", F.explode(copies.cast("array<bigint>"))), [*on, "__salt"]).drop("__salt")
+    copied = groups.withColumn("__salt", F.explode(copies.cast("array<bigint>")))
+    return dealt.join(copied.hint("merge") if merge else copied, [*on, "__salt"], how).drop("__salt")
 
 
 def without(df: DataFrame, names: Iterable[str]) -> list[Column]:

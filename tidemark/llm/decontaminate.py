@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, let, text_key, without
+from .common import cut, join_groups, let, text_key, without
 
 #: Words of a window, and of a k-gram whose hash may be its fingerprint.
 WINDOW, K = 10, 4
@@ -29,6 +30,11 @@ def _windows(a: Column, n: int, f) -> Column:
     return F.transform(starts, lambda x, i: f(x, *[F.get(a, i + k) for k in range(1, n)]))
 
 
+def _span(w: Column, at: Column, n: Column) -> Column:
+    """``n`` words from a place (from 0) on. A slice inside a lambda copies the whole array first."""
+    return F.array_join(F.transform(F.sequence(at, at + n - 1), lambda i: F.get(w, i)), " ")
+
+
 def marks(hashes: Column, length: int) -> Column:
     """One fingerprint for each window of ``length`` words, from the words' hashes: the least hash
     of its k-grams, so a window has the same one wherever it stands. A window of no more than K
@@ -39,6 +45,12 @@ def marks(hashes: Column, length: int) -> Column:
     return let(hashes, lambda h: let(grams(h, K), lambda g: _windows(g, length - K + 1, lambda *x: F.least(*x) if len(x) > 1 else x[0])))
 
 
+def _others(docs: DataFrame, text: str) -> Column:
+    """A hash of a row's other plain columns, which tells copies of a text apart."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, T.AtomicType) and f.name != text]
+    return F.xxhash64(*plain, F.lit(0))
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
@@ -56,7 +68,7 @@ def decontaminate(
     body = F.col(f"`{text}`")
     item = items.select(F.col(f"`{item_id}`").cast("string").alias("item"), words(F.col(f"`{item_text}`")).alias("w")).filter(F.size("w") > 0)
     item = item.withColumn("len", F.least(F.size("w"), F.lit(window)))
-    spans = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1), lambda i: F.array_join(F.slice("w", i, F.col("len")), " "))
+    spans = F.transform(F.sequence(F.lit(0), F.size("w") - F.col("len")), lambda i: _span(F.col("w"), i, F.col("len")))
     windows = item.select("item", "len", F.explode(F.array_distinct(spans)).alias("span"))
     windows = cut(windows.groupBy("len", "span").agg(F.collect_set("item").alias("items")), "windows")
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most ``window`` numbers
@@ -77,28 +89,31 @@ def decontaminate(
     h = known.filter(F.col("t").isNotNull()).select("key", hashes(words(F.col("t"))).alias("h"))
     own = F.array_distinct(F.concat(*[marks(F.col("h"), n) for n in lengths])) if len(lengths) > 1 else F.array_distinct(marks(F.col("h"), lengths[0]))
     seeds = h.select("key", F.explode(own).alias("mark")).join(prints, "mark")
-    seeds = cut(seeds.groupBy("key").agg(F.collect_set("mark").alias("marks")), "seeds")
+    seeds = cut(seeds.groupBy("key").agg(F.collect_set("mark").alias("marks"), F.count("*").alias("times")).filter("key > ''"), "seeds")
 
     # Extend: the whole windows at the matched marks, compared as words, of one row a text. The
-    # matched texts grow with the documents, so their keys are never broadcast; the filter, which
-    # all keys pass, lets Spark build a Bloom filter of them where the documents are large.
-    texts = known.join(seeds.filter("key > ''").hint("merge"), "key").groupBy("key").agg(F.first("t").alias("t"), F.first("marks").alias("marks"))
+    # matched texts grow with the documents, so their keys are never broadcast but for the few of
+    # texts that very many rows have.
+    known = docs.filter(body.isNotNull()).select(text_key(body).alias("key"), body.alias("t"), _others(docs, text).alias("part"))
+    texts = join_groups(known, seeds, ["key"], ["part"], merge=True).groupBy("key").agg(F.first("t").alias("t"), F.first("marks").alias("marks"))
     found = texts.select("key", "marks", words(F.col("t")).alias("w")).withColumn("h", hashes(F.col("w")))
     hit = None
     for n in lengths:
         at = F.filter(F.transform(marks(F.col("h"), n), lambda m, i: F.when(F.array_contains("marks", m), i)), lambda i: i.isNotNull())
-        some = found.select("key", "w", F.explode(at).alias("at")).select("key", "at", F.lit(n).alias("len"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("span"))
+        # Windows are cut out inside the array: a row a window with all words would copy the text for each.
+        cut_out = F.transform(at, lambda i: F.struct(i.alias("at"), _span(F.col("w"), i, F.lit(n)).alias("span")))  # noqa: B023
+        some = found.select("key", F.explode(cut_out).alias("x")).select("key", "x.at", F.lit(n).alias("len"), "x.span")
         hit = some if hit is None else hit.unionByName(some)
     hit = hit.join(windows, ["len", "span"])
     covered = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)))))
     hits = hit.groupBy("key").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-    hits = cut(hits, "hits")
+    hits = cut(hits.join(seeds.select("key", "times"), "key"), "hits")
 
     n_words = F.coalesce(F.regexp_count(body, F.lit(ANY_WORD)), F.lit(0)).cast("long")
-    out = docs.select(*without(docs, names), n_words.alias("n_words"), text_key(body).alias("__key"))
-    kept = out.columns[:-2]
-    found = hits.select(F.col("key").alias("__key"), F.col("n_hit").alias("__hit"), F.col("item_ids").alias("__items"))
-    out = out.join(found.hint("merge"), "__key", "left")
+    out = docs.select(*without(docs, names), n_words.alias("n_words"), text_key(body).alias("__key"), _others(docs, text).alias("__part"))
+    kept = out.columns[:-3]
+    found = hits.select(F.col("key").alias("__key"), F.col("n_hit").alias("__hit"), F.col("item_ids").alias("__items"), F.col("times").alias("__times"))
+    out = join_groups(out, found, ["__key"], ["__part"], "__times", how="left", merge=True)
     ids = F.coalesce("__items", F.array().cast("array<string>"))
     return out.select(
         *(F.col(f"`{c}`") for c in kept), "n_words", F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit"),

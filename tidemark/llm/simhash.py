@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from tidemark.ship import ship
 
-from .common import cut, map_text
+from .common import cut, join_groups, map_text
 from .components import components
 
 SEED = 42
@@ -152,12 +152,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     rows stay; no rows give no rows.
     """
     each = cut(fingerprints(df, text, [doc_id]).select(F.col(f"`{doc_id}`").alias("doc_id"), "fp"), "fp")
-    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("times")), "distinct")
     joined = components(links(distinct, most)).withColumnRenamed("id", "fp").withColumnRenamed("component_id", "group")
     known = distinct.join(joined, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
     named = known.groupBy("group").agg(F.min("least").alias("component_id"))
-    groups = known.select("fp", "group").join(named, "group").select("fp", "component_id")
-    return each.join(groups, "fp").select("doc_id", "fp", "component_id")
+    groups = cut(known.select("fp", "times", "group").join(named, "group").select("fp", "times", "component_id"), "groups")
+    return join_groups(each, groups, ["fp"], ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: str | Column) -> Column:
