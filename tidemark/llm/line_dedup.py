@@ -94,13 +94,31 @@ def _windows(lines: Column) -> Column:
         offsets = lambda parts: F.aggregate(parts, F.array(F.lit(0)), lambda a, p: add(a, F.element_at(p, -1)))
         return let(line_of, lambda of: let(blocks, lambda parts: let(offsets(parts), lambda base: about(of, parts, base))))
 
-    return let(words, lambda w: F.when(F.aggregate(w, F.lit(0), lambda a, n: a + n) > LONG_LINE, runs(w)))
+    return F.when(F.size(lines) > 1, let(words, lambda w: F.when(F.aggregate(w, F.lit(0), lambda a, n: a + n) > LONG_LINE, runs(w))))
 
 
 #: The order that says which of equal places stays.
 _FIRST = ("__id", "__key", "at")
 
 
+def _pieces(each: DataFrame) -> DataFrame:
+    """(__key, __id, at, n, h, d) of all chunks, with their hash in h, and of all windows, with their
+    SHA-256 in d. Texts are hashed inside the array: a row a piece with all lines would copy them."""
+    lines = F.col("lines")
+    none = F.lit(None)
+    chunks = F.transform(_chunks(lines), lambda c: F.struct(_at(c).alias("at"), _n(c).alias("n"), F.xxhash64(_text(lines, c)).alias("h"), none.cast("binary").alias("d")))
+    windows = F.transform(_windows(lines), lambda c: F.struct(_at(c).alias("at"), _n(c).alias("n"), none.cast("long").alias("h"), F.unhex(F.sha2(_text(lines, c), 256)).alias("d")))
+    both = F.concat(chunks, F.coalesce(windows, F.array().cast("array<struct<at:int,n:int,h:bigint,d:binary>>")))
+    return each.select("__key", "__id", F.explode(both).alias("c")).select("__key", "__id", "c.*")
+
+
+def _repeated(pieces: DataFrame, by: str) -> DataFrame:
+    """The pieces whose hash another one has."""
+    own = pieces.filter(F.col(by).isNotNull()).select("__key", "__id", "at", "n", by)
+    often = cut(own.groupBy(by).agg(F.count("*").alias("times")).filter("times > 1"), "often")
+    return join_groups(own, often, [by], ["__key", "at"]).drop("times")
+
+
 def _later(again: DataFrame, same: list[str]) -> DataFrame:
     """``again`` with ``first``, the first place of all rows alike in ``same``."""
     first = again.groupBy(*same).agg(F.min(F.struct(F.col("__id").isNull(), *_FIRST)).alias("first"), F.count("*").alias("times"))
@@ -108,29 +126,20 @@ def _later(again: DataFrame, same: list[str]) -> DataFrame:
     return join_groups(again, first, same, ["__key", "at"]).drop("times")
 
 
-def _repeated_chunks(each: DataFrame) -> DataFrame:
-    """(__key, at, n) of the chunks that an earlier place has, compared as texts."""
-    lines = F.col("lines")
-    # Texts are taken inside the array: a row a chunk with all lines would copy the text for each.
-    made = F.transform(_chunks(lines), lambda c: F.struct(_at(c).alias("at"), _n(c).alias("n"), _text(lines, c).alias("chunk")))
-    chunks = each.select("__key", "__id", F.explode(made).alias("c")).select("__key", "__id", "c.*")
-    chunks = chunks.withColumn("h", F.xxhash64("chunk"))
-    # By hash first: only what may be repeated is carried on as text.
-    often = cut(chunks.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1"), "often")
-    again = cut(join_groups(chunks, often, ["h"], ["__key", "at"]).drop("times"), "chunks")
+def _repeated_chunks(pieces: DataFrame, each: DataFrame) -> DataFrame:
+    """(__key, at, n) of the chunks that an earlier place has. Found by hash, then compared as texts:
+    only chunks whose hash comes again are taken out of their documents, a row a document."""
+    wanted = _repeated(pieces, "h").groupBy("__key").agg(F.collect_set(F.struct("at", "n", "h")).alias("w"))  # of one text, so bounded by it
+    text = F.transform("w", lambda x: F.struct(x["at"].alias("at"), x["n"].alias("n"), x["h"].alias("h"), _text(F.col("lines"), _span(x["at"], x["n"])).alias("chunk")))
+    again = cut(each.join(wanted, "__key").select("__key", "__id", F.explode(text).alias("c")).select("__key", "__id", "c.*"), "chunks")
     found = _later(again, ["h", "chunk"])
     return found.filter((F.col("first.__key") != F.col("__key")) | (F.col("first.at") != F.col("at"))).select("__key", "at", "n")
 
 
-def _repeated_windows(each: DataFrame) -> DataFrame:
+def _repeated_windows(pieces: DataFrame) -> DataFrame:
     """(__key, at, n) of the runs of over LONG_LINE words that an earlier place has, by SHA-256 of
     their text. What overlaps the first place in its own document stays with it."""
-    lines = F.col("lines")
-    made = F.transform(_windows(lines), lambda c: F.struct(_at(c).alias("at"), _n(c).alias("n"), F.unhex(F.sha2(_text(lines, c), 256)).alias("d")))
-    runs = cut(each.select("__key", "__id", F.explode(made).alias("c")).select("__key", "__id", "c.*"), "runs")  # finding them costs more than reading them twice
-    often = cut(runs.groupBy("d").agg(F.count("*").alias("times")).filter("times > 1"), "often")
-    again = cut(join_groups(runs, often, ["d"], ["__key", "at"]).drop("times"), "again")
-    found = _later(again, ["d"])
+    found = _later(cut(_repeated(pieces, "d"), "again"), ["d"])
     return found.filter((F.col("first.__key") != F.col("__key")) | (F.col("at") >= F.col("first.at") + F.col("n"))).select("__key", "at", "n")
 
 
@@ -151,9 +160,10 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
     names = df.columns
     idc, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     docs = df.select(*(F.col(f"`{c}`") for c in names), row_key(idc, body).alias("__key"))
-    lines = docs.filter(F.instr(body, "\n") > 0).select("__key", idc.alias("__id"), F.split(body, "\n").alias("lines"))
-    single = docs.filter((F.instr(body, "\n") == 0) & (F.size(F.split(body, " ")) >= LONG_LINE)).select("__key", idc.alias("__id"), F.array(body).alias("lines"))
-    gone = _repeated_chunks(lines.unionByName(single)).unionByName(_repeated_windows(lines))
+    some = (F.instr(body, "\n") > 0) | (F.size(F.split(body, " ")) >= LONG_LINE)
+    each = docs.filter(some).select("__key", idc.alias("__id"), F.split(body, "\n").alias("lines"))
+    pieces = cut(_pieces(each), "pieces")  # finding them costs more than reading them twice
+    gone = _repeated_chunks(pieces, each).unionByName(_repeated_windows(pieces))
     removed = gone.groupBy("__key").agg(F.collect_set(_span(F.col("at"), F.col("n"))).alias("__gone"))  # of one text, so bounded by it
     out = docs.join(removed, "__key", "left")
     hit = F.col("__gone").isNotNull()
