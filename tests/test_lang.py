@@ -4,7 +4,7 @@ import random
 import pytest
 
 from tidemark.lang.evaluate import Session
-from tidemark.lang.values import LangError, Vec, show
+from tidemark.lang.values import Frame, LangError, Vec, show
 from tidemark.model import Measurement
 from tidemark.session import plain
 
@@ -66,17 +66,66 @@ def test_joins_and_buckets(lang):
     assert plain(lang.run("resample[10; 0 5 10; 1 2 3; count]"))["value"] == [2.0, 1.0]
 
 
-def test_columns_equal_the_driver(spark):
-    """Every vector function on columns against its plain form, on numbers with gaps."""
+@pytest.mark.parametrize("block", [None, 7])
+def test_columns_equal_the_driver(spark, monkeypatch, block):
+    """Every vector function on columns against its plain form, on numbers with gaps; with ``block``
+    the order is dealt into blocks of so many places."""
+    if block:
+        monkeypatch.setattr(Frame, "LARGE", 0)
+        monkeypatch.setattr(Frame, "BLOCK", block)
     rng = random.Random(5)
     v = [NAN if rng.random() < 0.15 else round(rng.uniform(-9, 9), 2) for _ in range(40)]
-    m = Measurement("m", spark.createDataFrame(list(enumerate(v)), "ts_ns long, v double"), [], ["v"])
+    m = Measurement("m", spark.createDataFrame([(t, x) for t, x in sorted(enumerate(v), key=lambda _: rng.random())], "ts_ns long, v double").repartition(3), [], ["v"])
     s = Session(spark, lambda name: m if name == "m" else None)
     s.env["w"] = Vec("float", v)
     near = lambda a, b: (math.isnan(a) and math.isnan(b)) or a == pytest.approx(b, rel=1e-9, abs=1e-9)
-    clean = "sums avgs prds deltas ratios mins maxs ffill bfill abs sqrt exp log ceil floor signum reciprocal prev next".split()
-    for f in [*clean, *[f"{g}[4;" for g in ("mavg", "msum", "mmin", "mmax", "mcount", "wma")], "ema[0.3;"]:
-        a, b = (plain(s.run(f"{f} {x}]" if "[" in f else f"{f} {x}")) for x in ("m.v", "w"))
+    clean = "sums avgs prds deltas ratios mins maxs ffill bfill abs sqrt exp log ceil floor signum reciprocal prev next rev distinct where".split()
+    for f in [*clean, *[f"{g}[4;" for g in ("mavg", "msum", "mmin", "mmax", "mcount", "wma")], "mavg[20;", "ema[0.3;", "{x - y}':", "{x + y}\\", "{x * y}\\", "{$[x > y; x; y - 1.5]}\\", "3 _", "5 #"]:
+        text = (lambda x: f"{f} {x} > 0.0" if f == "where" else f"{f} {x}]" if f.endswith(";") else f"{f} {x}")  # noqa: E731, B023
+        a, b = plain(s.run(text("m.v"))), plain(s.run(text("w")))
         assert len(a) == len(b) and all(map(near, a, b)), f
-    for f in ("min", "max", "count"):
-        assert plain(s.run(f"{f} m.v")) == plain(s.run(f"{f} w"))
+    for f in ("min", "max", "count", "{x + y}/", "{$[x > y; x; y]}/"):
+        a, b = plain(s.run(f"{f} m.v")), plain(s.run(f"{f} w"))
+        assert near(float(a), float(b)), f
+    assert plain(s.run("m.v ? 0n")) == plain(s.run("w ? 0n"))
+    seen = [x for x in v if not math.isnan(x)]
+    m2 = Measurement("m", spark.createDataFrame(list(enumerate(seen)), "ts_ns long, v double"), [], ["v"])
+    s2 = Session(spark, lambda name: m2 if name == "m" else None)
+    s2.env["w"] = Vec("float", seen)
+    for text in ("med {}", "asc {}", "desc {}", "{} + rev {}", "prev sums {}", "pct[30; {}]", "({} - mavg[3; {}]) * 2"):
+        a, b = plain(s2.run(text.replace("{}", "m.v"))), plain(s2.run(text.replace("{}", "w")))
+        assert all(map(near, a, b)) if isinstance(a, list) else near(a, b), text
+
+
+@pytest.mark.parametrize("block", [None, 5])
+def test_as_of_without_keys(spark, block):
+    from tidemark.operators.joins import asof
+
+    rng = random.Random(6)
+    left = [(rng.randint(0, 60), i) for i in range(40)]
+    right = [(rng.randint(0, 60), i, rng.choice([None, 1.5, 2.5])) for i in range(25)]
+    a, b = spark.createDataFrame(left, "ts long, i long"), spark.createDataFrame(right, "ts long, i long, v double")
+    got = asof(a, b, "ts", "v", None, "i", "i", "r", blocks=bool(block), block=block or 1).collect()
+    for r in got:
+        before = [x for x in right if x[0] <= r["ts"]]
+        assert r["r"] == (max(before)[2] if before and max(before)[0] else before and max(before, key=lambda x: x[:2])[2] if before else None)
+    assert len(got) == 40
+
+
+def test_groups_and_members_of_columns(lang):
+    run = lambda t: plain(lang.run(t))
+    assert run("group cpu.host") == {"web1": [0, 2, 4, 6, 8], "web2": [1, 3, 5, 7, 9]}
+    assert run("(group cpu.host)[`web2]") == [1, 3, 5, 7, 9] and run("key group cpu.host") == ["web1", "web2"]
+    with pytest.raises(LangError):
+        lang.run("(group cpu.host)[`web3]")
+    assert run("cpu.n in 3 + cpu.n") == [False] * 3 + [True] * 7
+    assert run("cpu.host in cpu.host @ `n > 8") == [False, True] * 5 and run("`web1 in cpu.host") is True and run("3.5 in cpu.usage") is False
+    assert run("40 in cpu.usage") is True and run("cpu.usage in 10 * cpu.n") == [True] * 10
+
+
+def test_patterns_are_javas(lang):
+    run = lambda t: plain(lang.run(t))
+    from tidemark.plans.compiler import _valid
+
+    assert _valid("(?<n>a)") and not _valid("(?P<n>a)") and not _valid("[")
+    assert run('count cpu.n @ `host like "web?"') == 10

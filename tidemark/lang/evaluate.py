@@ -8,29 +8,36 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import calendar
 from tidemark.functions import numeric as N
 from tidemark.model import Measurement
 from tidemark.operators import windows as W
-from tidemark.operators.aggregates import correlation
+from tidemark.operators.aggregates import correlation, median
 from tidemark.operators.aggregates import nearest_rank as nearest_rank_rows
 from tidemark.operators.aggregates import weighted_mean
-from tidemark.operators.ema import ema, smooth
+from tidemark.operators.ema import ema, ema_blocks, smooth
 from tidemark.operators.joins import asof
 from tidemark.plans.compiler import compile_select, predicate
 from tidemark.plans.dialect import Agg, Compare, Logic, Select
+from tidemark.ship import ship
 
 from . import functions as L
 from .syntax import BRACKET, MONADIC, parse
-from .values import Builtin, Col, Dur, Frame, Lambda, LangError, Measure, Sym, Table, Ts, Vec, from_spark, kind_of, same, show
+from .values import Builtin, Col, Dur, Frame, Groups, Lambda, LangError, Measure, Sym, Table, Ts, Vec, from_spark, kind_of, same, show
 
 NUMERIC = ("int", "float", "bool")
 SPARK = {"int": "long", "float": "double", "bool": "boolean", "sym": "string", "str": "string", "ts": "long"}
 
 
+def schema_type(kind: str) -> pa.DataType:
+    return {"int": pa.int64(), "float": pa.float64(), "bool": pa.bool_()}.get(kind, pa.string())
+
+
 class Session:
     """Names and measurements of an evaluation. ``measurements`` finds one by name or gives None;
     ``per_series`` partitions every window by the series, for data too large for one order."""
@@ -250,8 +257,8 @@ class Session:
             return a, b
 
         def numbered(c: Col, name: str):
-            over = Window.orderBy(*[F.col(f"`{o}`") for o in [*c.frame.by, *c.frame.order]])
-            return c.frame.df.select(F.row_number().over(over).alias("__i"), c.x.alias(name))
+            at = c.frame.places()
+            return c.frame.df.select(F.col(at).alias("__i"), c.x.alias(name))
 
         both = numbered(a, "__a").withColumn("__in", F.lit(1)).join(numbered(b, "__b").withColumn("__also", F.lit(1)), "__i", "full")
         checked = F.when(F.col("__in").isNull() | F.col("__also").isNull(), F.raise_error(F.lit("vectors of different lengths")).cast("int")).otherwise(1)
@@ -310,9 +317,8 @@ class Session:
 
     def position(self, c: Col) -> tuple[Frame, str]:
         """A frame with the rows' places, from 0, in a column."""
-        over = Window.orderBy(*[F.col(f"`{o}`") for o in [*c.frame.by, *c.frame.order]])
-        f = Frame(c.frame.df, c.frame.order, c.frame.by)
-        return f, f.add((F.row_number().over(over) - 1).cast("long"))
+        at = c.frame.places()
+        return Frame(c.frame.df, c.frame.order, c.frame.by), at
 
     def cut(self, c: Col, keep: Callable[[Column], Column]) -> Col:
         f, at = self.position(c)
@@ -351,7 +357,11 @@ class Session:
         return next((i for i, y in enumerate(v.items) if same(y, x) or (isinstance(y, (int, float)) and isinstance(x, (int, float)) and y == x)), -1)
 
     def member_of(self, x: object, v: object) -> object:
-        v = v.local() if isinstance(v, Col) else v
+        if isinstance(v, Col):
+            if not isinstance(x, Col):
+                hit = lambda y: not v.frame.df.filter(v.x == (int(y) if isinstance(y, int) else y)).isEmpty()
+                return Vec("bool", [hit(y) for y in x.items]) if isinstance(x, Vec) else hit(x)
+            return self.member_column(x, v)
         if not isinstance(v, Vec):
             raise LangError("in has a vector on the right")
         if isinstance(x, Col):
@@ -359,6 +369,19 @@ class Session:
         held = set(v.items)
         return Vec("bool", [i in held for i in x.items]) if isinstance(x, Vec) else x in held
 
+    def member_column(self, x: Col, v: Col) -> Col:
+        """Whether each of ``x`` is among the different values of ``v``, by a join."""
+        if "sym" in (x.kind, v.kind) or "str" in (x.kind, v.kind):
+            if not {x.kind, v.kind} <= {"sym", "str"}:
+                return Col(x.frame, x.frame.add(F.lit(False)), "bool")
+        elif x.kind != v.kind:
+            x = Col(x.frame, x.frame.add(self.double(x)), "float")
+            v = Col(v.frame, v.frame.add(self.double(v)), "float")
+        name, key = x.frame.fresh(), f"{x.frame.fresh()}k"
+        held = v.frame.df.select(v.x.alias(key)).distinct().withColumn(name, F.lit(True))
+        x.frame.df = x.frame.df.join(held, x.x == F.col(key), "left").drop(key)
+        return Col(x.frame, x.frame.add(F.coalesce(F.col(name), F.lit(False))), "bool")
+
     def like(self, x: object, pattern: object) -> object:
         p = L.glob(str(pattern))
         if isinstance(x, Col):
@@ -392,6 +415,9 @@ class Session:
             items = self.floats(v)
             return Vec("float", [L.MATH[name](x) for x in items]) if isinstance(v, Vec) else L.MATH[name](items[0])
         if name in L.REDUCE:
+            if isinstance(v, Col) and name == "med":
+                row = median(v.frame.df.select(self.double(v).alias("v")), [], "v").first()
+                return None if row is None or row[0] is None else float(row[0])
             if isinstance(v, Col):
                 got = v.frame.df.agg(L.REDUCE_COLUMNS[name](self.double(v)), F.count(v.x)).first()
                 if not got[1] and L.REDUCE[name][1] is LookupError:
@@ -406,7 +432,10 @@ class Session:
             if isinstance(v, Col):
                 if name in ("fills", "ffill", "bfill") and v.kind != "float":
                     return v
-                return Col(v.frame, v.frame.add(L.RUN_COLUMNS[name](self.double(v), v.frame.window())), "float")
+                x = self.double(v)
+                if name in ("deltas", "ratios"):
+                    return Col(v.frame, v.frame.windowed(lambda over: L.RUN_COLUMNS[name](x, over), 1), "float")
+                return Col(v.frame, v.frame.running("ffill" if name == "fills" else name, x), "float")
             if name in ("fills", "ffill", "bfill") and kind_of(v) != "float[]":
                 return v
             return Vec("float", L.RUN[name](self.floats(v)))
@@ -534,8 +563,7 @@ class Session:
             raise LangError(f"{kind_of(v)} can't be grouped")
         if isinstance(v, Col):
             f, at = self.position(v)
-            rows = f.df.groupBy(v.x.cast("string").alias("k")).agg(F.array_sort(F.collect_list(at)).alias("at")).collect()
-            return {r["k"]: Vec("int", list(r["at"])) for r in sorted(rows, key=lambda r: r["k"])}
+            return Groups(f, f.add(v.x.cast("string")), at)
         out: dict[str, Vec] = {}
         for i, x in enumerate(v.items):
             out.setdefault(str(x), Vec("int", [])).items.append(i)
@@ -560,7 +588,8 @@ class Session:
             raise LangError(f"{kind_of(v)} can't be shifted")
         empty = 0 if v.kind == "int" else N.NAN
         if isinstance(v, Col):
-            return Col(v.frame, v.frame.add(W.shifted(v.x, by, v.frame.window(), empty)), v.kind)
+            x = v.x
+            return Col(v.frame, v.frame.windowed(lambda over: W.shifted(x, by, over, empty), max(by, 0), max(-by, 0)), v.kind)
         return Vec(v.kind, ([empty, *v.items[:-1]] if by > 0 else [*v.items[1:], empty]) if v.items else [])
 
     # Calls.
@@ -594,17 +623,16 @@ class Session:
             if not isinstance(n, int) or n <= 0:
                 raise LangError(f"{name} of {show(n)} rows")
             if isinstance(v, Col):
-                over = v.frame.window()
-                x = W.weighted_moving(n, self.double(v), over) if name == "wma" else W.moving(name, n, self.double(v), over)
-                return Col(v.frame, v.frame.add(x), "float")
+                x = self.double(v)
+                return Col(v.frame, v.frame.windowed(lambda over: W.weighted_moving(n, x, over) if name == "wma" else W.moving(name, n, x, over), n - 1), "float")
             return Vec("float", L.MOVE[name](n, self.floats(v)))
         return getattr(self, "call_" + name)(*args)
 
     def call_ema(self, alpha: object, v: object) -> object:
         if isinstance(v, Col):
             f = v.frame
-            df = f.df.withColumn("__in", self.double(v))
-            out = ema(df, float(alpha), "__in", f.order, f.by, "__ema")
+            value, place = f.add(self.double(v)), f.places() if f.dealt() else None
+            out = ema_blocks(f.df, float(alpha), value, "__ema", place, f.BLOCK) if place else ema(f.df, float(alpha), value, f.order, f.by, "__ema")
             return Col(Frame(out, f.order, f.by), "__ema", "float")
         return Vec("float", smooth(self.floats(v), float(alpha)))
 
@@ -649,6 +677,10 @@ class Session:
         ts, v = self.zip(ts, v)
         name = f.name if isinstance(f, Builtin) else ""
         x, order = self.double(v), F.struct(*[F.col(f"`{o}`") for o in v.frame.order])
+        if name == "med":
+            keyed = v.frame.df.select(N.bucket(ts.x, int(d)).alias("ts"), x.alias("v"))
+            frame = Frame(median(keyed, ["ts"], "v", "value"), ["ts"])
+            return Table(["ts", "value"], {"ts": Col(frame, "ts", ts.kind), "value": Col(frame, "value", "float")})
         if name in L.REDUCE_COLUMNS:
             agg = L.REDUCE_COLUMNS[name](x)
         elif name == "count":
@@ -666,8 +698,8 @@ class Session:
         (tl, vl), (tr, vr) = self.zip(spread(tl), spread(vl)), self.zip(spread(tr), spread(vr))
 
         def side(t: Col, v: Col):
-            over = Window.orderBy(*[F.col(f"`{o}`") for o in [*t.frame.by, *t.frame.order]])
-            return t.frame.df.select(t.x.alias("ts"), v.x.alias("v"), F.row_number().over(over).cast("long").alias("__i"))
+            at = t.frame.places()
+            return t.frame.df.select(t.x.alias("ts"), v.x.alias("v"), F.col(at).alias("__i"))
 
         out = asof(side(tl, vl), side(tr, vr), "ts", "v", None, "__i", "__i", "right")
         frame = Frame(out.withColumn("right", F.coalesce(F.col("right").cast("double"), F.lit(N.NAN))), ["__i"])
@@ -796,8 +828,9 @@ class Session:
         if kind == "'":
             return self.settle(self.apply(f, [v], env))
         if kind == "':":
-            before = Col(v.frame, v.frame.add(F.lag(v.x).over(v.frame.window())), v.kind)
-            first = Col(v.frame, v.frame.add(F.row_number().over(v.frame.window()) == 1), "bool")
+            x = v.x
+            before = Col(v.frame, v.frame.windowed(lambda over: F.lag(x).over(over), 1), v.kind)
+            first = Col(v.frame, v.frame.windowed(lambda over: F.row_number().over(over) == 1, 1), "bool")
             got = self.apply(f, [v, before], env)
             return Col(v.frame, v.frame.add(F.when(first.x, v.x).otherwise(got.x)), got.kind)
         body = f.body if isinstance(f, Lambda) else None
@@ -807,11 +840,41 @@ class Session:
             if kind == "\\":
                 return self.monad(run, v)
             return self.monad(whole, v) if whole else self.end(self.monad(run, v), -1)
-        local = v.local()
-        out: list = []
-        for x in local.items:
-            out.append(self.apply(f, [out[-1], x], env) if out else x)
-        return out if kind == "\\" else out[-1] if out else local
+        return self.fold(f, v, env, kind == "\\")
+
+    def fold(self, f: object, v: Col, env: dict, scan: bool) -> object:
+        """A fold whose steps depend on one another: a loop over the sorted rows in one task, which
+        holds one value. Its kind is that of the first step, which is made here."""
+        head = v.frame.ordered().select(v.x).limit(2).collect()
+        if len(head) < 2:
+            return v.local()
+        first = self.apply(f, [from_spark(r[0], v.kind) for r in head], env)
+        kind = kind_of(first)
+        if kind not in SPARK or (kind != v.kind and {kind, v.kind} - {"int", "float"}):
+            raise LangError(f"a fold of a measurement gives numbers or names, not {kind}")
+        kind = "float" if "float" in (kind, v.kind) else kind
+        plain = {n: x for n, x in (self.env | env).items() if not isinstance(x, (Col, Table, Groups, Measure))}
+        ship(self.spark)
+        source, of = v.frame.df.select(*(F.col(f"`{o}`") for o in dict.fromkeys([*v.frame.by, *v.frame.order])), v.x.alias("__fold")), v.kind
+        name, order = f"__s{self.spark.sparkContext.defaultParallelism}", [*v.frame.by, *v.frame.order]
+        ordered = source.repartition(1).sortWithinPartitions(*order)
+        schema = T.StructType([*source.drop("__fold").schema.fields, T.StructField(name, {"int": T.LongType(), "float": T.DoubleType(), "bool": T.BooleanType()}.get(kind, T.StringType()))])
+
+        def run(batches):
+            session, e, begun = Session(None, lambda n: None), None, False
+            session.env = plain
+            for b in batches:
+                at = b.schema.get_field_index("__fold")
+                out = []
+                for x in b.column(at).to_pylist():
+                    x = from_spark(x, of)
+                    e, begun = (session.apply(f, [e, x], {}) if begun else x), True
+                    out.append(float(e) if kind == "float" else e if kind in ("int", "bool") else str(e))
+                kept = [b.column(i) for i in range(b.num_columns) if i != at]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(out, schema_type(kind))], names=schema.names)
+
+        got = Col(Frame(ordered.mapInArrow(run, schema), v.frame.order, v.frame.by), name, kind)
+        return got if scan else self.end(got, -1)
 
     def on_select(self, env: dict, fields: list, source: str, where: tuple | None, by: list) -> Table:
         m = self.measurements(source)

@@ -101,7 +101,7 @@ REDUCE: dict[str, tuple[Callable[[list[float]], float], object]] = {
 }
 REDUCE_COLUMNS: dict[str, Callable[[Column], Column]] = {
     "sum": lambda x: F.coalesce(F.sum(x), F.lit(0.0)), "avg": F.avg, "mean": F.avg, "min": lambda x: F.coalesce(F.min(N.quiet(x)), F.when(F.count(x) > 0, NAN)),
-    "max": lambda x: F.coalesce(F.max(N.quiet(x)), F.when(F.count(x) > 0, NAN)), "med": F.median, "dev": F.stddev_pop, "var": F.var_pop,
+    "max": lambda x: F.coalesce(F.max(N.quiet(x)), F.when(F.count(x) > 0, NAN)), "dev": F.stddev_pop, "var": F.var_pop,
 }
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidemark.operators import blocks, windows
+
 
 class LangError(ValueError):
     """An expression that can't be read or evaluated."""
@@ -41,18 +44,60 @@ class Frame:
     """Rows with a total order. Vectors of one frame are columns of one growing DataFrame, so
     operators between them need no join; Catalyst drops what isn't used."""
 
+    #: Size (as planned) from which one order over all rows is dealt into blocks, and rows of one.
+    LARGE, BLOCK = blocks.LARGE, blocks.BLOCK
+
     def __init__(self, df: DataFrame, order: list[str], by: list[str] | None = None):
         self.df, self.order, self.by, self.made = df, order, by or [], 0
+        self.place: str | None = None
+        self._large: bool | None = None
 
-    def add(self, x: Column) -> str:
+    def fresh(self) -> str:
         self.made += 1
-        name = f"__v{self.made}"
-        while name in self.df.columns:
+        while (name := f"__v{self.made}") in self.df.columns:
             self.made += 1
-            name = f"__v{self.made}"
+        return name
+
+    def add(self, x: Column) -> str:
+        name = self.fresh()
         self.df = self.df.withColumn(name, x)
         return name
 
+    def dealt(self) -> bool:
+        """Whether the order is dealt into blocks: one order over many rows."""
+        if self._large is None:
+            self._large = not self.by and blocks.is_large(self.df, self.LARGE)
+        return self._large
+
+    def places(self) -> str:
+        """A column with the rows' places, from 0."""
+        if self.place is None or self.place not in self.df.columns:
+            if self.dealt():
+                self.place = self.fresh()
+                self.df = blocks.numbered(self.df, self.order, self.place)
+            else:
+                over = Window.orderBy(*[F.col(f"`{o}`") for o in [*self.by, *self.order]])
+                self.place = self.add((F.row_number().over(over) - 1).cast("long"))
+        return self.place
+
+    def windowed(self, build: Callable[[WindowSpec], Column], before: int = 0, after: int = 0) -> str:
+        """Add a column of windows that reach ``before`` rows back and ``after`` ahead at most."""
+        if not self.dealt():
+            return self.add(build(self.window()))
+        place, name = self.places(), self.fresh()
+        self.df = blocks.near(self.df, {name: build}, before, after, place, self.BLOCK)
+        return name
+
+    def running(self, func: str, x: Column) -> str:
+        """Add sums avgs mins maxs prds ffill bfill of a column of doubles."""
+        if not self.dealt():
+            whole = {"ffill": windows.fill_forward, "bfill": windows.fill_backward}.get(func)
+            return self.add(whole(x, self.window()) if whole else windows.running(func, x, self.window()))
+        place, value = self.places(), self.add(x)
+        name = self.fresh()
+        self.df = blocks.running(self.df, func, value, name, place, self.BLOCK)
+        return name
+
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.by).orderBy(*self.order)
 
@@ -101,6 +146,41 @@ class Table:
         return f.ordered().select(*(self.columns[n].x.alias(n) for n in self.names))
 
 
+class Groups(dict):
+    """The places of each value of a frame's column, by value: a dict that asks Spark key by key."""
+
+    def __init__(self, frame: Frame, key: str, at: str):
+        super().__init__()
+        self.frame, self.key, self.at = frame, key, at
+
+    def _of(self, key: object) -> DataFrame:
+        return self.frame.df.filter(F.col(self.key) == str(key))
+
+    def __contains__(self, key: object) -> bool:
+        return not self._of(key).isEmpty()
+
+    def __getitem__(self, key: object) -> Col:
+        return Col(Frame(self._of(key), [self.at]), self.at, "int")
+
+    def __iter__(self) -> Iterator[str]:
+        return iter([r[0] for r in self.frame.df.select(self.key).distinct().orderBy(self.key).collect()])
+
+    def __len__(self) -> int:
+        return self.frame.df.select(self.key).distinct().count()
+
+    def keys(self) -> list[str]:
+        return list(self)
+
+    def items(self) -> list[tuple[str, Vec]]:
+        """All places on the driver: only where a result is asked for."""
+        rows = self.frame.df.groupBy(self.key).agg(F.array_sort(F.collect_list(self.at)).alias("at")).orderBy(self.key).collect()
+        return [(r[0], Vec("int", list(r["at"]))) for r in rows]
+
+    def dataframe(self) -> DataFrame:
+        """(key, at), a row a place."""
+        return self.frame.df.select(F.col(self.key).alias("key"), F.col(self.at).alias("at"))
+
+
 @dataclass
 class Lambda:
     params: list[str]
@@ -140,7 +220,9 @@ def kind_of(v: object) -> str:
         return "null"
     if isinstance(v, (Vec, Col)):
         return f"{v.kind}[]"
-    return {list: "list", dict: "dict", Table: "table", Lambda: "fn", Builtin: "fn"}.get(type(v), "table")
+    if isinstance(v, dict):
+        return "dict"
+    return {list: "list", Table: "table", Lambda: "fn", Builtin: "fn"}.get(type(v), "table")
 
 
 def show(v: object) -> str:

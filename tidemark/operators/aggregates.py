@@ -8,25 +8,37 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import fdiv, quiet
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
-    """For each group of ``keys`` the values at ranks round(p / 100 (n - 1)) of its sorted values,
-    halves away from zero, by the names in ``ranks``. Nulls aren't values; keys aren't null.
+def _summed(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, list[Column]]:
+    """(keys, __x, __c, __upto, __n): each group's different values in order, how often each comes, how
+    many values there are up to it and in all.
 
     Equal values are counted first, with partial counts, so that what meets by group is a row for
     each different value; these are sorted and summed along, and may spill. No group is held as one
-    row.
-    """
+    row."""
     k = [F.col(f"`{c}`") for c in keys]
     counts = df.filter(F.col(f"`{value}`").isNotNull()).groupBy(*k, F.col(f"`{value}`").alias("__x")).agg(F.count("*").alias("__c"))
     by = Window.partitionBy(*k)
     upto = F.sum("__c").over(by.orderBy("__x").rowsBetween(Window.unboundedPreceding, 0))
-    summed = counts.select(*k, "__x", "__c", upto.alias("__upto"), F.sum("__c").over(by).alias("__n"))
+    return counts.select(*k, "__x", "__c", upto.alias("__upto"), F.sum("__c").over(by).alias("__n")), k
+
+
+def _at(rank: Column) -> Column:
+    return F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank), F.col("__x")))
 
-    def at(p: float) -> Column:
-        rank = F.round(F.lit(p / 100.0) * (F.col("__n") - 1))
-        return F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank), F.col("__x")))
 
-    return summed.groupBy(*k).agg(*(at(p).alias(n) for n, p in ranks.items()))
+def median(df: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys, name): the middle of each group's values, of an even number the mean of the two."""
+    summed, k = _summed(df, keys, value)
+    middle = lambda n: F.call_function("div", n, F.lit(2).cast("long"))
+    return summed.groupBy(*k).agg(((_at(middle(F.col("__n") - 1)) + _at(middle(F.col("__n")))) / 2).alias(name))
+
+
+def nearest_rank(df: DataFrame, keys: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """For each group of ``keys`` the values at ranks round(p / 100 (n - 1)) of its sorted values,
+    halves away from zero, by the names in ``ranks``. Nulls aren't values; keys aren't null."""
+    summed, k = _summed(df, keys, value)
+    rank = lambda p: F.round(F.lit(p / 100.0) * (F.col("__n") - 1))
+    return summed.groupBy(*k).agg(*(_at(rank(p)).alias(n) for n, p in ranks.items()))
 
 
 def aggregate(func: str, x: Column, order: Column) -> Column:
@@ -49,8 +61,6 @@ def aggregate(func: str, x: Column, order: Column) -> Column:
         return F.stddev_pop(x)
     if func == "var":
         return F.var_pop(x)
-    if func in ("median", "med"):
-        return F.median(x)
     raise ValueError(f"unknown aggregate {func!r}")
 
 

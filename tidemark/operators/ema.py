@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.ship import ship
 
+from .blocks import BLOCK
+
 
 def smooth(values, alpha: float, start: float | None = None) -> list[float]:
     """e0 = v0 (or from ``start`` on), e = alpha v + (1 - alpha) e; NaN spreads."""
@@ -20,9 +24,10 @@ def smooth(values, alpha: float, start: float | None = None) -> list[float]:
     return out
 
 
-def ema(df: DataFrame, alpha: float, value: str, order: list[str], by: list[str] | None = None, name: str = "ema") -> DataFrame:
+def ema(df: DataFrame, alpha: float, value: str, order: list[str], by: list[str] | None = None, name: str = "ema", later: float | None = None) -> DataFrame:
     """``df`` with ``name``. Rows are dealt by ``by`` and sorted within partitions; the loop streams
-    over batches and holds one number a series, so a long series needs no memory."""
+    over batches and holds one number a series, so a long series needs no memory. ``later`` is what
+    series but those of key 0 start from."""
     by = by or []
     ship(df.sparkSession)
     dealt = df.repartition(*by) if by else df.repartition(1)
@@ -39,7 +44,7 @@ def ema(df: DataFrame, alpha: float, value: str, order: list[str], by: list[str]
                 end = start
                 while end < len(values) and codes[end] == codes[start]:
                     end += 1
-                got = smooth(values[start:end], alpha, last if key == codes[start] else None)
+                got = smooth(values[start:end], alpha, last if key == codes[start] else None if codes[start] == (0,) else later)
                 out[start:end] = got
                 key, last, start = codes[start], got[-1], end
             kept = [b.column(i) for i, n in enumerate(b.schema.names) if n != name]
@@ -47,3 +52,25 @@ def ema(df: DataFrame, alpha: float, value: str, order: list[str], by: list[str]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64())], names=schema.names)
 
     return ordered.mapInArrow(run, schema)
+
+
+def ema_blocks(df: DataFrame, alpha: float, value: str, name: str = "ema", place: str = "__i", block: int = BLOCK) -> DataFrame:
+    """The same of one long series whose rows have their places: each block smooths from 0, and what
+    the blocks before come to fades by (1 - alpha) a row. A row a block is carried along in one task."""
+    blocked = df.withColumn("__block", F.call_function("div", F.col(place), F.lit(block).cast("long")))
+    local = ema(blocked, alpha, value, [place], ["__block"], "__local", later=0.0)
+    edges = local.groupBy("__block").agg(F.max_by("__local", place).alias("end"), F.count("*").alias("n"))
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = 0.0
+        for b in batches:
+            out = []
+            for end, n in zip(b["end"], b["n"], strict=True):
+                out.append(e)
+                e = end + (1 - alpha) ** n * e
+            yield pd.DataFrame({"__block": b["__block"], "__carried": out})
+
+    carried = edges.repartition(1).sortWithinPartitions("__block").mapInPandas(carry, "__block long, __carried double")
+    faded = F.pow(F.lit(1 - alpha), F.col(place) % block + 1) * F.col("__carried")
+    out = F.when(F.col("__block") == 0, F.col("__local")).otherwise(F.col("__local") + faded)
+    return local.join(carried, "__block").withColumn(name, out).drop("__block", "__local", "__carried")

@@ -6,6 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Buckets that one array holds.
+MOST = 10_000
+
+
+def _buckets(one: DataFrame, tags: list[str], width: int) -> DataFrame:
+    """The tags and a ``time`` for each bucket from lo to hi, in three steps of MOST at most each, so
+    that no row holds all buckets of a group."""
+    keys = [F.col(f"`{t}`") for t in tags]
+    out = one.select(*keys, "lo", F.call_function("div", F.col("hi") - F.col("lo"), F.lit(width).cast("long")).alias("__last")).withColumn("__n", F.lit(0).cast("long"))
+    for span in (MOST * MOST, MOST, 1):
+        last = F.call_function("div", F.col("__last"), F.lit(span).cast("long"))
+        first = F.col("__n") * (MOST if span < MOST * MOST else 1)
+        upto = last if span == MOST * MOST else F.least(last, first + (MOST - 1))
+        out = out.select(*keys, "lo", "__last", F.explode(F.sequence(first, upto)).alias("__n"))
+    return out.select(*keys, (F.col("lo") + F.col("__n") * F.lit(width).cast("long")).alias("time"))
+
+
 def fill(df: DataFrame, width: int, tags: list[str], values: dict[str, bool], policy: str | float) -> DataFrame:
     """Add the missing buckets between the first and the last of all groups to every group.
 
@@ -18,12 +35,9 @@ def fill(df: DataFrame, width: int, tags: list[str], values: dict[str, bool], po
         return df
     edges = df.agg(F.min("time").alias("lo"), F.max("time").alias("hi")).filter("lo is not null")
     groups = df.select(*tags).distinct() if tags else None
-    step = F.lit(width).cast("long")
-    spine = edges.select(F.explode(F.sequence("lo", "hi", step)).alias("time"))
-    if groups is not None:
-        # One row of edges meets each group: the groups' own number of rows, not a cross product.
-        one = groups.crossJoin(F.broadcast(edges))
-        spine = one.select(*tags, F.explode(F.sequence("lo", "hi", step)).alias("time"))
+    # One row of edges meets each group: the groups' own number of rows, not a cross product.
+    one = groups.crossJoin(F.broadcast(edges)) if groups is not None else edges
+    spine = _buckets(one, tags, width)
     left, right = spine.alias("s"), df.withColumn("__there", F.lit(True)).alias("d")
     on = [F.col("s.time") == F.col("d.time"), *(F.col(f"s.`{t}`").eqNullSafe(F.col(f"d.`{t}`")) for t in tags)]
     joined = left.join(right, on, "left").select("s.time", *(F.col(f"s.`{t}`") for t in tags), *(F.col(f"d.`{v}`") for v in values), F.col("d.__there").isNull().alias("__new"))

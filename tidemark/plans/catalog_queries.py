@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import numeric as N
 from tidemark.operators import windows as W
-from tidemark.operators.aggregates import correlation, nearest_rank, weighted_mean
+from tidemark.operators.aggregates import correlation
 from tidemark.operators.ema import ema
 from tidemark.operators.joins import asof
-from tidemark.operators.resampling import resample
 
 from .compiler import compile_select
 from .dialect import parse
@@ -37,28 +35,6 @@ def dialect(name: str, text: str, names: list[str], sql: str) -> None:
     QUERIES[name], ORACLE_SQL[name] = run, sql
 
 
-def column(name: str, x: Callable[[Column, object], Column], sql: str) -> None:
-    """A vector function on the values of each event type, in order of time. The 1e-9 keeps exact
-    halves, which the two engines round by different rules, from coming up."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        over = Window.partitionBy("event_type").orderBy("ts_ns", "event_id")
-        df = events(spark, sf_dir).df
-        return df.select("event_id", F.round(x(F.col("value"), over) + 1e-9, 6).alias("v"))
-
-    QUERIES[name] = run
-    ORACLE_SQL[name] = f"select event_id, round({sql} + 1e-9, 6) as v from {E} window w as (partition by event_type order by t, event_id)"
-
-
-def scalar(name: str, x: Callable[[], Column], sql: str, where: str = "true") -> None:
-    """One number of all events."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return events(spark, sf_dir).df.filter(where).agg(F.round(x(), 6).alias("v"))
-
-    QUERIES[name], ORACLE_SQL[name] = run, f"select round({sql}, 6) as v from {E} where {where}"
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["group_time"](spark, sf_dir)
 
@@ -91,140 +67,31 @@ AGG = {
 }
 for func, sql in AGG.items():
     of = "value, 95" if func == "percentile" else "value"
-    dialect(f"agg_{func}", f"SELECT {func}({of}) FROM events WHERE event_type = 'view'", ["time", "v"], f"select cast(null as bigint) as time, round({sql}, 6) as v from {E} where event_type = 'view'")
-dialect("group_time", "SELECT mean(value) FROM events WHERE event_type = 'purchase' GROUP BY time(1h)", ["time", "v"], f"select t // {H} * {H} as time, round(avg(value), 6) as v from {E} where event_type = 'purchase' group by 1")
+    dialect(f"agg_{func}", f"SELECT {func}({of}) FROM events", ["time", "v"], f"select cast(null as bigint) as time, round({sql}, 6) as v from {E}")
+dialect("agg_count_distinct", "SELECT count(distinct user_id), count(value) FROM events GROUP BY event_type", ["time", "event_type", "u", "n"], f"select cast(null as bigint) as time, event_type, cast(count(distinct user_id) as double) as u, cast(count(value) as double) as n from {E} group by event_type")
+dialect("group_time", "SELECT mean(value) FROM events GROUP BY time(1h)", ["time", "v"], f"select t // {H} * {H} as time, round(avg(value), 6) as v from {E} group by 1")
 dialect("group_tag", "SELECT sum(value), percentile(value, 95) FROM events GROUP BY event_type", ["time", "event_type", "s", "p"], f"select cast(null as bigint) as time, event_type, round(sum(value), 6) as s, round({RANK95}, 6) as p from {E} group by event_type")
 dialect("group_time_tag", "SELECT count(value), max(value), stddev(value) FROM events GROUP BY time(6h), event_type", ["time", "event_type", "n", "m", "d"], f"select t // {6 * H} * {6 * H} as time, event_type, cast(count(value) as double) as n, round(max(value), 6) as m, round(stddev_pop(value), 6) as d from {E} group by 1, 2")
+dialect("group_where", "SELECT mean(value) FROM events WHERE event_type = 'purchase' AND value > 5 GROUP BY time(1d), user_id", ["time", "u", "v"], f"select t // {24 * H} * {24 * H} as time, user_id as u, round(avg(value), 6) as v from {E} where event_type = 'purchase' and value > 5 group by 1, 2")
 dialect("group_lineitem", "SELECT sum(l_quantity), mean(l_extendedprice), count(l_tax) FROM lineitem GROUP BY time(1d), l_returnflag, l_linestatus", ["time", "f", "s", "q", "p", "n"], f"select epoch_us(l_shipdate) * 1000 // {24 * H} * {24 * H} as time, l_returnflag as f, l_linestatus as s, round(sum(l_quantity), 6) as q, round(avg(l_extendedprice), 6) as p, cast(count(l_tax) as double) as n from lineitem group by 1, 2, 3")
-dialect("ohlc_bars", "SELECT first(value) AS o, max(value) AS h, min(value) AS l, last(value) AS c, sum(value) AS v FROM events WHERE event_type = 'view' GROUP BY time(1d)", ["time", "o", "h", "l", "c", "v"], f"select t // {24 * H} * {24 * H} as time, round(arg_min(value, (t, event_id)), 6) as o, round(max(value), 6) as h, round(min(value), 6) as l, round(arg_max(value, (t, event_id)), 6) as c, round(sum(value), 6) as v from {E} where event_type = 'view' group by 1")
+dialect("ohlc_bars", "SELECT first(value) AS o, max(value) AS h, min(value) AS l, last(value) AS c, sum(value) AS v FROM events GROUP BY time(1d)", ["time", "o", "h", "l", "c", "v"], f"select t // {24 * H} * {24 * H} as time, round(arg_min(value, (t, event_id)), 6) as o, round(max(value), 6) as h, round(min(value), 6) as l, round(arg_max(value, (t, event_id)), 6) as c, round(sum(value), 6) as v from {E} group by 1")
 dialect("group_page", "SELECT mean(value) FROM events GROUP BY time(1h) ORDER BY time DESC LIMIT 10 OFFSET 3", ["time", "v"], f"select t // {H} * {H} as time, round(avg(value), 6) as v from {E} group by 1 order by 1 desc limit 10 offset 3")
 
-# Gap filling, of the signups of two users by hours.
-GAPS = f"""with g as (select t // {H} * {H} as time, event_type, sum(value) as v, cast(count(value) as double) as n from {E} where user_id in ('3', '4') group by 1, 2),
+# Gap filling, by ten minutes so that there are gaps.
+M = 600_000_000_000
+GAPS = f"""with g as (select t // {M} * {M} as time, event_type, sum(value) as v, cast(count(value) as double) as n from {E} group by 1, 2),
  r as (select min(time) as lo, max(time) as hi from g), k as (select distinct event_type from g),
- s as (select k.event_type, unnest(range(r.lo, r.hi + 1, {H})) as time from k, r),
+ s as (select k.event_type, unnest(range(r.lo, r.hi + 1, {M})) as time from k, r),
  j as (select s.time, s.event_type, g.v, coalesce(g.n, 0.0) as n, g.n is null as new from s left join g on g.time = s.time and g.event_type = s.event_type),
  w as (select *, last_value(case when v is not null then time end ignore nulls) over p as t0, last_value(v ignore nulls) over p as v0, first_value(case when v is not null then time end ignore nulls) over q as t1, first_value(v ignore nulls) over q as v1
  from j window p as (partition by event_type order by time rows between unbounded preceding and 1 preceding), q as (partition by event_type order by time rows between 1 following and unbounded following))
  select time, event_type, round(case when not new then v else {{fill}} end, 6) as v, n from w"""
 for kind, sql in {"null": "null", "previous": "v0", "linear": "v0 + (v1 - v0) * cast(time - t0 as double) / cast(t1 - t0 as double)", "0": "0.0"}.items():
-    dialect(f"fill_{'value' if kind == '0' else kind}", f"SELECT sum(value), count(value) FROM events WHERE user_id IN ('3', '4') GROUP BY time(1h), event_type FILL({kind})", ["time", "event_type", "v", "n"], GAPS.format(fill=sql))
-dialect("fill_none", "SELECT sum(value), count(value) FROM events WHERE user_id IN ('3', '4') GROUP BY time(1h), event_type FILL(none)", ["time", "event_type", "v", "n"], f"select t // {H} * {H} as time, event_type, round(sum(value), 6) as v, cast(count(value) as double) as n from {E} where user_id in ('3', '4') group by 1, 2")
-
-# Gap filling of all events, by ten minutes so that there are gaps.
-M = 600_000_000_000
-WHOLE = {n: ORACLE_SQL[n].replace(" where user_id in ('3', '4')", "").replace(str(H), str(M)) for n in ("fill_null", "fill_previous", "fill_linear", "fill_value", "fill_none")}
-for name, sql in WHOLE.items():
-    kind = "0" if name == "fill_value" else name.removeprefix("fill_")
-    dialect(f"{name}_all", f"SELECT sum(value), count(value) FROM events GROUP BY time(10m), event_type FILL({kind})", ["time", "event_type", "v", "n"], sql)
-
-# Vector functions.
-for func, sql in {"mavg": "avg(value)", "msum": "sum(value)", "mmin": "min(value)", "mmax": "max(value)", "mdev": "stddev_pop(value)", "mcount": "count(value)"}.items():
-    column(f"arr_{func}", lambda x, w, f=func: W.moving(f, 10, x, w), f"{sql} over (partition by event_type order by t, event_id rows between 9 preceding and current row)")
-column("arr_wma", lambda x, w: W.weighted_moving(10, x, w), "")
-ORACLE_SQL["arr_wma"] = f"select event_id, round(list_sum(list_transform(l, lambda v, i: v * i)) / (len(l) * (len(l) + 1) / 2) + 1e-9, 6) as v from (select event_id, list(value) over (partition by event_type order by t, event_id rows between 9 preceding and current row) as l from {E})"
-for func, sql in {"sums": "sum(value)", "avgs": "avg(value)", "mins": "min(value)", "maxs": "max(value)"}.items():
-    column(f"arr_{func}", lambda x, w, f=func: W.running(f, x, w), f"{sql} over (partition by event_type order by t, event_id rows unbounded preceding)")
-column("arr_deltas", W.deltas, "value - coalesce(lag(value) over w, 0)")
-column("arr_ratios", lambda x, w: F.when(F.isnan(W.ratios(x, w)) | (F.abs(W.ratios(x, w)) == N.INF), None).otherwise(W.ratios(x, w)), "case when lag(value) over w <> 0 then value / lag(value) over w end")
-column("arr_prev", lambda x, w: W.shifted(x, 1, w, -1.0), "lag(value, 1, -1.0) over w")
-column("arr_next", lambda x, w: W.shifted(x, -1, w, -1.0), "lead(value, 1, -1.0) over w")
-
-
-def _gappy(x: Column) -> Column:
-    return F.when(F.col("event_id") % 3 == 0, N.NAN).otherwise(x)
-
-
-def _null_nan(x: Column) -> Column:
-    return F.when(~F.isnan(x), x)
-
-
-GAPPY = "case when event_id % 3 <> 0 then value end"
-column("arr_ffill", lambda x, w: _null_nan(W.fill_forward(_gappy(x), w)), f"last_value({GAPPY} ignore nulls) over (partition by event_type order by t, event_id rows unbounded preceding)")
-column("arr_bfill", lambda x, w: _null_nan(W.fill_backward(_gappy(x), w)), f"first_value({GAPPY} ignore nulls) over (partition by event_type order by t, event_id rows between current row and unbounded following)")
-
-
-def arr_prds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    over = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    return t.select("l_orderkey", "l_linenumber", F.round(W.running("prds", 1 + F.col("l_discount"), over), 6).alias("v"))
-
-
-QUERIES["arr_prds"] = arr_prds
-ORACLE_SQL["arr_prds"] = "select l_orderkey, l_linenumber, round(product(1 + l_discount) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows unbounded preceding), 6) as v from lineitem"
-
-
-def arr_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = ema(events(spark, sf_dir).df.select("event_type", "ts_ns", "event_id", "value"), 0.1, "value", ["ts_ns", "event_id"], ["event_type"])
-    return out.select("event_id", F.round("ema", 6).alias("v"))
-
-
-QUERIES["arr_ema"] = arr_ema
-ORACLE_SQL["arr_ema"] = f"""with recursive o as (select event_type, event_id, value, row_number() over (partition by event_type order by t, event_id) as n from {E}),
- e as (select event_type, event_id, n, value as v from o where n = 1 union all select o.event_type, o.event_id, o.n, 0.1 * o.value + 0.9 * e.v from e join o on o.event_type = e.event_type and o.n = e.n + 1)
- select event_id, round(v, 6) as v from e"""
-
-# Reductions.
-def V() -> Column:
-    return F.col("value")
-
-
-scalar("arr_sum", lambda: F.coalesce(F.sum(V()), F.lit(0.0)), "sum(value)")
-scalar("arr_avg", lambda: F.avg(V()), "avg(value)")
-scalar("arr_med", lambda: F.median(V()), "median(value)")
-scalar("arr_dev", lambda: F.stddev_pop(V()), "stddev_pop(value)")
-scalar("arr_var", lambda: F.var_pop(V()), "var_pop(value)")
-scalar("arr_wavg", lambda: weighted_mean(F.col("event_id").cast("double"), V()), "sum(event_id * value) / sum(event_id)")
-scalar("arr_cor", lambda: correlation(F.col("event_id").cast("double"), V()), "corr(event_id, value)")
-scalar("spread", lambda: F.max(V()) - F.min(V()), "max(value) - min(value)", "event_type = 'view'")
-
-
-def _pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).df.filter("event_type = 'click'")
-    return nearest_rank(e, [], "value", {"v": 90.0}).select(F.round("v", 6).alias("v"))
-
-
-QUERIES["arr_pct"] = _pct
-ORACLE_SQL["arr_pct"] = f"select round(list_sort(list(value))[cast(round(0.9 * (count(value) - 1)) as int) + 1], 6) as v from {E} where event_type = 'click'"
-
-
-# Elementwise operators, on rows.
-def rows(name: str, cols: Callable[[], dict[str, Column]], sql: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return events(spark, sf_dir).df.select("event_id", *(c.alias(n) for n, c in cols().items()))
-
-    QUERIES[name], ORACLE_SQL[name] = run, f"select event_id, {sql} from {E}"
-
-
-def I() -> Column:
-    return F.col("event_id")
-
-
-def U() -> Column:
-    return F.col("user_id").cast("long")
-
-
-u = "cast(user_id as bigint)"
-rows("arr_add", lambda: {"a": F.round(V() + I(), 6), "s": F.round(V() - U(), 6), "m": F.round(V() * 2.5, 6)}, f"round(value + event_id, 6) as a, round(value - {u}, 6) as s, round(value * 2.5, 6) as m")
-rows("arr_div", lambda: {"d": F.round(_null_nan(N.fdiv(V(), I())) + 1e-9, 6), "z": N.fdiv(V(), F.lit(0.0)) == N.INF}, "round(case when event_id <> 0 then value / event_id when value > 0 then 'inf'::double end + 1e-9, 6) as d, value > 0 as z")
-rows("arr_mod", lambda: {"i": N.imod(I(), U()), "n": N.imod(-I(), F.lit(7)), "f": F.round(N.fmod(V(), F.lit(3.0)), 6)}, f"case when {u} = 0 then 0 else event_id % {u} end as i, -event_id % 7 as n, round(value % 3.0, 6) as f")
-rows("arr_pow", lambda: {"p": F.round(F.pow(V() / 100, F.lit(2.0)), 6), "r": F.round(F.sqrt(F.abs(V())), 6), "l": F.round(_null_nan(N.flog(V() + 1)), 6), "c": N.fround(V(), True), "f": N.fround(V(), False), "g": N.fsignum(V() - 50)}, "round(pow(value / 100, 2), 6) as p, round(sqrt(abs(value)), 6) as r, round(ln(value + 1), 6) as l, ceil(value) as c, floor(value) as f, case when value - 50 >= 0 then 1.0 else -1.0 end::double as g")
-rows("arr_cmp", lambda: {"lt": N.compare("<", V(), F.lit(50.0)), "ge": N.compare(">=", V(), F.lit(50.0)), "eq": N.feq(V(), F.lit(50.0)), "nan": N.compare("<=", F.lit(N.NAN), V())}, "value < 50 as lt, value >= 50 as ge, value = 50 as eq, false as nan")
-rows("arr_logic", lambda: {"a": (V() > 50) & (I() % 2 == 0), "o": (V() > 90) | (I() % 5 == 0), "n": ~(V() > 50)}, "value > 50 and event_id % 2 = 0 as a, value > 90 or event_id % 5 = 0 as o, not value > 50 as n")
-rows("arr_xbar", lambda: {"x": N.bucket(F.col("ts_ns"), 5 * 60 * 10**9)}, "t // 300000000000 * 300000000000 as x")
-rows("arr_like", lambda: {"k": F.col("event_type").rlike("^.*i.?.*$"), "m": F.col("event_type").rlike("^v.*$")}, "event_type like '%i%' as k, event_type like 'v%' as m")
-def calendar(f: Callable[[Column], Column]) -> Callable[[], dict[str, Column]]:
-    return lambda: {"v": f(F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000)))).cast("long")}
-
+    dialect(f"fill_{'value' if kind == '0' else kind}", f"SELECT sum(value), count(value) FROM events GROUP BY time(10m), event_type FILL({kind})", ["time", "event_type", "v", "n"], GAPS.format(fill=sql))
+dialect("fill_none", "SELECT sum(value), count(value) FROM events GROUP BY time(10m), event_type FILL(none)", ["time", "event_type", "v", "n"], f"select t // {M} * {M} as time, event_type, round(sum(value), 6) as v, cast(count(value) as double) as n from {E} group by 1, 2")
 
-for part, (f, sql) in {
-    "year": (F.year, "year(ts)"), "month": (F.month, "month(ts)"), "day": (F.day, "day(ts)"), "hour": (F.hour, "hour(ts)"),
-    "minute": (F.minute, "minute(ts)"), "second": (F.second, "second(ts)"), "week": (F.weekofyear, "week(ts)"), "dow": (F.weekday, "isodow(ts) - 1"),
-}.items():
-    rows(f"arr_extract_{part}", calendar(f), f"cast({sql.replace('ts', 'make_timestamp(t // 1000)')} as bigint) as v")
 
-
-# Structure.
+# Operators by key, as a table of many series has them.
 def frame(name: str, sql: str) -> Callable:
     def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[name], ORACLE_SQL[name] = f, sql
@@ -233,121 +100,38 @@ def frame(name: str, sql: str) -> Callable:
     return keep
 
 
-@frame("arr_distinct", f"select event_type, row_number() over (order by p) as n from (select event_type, min(t) as p from {E} group by 1)")
-def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = events(spark, sf_dir).df.groupBy("event_type").agg(F.min("ts_ns").alias("p"))
-    return g.select("event_type", F.row_number().over(Window.orderBy("p")).cast("long").alias("n"))
-
-
-@frame("arr_group", f"select user_id, count(*) as n, min(i) as lo, max(i) as hi from (select user_id, row_number() over (order by t, event_id) - 1 as i from {E} where event_type = 'signup') group by 1")
-def _group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).df.filter("event_type = 'signup'")
-    i = e.select("user_id", (F.row_number().over(Window.orderBy("ts_ns", "event_id")) - 1).cast("long").alias("i"))
-    g = i.groupBy("user_id").agg(F.array_sort(F.collect_list("i")).alias("at"))
-    return g.select("user_id", F.size("at").cast("long").alias("n"), F.element_at("at", 1).alias("lo"), F.element_at("at", -1).alias("hi"))
-
-
-@frame("arr_asc", f"select value from {E} order by value limit 50")
-def _asc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.orderBy("value").select("value").limit(50)
-
-
-@frame("arr_desc", f"select value from {E} order by value desc limit 50")
-def _desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.orderBy(F.desc("value")).select("value").limit(50)
-
-
-@frame("arr_take", f"select event_id from {E} order by t, event_id limit 100")
-def _take(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.orderBy("ts_ns", "event_id").select("event_id").limit(100)
-
-
-@frame("arr_drop", f"select event_id from {E} order by t, event_id offset 900")
-def _drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.orderBy("ts_ns", "event_id").select("event_id").offset(900)
-
-
-@frame("arr_rev", f"select event_id from {E} order by t desc, event_id desc limit 100")
-def _rev(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.orderBy(F.desc("ts_ns"), F.desc("event_id")).select("event_id").limit(100)
-
-
-# The same orders of all rows, each with its place.
-def ranked(name: str, x: str, by: Callable[[], list[Column]], sql: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return events(spark, sf_dir).df.select((F.row_number().over(Window.orderBy(*by())) - 1).cast("long").alias("i"), x)
-
-    QUERIES[name], ORACLE_SQL[name] = run, f"select row_number() over (order by {sql}) - 1 as i, {x} from {E}"
-
-
-ranked("arr_asc_all", "value", lambda: [F.col("value")], "value")
-ranked("arr_desc_all", "value", lambda: [F.desc("value")], "value desc")
-ranked("arr_rev_all", "event_id", lambda: [F.desc("ts_ns"), F.desc("event_id")], "t desc, event_id desc")
-
-
-@frame("arr_find", f"select coalesce(min(i), -1) as v from (select event_type, row_number() over (order by t, event_id) - 1 as i from {E}) where event_type = 'error'")
-def _find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).df
-    first = e.filter("event_type = 'error'").agg(F.min(F.struct("ts_ns", "event_id")).alias("f"))
-    before = e.join(F.broadcast(first), (F.struct("ts_ns", "event_id") < F.col("f")) | F.col("f").isNull())  # one row
-    return before.agg(F.when(F.bool_or(F.col("f").isNull()), F.lit(-1).cast("long")).otherwise(F.count("*")).alias("v"))
-
-
-@frame("arr_in", f"select event_id, event_type in ('view', 'error') as v from {E}")
-def _in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.select("event_id", F.col("event_type").isin("view", "error").alias("v"))
-
-
-@frame("arr_where", f"select i as v from (select event_type, row_number() over (order by t, event_id) - 1 as i from {E}) where event_type = 'error'")
-def _where(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).df
-    i = e.select("event_type", (F.row_number().over(Window.orderBy("ts_ns", "event_id")) - 1).cast("long").alias("v"))
-    return i.filter("event_type = 'error'").select("v")
-
-
-@frame("arr_each", f"select event_id, round(value * value + 1, 6) as v from {E}")
-def _each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.select("event_id", F.round(V() * V() + 1, 6).alias("v"))
-
-
-@frame("arr_over", f"select event_type, round(sum(value), 6) as s, max(value) as m from {E} group by 1")
-def _over(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).df.groupBy("event_type").agg(F.round(F.sum("value"), 6).alias("s"), F.max("value").alias("m"))
+@frame("keyed_prds", "select l_orderkey, l_linenumber, round(product(1 + l_discount) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows unbounded preceding), 6) as v from lineitem")
+def _prds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    over = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return t.select("l_orderkey", "l_linenumber", F.round(W.running("prds", 1 + F.col("l_discount"), over), 6).alias("v"))
 
 
-column("arr_scan", lambda x, w: W.running("maxs", x, w) + W.running("sums", x, w), "max(value) over (partition by event_type order by t, event_id rows unbounded preceding) + sum(value) over (partition by event_type order by t, event_id rows unbounded preceding)")
-column("arr_each_prior", lambda x, w: F.when(F.row_number().over(w) == 1, x).otherwise(x * F.lag(x).over(w)), "case when row_number() over w = 1 then value else value * lag(value) over w end")
+@frame("keyed_mavg", f"select event_id, round(avg(value) over (partition by user_id order by t, event_id rows between 9 preceding and current row) + 1e-9, 6) as v from {E}")
+def _mavg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    over = Window.partitionBy("user_id").orderBy("ts_ns", "event_id")
+    return events(spark, sf_dir).df.select("event_id", F.round(W.moving("mavg", 10, F.col("value"), over) + 1e-9, 6).alias("v"))
 
 
-@frame("arr_resample", f"select t // {12 * H} * {12 * H} as ts, round(avg(value), 6) as value from {E} where event_type = 'click' group by 1")
-def _resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).df.filter("event_type = 'click'")
-    return resample(e, 12 * H, "ts_ns", F.round(F.avg("value"), 6))
+@frame("keyed_ema", f"""with recursive o as (select event_type, event_id, value, row_number() over (partition by event_type order by t, event_id) as n from {E}),
+ e as (select event_type, event_id, n, value as v from o where n = 1 union all select o.event_type, o.event_id, o.n, 0.1 * o.value + 0.9 * e.v from e join o on o.event_type = e.event_type and o.n = e.n + 1)
+ select event_id, round(v, 6) as v from e""")
+def _ema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ema(events(spark, sf_dir).df.select("event_type", "ts_ns", "event_id", "value"), 0.1, "value", ["ts_ns", "event_id"], ["event_type"])
+    return out.select("event_id", F.round("ema", 6).alias("v"))
 
 
-@frame("arr_asof", f"select l.event_id, round(r.value, 6) as v from (select * from {E} where event_type = 'purchase') l asof left join (select * from {E} where event_type = 'view') r on l.user_id = r.user_id and l.t >= r.t")
+@frame("keyed_asof", f"select l.event_id, round(r.value, 6) as v from (select * from {E} where event_type = 'purchase') l asof left join (select * from {E} where event_type = 'view') r on l.user_id = r.user_id and l.t >= r.t")
 def _asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).df
     left, right = (e.filter(F.col("event_type") == k).select("event_id", "ts_ns", "user_id", "value") for k in ("purchase", "view"))
     return asof(left, right, "ts_ns", "value", ["user_id"], "event_id", "event_id", "v").select("event_id", F.round("v", 6).alias("v"))
 
 
-# Analytics programs.
-@frame("zscore_anomaly", f"select event_id, round(abs(value - m) / d, 6) as z from {E}, (select avg(value) as m, stddev_pop(value) as d from {E}) where abs(value - m) / d > 1.5")
-def _zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).df
-    stats = e.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("d"))
-    z = N.fdiv(F.abs(F.col("value") - F.col("m")), F.col("d"))
-    return e.join(F.broadcast(stats)).select("event_id", z.alias("z")).filter("z > 1.5").select("event_id", F.round("z", 6).alias("z"))  # stats is one row
-
-
 @frame("topk_by_tag", f"select user_id, round(avg(value), 6) as v from {E} group by 1 order by avg(value) desc, user_id limit 5")
 def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = events(spark, sf_dir).df.groupBy("user_id").agg(F.avg("value").alias("m"))
-    return g.orderBy(F.desc("m"), "user_id").limit(5).select("user_id", F.round("m", 6).alias("v"))
-
-
-column("rate_of_change", lambda x, w: N.fdiv(W.deltas(x, w), N.fdiv(W.deltas(F.col("ts_ns").cast("double"), w), F.lit(1e9))), "(value - coalesce(lag(value) over w, 0)) / ((t::double - coalesce(lag(t::double) over w, 0)) / 1e9)")
+    means = compile_select(parse("SELECT mean(value) AS m FROM events GROUP BY user_id"), events(spark, sf_dir))
+    return means.orderBy(F.desc("m"), "user_id").limit(5).select("user_id", F.round("m", 6).alias("v"))
 
 
 @frame("order_correlation", "select o_orderpriority, round(corr(epoch_us(o_orderdate)::double, o_totalprice), 6) as v from orders group by 1")
@@ -356,47 +140,8 @@ def _cor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("o_orderpriority").agg(F.round(correlation((F.col("ts_ns") / 1000).cast("double"), F.col("o_totalprice")), 6).alias("v"))
 
 
-dialect("agg_count_distinct", "SELECT count(distinct user_id), count(value) FROM events GROUP BY event_type", ["time", "event_type", "u", "n"], f"select cast(null as bigint) as time, event_type, cast(count(distinct user_id) as double) as u, cast(count(value) as double) as n from {E} group by event_type")
-
-
-@frame("line_protocol_roundtrip", f"select t as ts_ns, event_type, user_id, value, event_id from {E}")
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.sources import line_protocol
-
-    e = events(spark, sf_dir).df
-    line = F.concat(F.lit("events,event_type="), "event_type", F.lit(",user_id="), "user_id", F.lit(" value="), F.col("value").cast("string"), F.lit(",event_id="), F.col("event_id").cast("string"), F.lit("i "), F.col("ts_ns").cast("string"))
-    parsed = line_protocol.parse(e.select(line.alias("value")), now_ns=0)
-    return line_protocol.measurement_rows(parsed, "events", ["event_type", "user_id"], {"value": "double", "event_id": "long"})
-
-
-# The array language, end to end: each result must equal what the dialect or SQL says.
-def language(name: str, text: str, columns: list[str], sql: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from tidemark.lang.evaluate import Session
-        from tidemark.lang.values import Col, Table
-
-        found = {n: v(spark, sf_dir) for n, v in VIEWS.items()}
-        got = Session(spark, found.get).run(text)
-        if isinstance(got, Col):
-            df = got.frame.df.select(got.x.alias(columns[0]))
-        elif isinstance(got, Table):
-            df = got.dataframe().toDF(*columns)
-        else:
-            df = spark.range(1).select(F.lit(float(got)).alias(columns[0]))
-        return df.select(*(F.round(F.col(c) + 1e-9, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
-
-    QUERIES[name], ORACLE_SQL[name] = run, sql
-
+from . import language_queries, store_queries  # noqa: E402
 
-P = f"(select * from {E} where event_type = 'purchase')"
-language("lang_filter", "events.value @ `event_type = `purchase", ["v"], f"select round(value + 1e-9, 6) as v from {P}")
-language("lang_within", "avg events.value within (2024.01.05D00:00; 2024.01.06D00:00)", ["v"], f"select round(avg(value) + 1e-9, 6) as v from {E} where t between 1704412800000000000 and 1704499200000000000")
-language("lang_select", "select avg(value), count(value) from events where event_type in `view`click by (xbar[6h; ts]; event_type)", ["ts", "k", "v", "n"], f"select t // {6 * H} * {6 * H} as ts, event_type as k, round(avg(value) + 1e-9, 6) as v, round(count(value) + 1e-9, 6) as n from {E} where event_type in ('view', 'click') group by 1, 2")
-language("lang_mavg", "mavg[10; events.value @ `event_type = `purchase]", ["v"], f"select round(avg(value) over (order by t, 'events,event_type=' || event_type || ',user_id=' || user_id, event_id rows between 9 preceding and current row) + 1e-9, 6) as v from {P}")
-language("lang_zscore", "v: events.value @ `event_type = `purchase; z: abs (v - avg v) % dev v; z[where z > 1.5]", ["v"], f"select round(abs(value - m) / d + 1e-9, 6) as v from {P}, (select avg(value) as m, stddev_pop(value) as d from {P}) where abs(value - m) / d > 1.5")
-language("lang_spread", "(max events.value) - min events.value", ["v"], f"select round(max(value) - min(value) + 1e-9, 6) as v from {E}")
-language("lang_ema", "ema[0.2; events.value @ `event_type = `error]", ["v"], f"""with recursive o as (select value, row_number() over (order by t, event_id) as n from {E} where event_type = 'error'),
- e as (select n, value as v from o where n = 1 union all select o.n, 0.2 * o.value + 0.8 * e.v from e join o on o.n = e.n + 1) select round(v + 1e-9, 6) as v from e""")
-language("lang_resample", "resample[12h; events.ts @ `event_type = `click; events.value @ `event_type = `click; sum]", ["ts", "v"], f"select t // {12 * H} * {12 * H} as ts, round(sum(value) + 1e-9, 6) as v from {E} where event_type = 'click' group by 1")
-language("lang_top", "5 # desc events.value", ["v"], f"select round(value + 1e-9, 6) as v from {E} order by value desc limit 5")
-language("lang_lambda", "f: {[a; b] (a * b) + 1}; f[events.value; 2] % 3", ["v"], f"select round((value * 2 + 1) / 3 + 1e-9, 6) as v from {E}")
+for more in (language_queries, store_queries):
+    QUERIES |= more.QUERIES
+    ORACLE_SQL |= more.ORACLE_SQL

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import bucket, double
@@ -33,9 +33,10 @@ def time_range(where: object) -> tuple[int, int]:
 
 
 def _valid(pattern: str) -> bool:
+    """Whether Java, whose patterns Spark's are, takes it."""
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
         return False
     return True
 

@@ -12,7 +12,7 @@ from tidemark.model import Measurement
 def events(spark: SparkSession, sf_dir: str) -> Measurement:
     t = spark.read.parquet(f"{sf_dir}/events.parquet")
     df = t.select(nanoseconds(F.col("ts"), t.schema["ts"].dataType).alias("ts_ns"), "event_type", F.col("user_id").cast("string").alias("user_id"), "value", "event_id")
-    return Measurement("events", df, ["event_type", "user_id"], ["value"], ["event_id"])
+    return Measurement("events", df, ["event_type", "user_id"], ["event_id", "value"], ["event_id"])
 
 
 def orders(spark: SparkSession, sf_dir: str) -> Measurement:
