@@ -152,13 +152,63 @@ def test_toxicity_learns_from_positives_and_unlabelled(spark):
     assert {r["predicted"] for r in nothing} == {0}
 
 
-def test_non_negative_risk_stops_overfitting():
+def test_non_negative_risk():
+    """The slope is that of the plain risk, and training brings the risk down without going below 0."""
     rng = np.random.default_rng(5)
-    pos = np.c_[np.ones(40), rng.normal(1.5, 1, (40, 30))]
-    unl = np.c_[np.ones(400), np.concatenate([rng.normal(1.5, 1, (80, 30)), rng.normal(-0.2, 1, (320, 30))])]
-    pu = toxicity.NonNegativePU(0.2).fit(pos, unl)
-    s = pu.score(unl) >= 0.5
-    assert s[:80].mean() > 0.9 and s[80:].mean() < 0.1
+    draw = lambda p: np.flatnonzero(rng.random(60) < p)
+    toxic, clean = np.where(np.arange(60) < 12, 0.3, 0.1), np.where(np.arange(60) < 12, 0.02, 0.1)
+    pos = [draw(toxic) for _ in range(150)]
+    unl = [draw(toxic) for _ in range(160)] + [draw(clean) for _ in range(640)]
+    pu = toxicity.NonNegativePU(0.2)
+
+    def plain(s):
+        loss = lambda z: float(np.log(1 + np.exp(-z)))
+        positive = 0.2 * sum(loss(z) for z in s[:4]) / 4
+        negative = sum(loss(-z) for z in s[4:]) / len(s[4:]) - 0.2 * sum(loss(-z) for z in s[:4]) / 4
+        return positive, negative
+
+    for s in (np.array([0.5, -1, 2, 0.1, -0.3, 1.5, -2, 0.7, 0.2]), np.array([5.0, 4, 6, 5, -9, -9, -9, -9, -9])):
+        assert pu.risk(s, 4) == pytest.approx(plain(s))
+        below = plain(s)[1] < 0
+        for i in range(len(s)):
+            up, down = s.copy(), s.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            total = [-plain(x)[1] if below else sum(plain(x)) for x in (up, down)]
+            assert pu.slope(s, 4)[i] == pytest.approx((total[0] - total[1]) / 2e-5, abs=1e-6)
+    pu.fit(pos, unl, 60)
+    score = lambda sets: np.array([pu.weights[x].sum() + pu.bias for x in sets])
+    before, after = (pu.risk(s, len(pos)) for s in (np.zeros(950), score([*pos, *unl])))
+    assert after[0] + max(0, after[1]) < before[0] + max(0, before[1])
+    s = score(unl) >= 0
+    assert s[:160].mean() > 0.85 and s[160:].mean() < 0.1
+
+
+def test_toxicity_against_plain_counts(spark):
+    """The tables' model against one trained from lists, and scores against sums over plain features."""
+    import re
+    import zlib
+
+    texts, toxic = labelled(400, random.Random(6))
+    texts[5], texts[7], texts[9] = "", None, "vexq" + " ".join(texts[:9:2]) * 50
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, f string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, y in enumerate(toxic) if i % 3], "doc_id long, toxic int")
+    rows = [(i, y) for i, y in enumerate(toxic) if i % 3 and not out(i)]
+    prior = sum(y for _, y in rows) / len(rows)
+    plain = toxicity.train([texts[i] for i, y in rows if y and texts[i] is not None], [t for i, t in enumerate(texts) if t is not None and not out(i)], prior)
+    model = toxicity.fit(df, labels)
+    assert model.vocabulary == plain.vocabulary and np.allclose(model.weights, plain.weights, atol=1e-9) and abs(model.prior - prior) < 1e-12
+
+    def slow(t):
+        found = set()
+        for word in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            found |= {"w" + word} | {f"{n}{word[:n]}" for n in (3, 4, 5, 6) if len(word) >= n}
+        return 1 / (1 + np.exp(-(model.bias + sum(model.weights[i] for f, i in model.vocabulary.items() if f in found))))
+
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    assert all(abs(got[i]["score"] - slow(t)) < 1e-9 and got[i]["predicted"] == (got[i]["score"] >= 0.5) for i, t in enumerate(texts))
+    assert toxicity.score(df.filter("false"), model).count() == 0 and toxicity.fit(df.filter("false"), labels).weights is None
 
 
 def test_held_out_rule(spark):
@@ -175,6 +225,57 @@ def test_toxicity_held_out_on_the_table(spark):
     assert (out["predicted"] == out["toxic"]).mean() > 0.9
 
 
+def plain_quality(rows, model):
+    """{(id, text): (evidence, host's posterior, path's, probability)} of (id, text, path, host) rows."""
+    sig, logit = (lambda x: 1 / (1 + np.exp(-x))), (lambda p: np.log(np.clip(p, 1e-6, 1 - 1e-6) / (1 - np.clip(p, 1e-6, 1 - 1e-6))))
+    e = [float(model.evidence(quality.describe((t or "").encode())[None, :])[0]) for _, t, *_ in rows]
+    p = [sig(x + np.log(model.prior / (1 - model.prior))) for x in e]
+
+    def group(key):
+        out = {}
+        for r, x in zip(rows, p, strict=True):
+            out.setdefault(key(r), []).append(x)
+        return out
+
+    hosts, paths = group(lambda r: r[3]), group(lambda r: (r[3], r[2]))
+    world = sum(p) / len(p)
+
+    def strength(groups, expected):
+        n, k = sum(map(len, groups.values())), len(groups)
+        pq = sum(expected(g) * (1 - expected(g)) * len(v) for g, v in groups.items()) / n
+        var = sum(len(v) * (sum(v) / len(v) - expected(g)) ** 2 for g, v in groups.items()) / n
+        extra = max((var - pq * k / n) / (1 - k / n), 1e-4 * pq)
+        return min(max(pq / extra - 1, 1.0), 1e4)
+
+    a = strength(hosts, lambda g: world)
+    host = {g: (sum(v) + a * world) / (len(v) + a) for g, v in hosts.items()}
+    b = strength(paths, lambda g: host[g[0]])
+    want = {}
+    for (i, t, lang, source), x, q in zip(rows, e, p, strict=True):
+        v = paths[source, lang]
+        rest = max((sum(v) - q + b * host[source]) / (len(v) - 1 + b), 1e-6)
+        want[i, t] = (x, host[source], (sum(v) + b * host[source]) / (len(v) + b), sig(x + logit(rest)))
+    return want
+
+
+def test_quality_against_plain_posteriors(spark, monkeypatch):
+    """Every probability by the formulas, host by host and path by path; sent or joined alike."""
+    rng = random.Random(14)
+    words = lambda: " ".join(rng.choice(["some", "plain", "words", "here", "!!!", "$$$", "a|b"]) for _ in range(rng.randint(0, 40)))
+    rows = [(i if i != 9 else None, words() if i != 8 else None, rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", None])) for i in range(300)]
+    rows += [rows[3], (500, "x" * 100_000, "fr", "solo")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, int("!!!" not in (t or "!!!"))) for i, t, *_ in rows if i is not None and i < 120], "doc_id long, quality int")
+    want = plain_quality(rows, quality.fit(df, labels))
+    for sent in (quality.MOST_SENT, 0):
+        monkeypatch.setattr(quality, "MOST_SENT", sent)
+        got = quality.classify(df, labels).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r["evidence"], r["host_quality"], r["path_quality"], r["quality_prob"]) == pytest.approx(want[r["doc_id"], r["text"]], abs=1e-9)
+            assert r["accepted"] == (r["quality_prob"] >= 0.5)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -359,32 +460,6 @@ def test_pages_with_clashing_columns(spark):
         assert tuple(got[0]) == (1, "http://h/1", "h", 2, "x", 1, "t", ("a b c " * 9).strip(), 53) and got[1]["text"] == "" and got[1]["article"] is None
 
 
-def test_pipeline(spark):
-    import corpus_pipeline as p
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    counts = [docs.count()]
-    for name, stage in p.STAGES:
-        out = cut(stage(spark, docs, SF), name)
-        counts.append(out.count())
-        if name != "tokens":
-            assert out.columns == p.DOCUMENTS
-            docs = out
-    assert counts[0] > counts[1] == counts[2] >= counts[3] >= counts[4] == counts[5] > 0
-    assert docs.filter("n_chars <> length(text)").count() == 0
-    direct = p.run(spark, SF)
-    assert direct.count() == counts[-1]
-
-
-def test_pipeline_keeps_rows_without_ids(spark):
-    import corpus_pipeline as p
-
-    rows = [(None, "alpha beta", "en", "s", 10), (1, None, None, None, None), (2, "gamma delta epsilon", "en", "s", 19), (3, "gamma delta epsilon", "en", "s", 19)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = sorted((r["doc_id"] or 0) for r in p.near_dedup_stage(spark, df, SF).collect())
-    assert got == [0, 1, 2]
-
-
 def test_copies_of_a_page_without_an_article(spark):
     menu = "<div>subscribe to our weekly letter and get all of the news</div>"
     story = [" ".join(f"w{i}x{j}" for j in range(20)) for i in range(3)]

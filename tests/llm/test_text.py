@@ -43,6 +43,18 @@ def test_bpe_equals_the_library(reference):
         assert own.decode(own.encode(t)) == reference.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_checks_its_vocabulary(monkeypatch):
+    own = bpe.ByteBPE(BPE)
+    own.check()
+    a, b, c = (own.rank[x] for x in (b"a", b"b", b"c"))
+    # A merge of ab before one of bc and a|bc: "abc" would be made of ab and c.
+    monkeypatch.setattr(own, "merged", {(a, b): 256, (b, c): 257, (a, 257): 258})
+    monkeypatch.setattr(own, "halves", [*own.halves[:256], (a, b), (b, c), (a, 257)])
+    monkeypatch.setattr(own, "tokens", [*own.tokens[:256], b"ab", b"bc", b"abc"])
+    with pytest.raises(ValueError, match="b'abc'"):
+        own.check()
+
+
 def test_bpe_decodes_any_ids(reference):
     own, rng = bpe.ByteBPE(BPE), random.Random(4)
     for _ in range(300):

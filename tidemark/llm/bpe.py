@@ -87,12 +87,18 @@ class ByteBPE:
         key = (left, right)
         if (known := self.fits.get(key)) is not None:
             return known
-        limit, fits = len(self.tokens), True
+        fits = self._apart(left, right, len(self.tokens))
+        if len(self.fits) > 1_000_000:
+            self.fits.clear()
+        self.fits[key] = fits
+        return fits
+
+    def _apart(self, left: int, right: int, limit: int) -> bool:
+        """Whether no merge before ``limit`` joins pieces across the border."""
         while True:
             joined = self.merged.get((left, right))
             if joined is not None and joined < limit:
-                fits = False
-                break
+                return False
             # Undo the later of the two tokens' last merges; single bytes can't be undone.
             if left > right and left >= 256:
                 limit, left = left, self.halves[left][1]
@@ -101,11 +107,15 @@ class ByteBPE:
             elif left >= 256:
                 limit, left = left, self.halves[left][1]
             else:
-                break
-        if len(self.fits) > 1_000_000:
-            self.fits.clear()
-        self.fits[key] = fits
-        return fits
+                return True
+
+    def check(self) -> None:
+        """Fail if the merges of a token's bytes give something else than the token: longest matches
+        would then find what merging never makes. Each token's last merge is looked at; its halves
+        were before it."""
+        for i in range(256, len(self.tokens)):
+            if not self._apart(*self.halves[i], i):
+                raise ValueError(f"the vocabulary has {self.tokens[i]!r}, which its merges never make")
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ranks of one pre-token's tokens."""
@@ -186,6 +196,13 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+@lru_cache(maxsize=2)
+def checked(path: str) -> str:
+    """The path of a vocabulary that the method is right for; looked at once on the driver."""
+    load(path).check()
+    return path
+
+
 def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Encode and decode every whole text.
 
@@ -194,6 +211,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text", keep: list[str] | N
     "". Texts of any length are taken whole; repeated rows stay; an empty table gives no rows.
     ``path`` must be readable on every executor.
     """
+    checked(path)
 
     def make():
         bpe = load(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,11 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders written by ``cut`` since the outermost ``made`` began, for those that ask.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def made() -> Iterator[list[str]]:
+    """The folders that ``cut`` writes meanwhile, so that they can be removed when what was made of
+    them is written itself."""
+    _MADE.append([])
+    try:
+        yield _MADE[-1]
+    finally:
+        inner = _MADE.pop()
+        if _MADE:
+            _MADE[-1] += inner
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders of the shared folder. Only what nothing reads any more may go."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends here and a lost
     executor costs only a re-read. Reading back gives real sizes, so Spark broadcasts a side
     of a join only if it is small."""
     path = scratch_path(df.sparkSession, label)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -7,10 +7,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, map_text, row_key, without
+from .common import cut, join_groups, map_text
 
 #: Bound of the labelled rows that the document classifier is fitted on.
 LABELLED = 6_000
+#: Paths whose posteriors are sent to all rows; more are joined.
+MOST_SENT = 100_000
 #: Classes of characters, as bytes.
 CLASSES = (
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"?", b".", b",", b"|", b"*", b"#", b"$", b"%", b"&", b"@+=<>{}[]()/\\~^_`", b"\n", b" ", b"'\"-:;",
@@ -69,17 +71,17 @@ class Logistic:
         return np.clip(logit - np.log(self.prior / (1 - self.prior)), -30, 30)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Logistic | None:
-    """The document classifier, from at most about LABELLED labelled rows by the order of a hash of
-    the id; None if one of the two labels is missing."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED) -> Logistic | None:
+    """The document classifier, from at most about ``labelled`` labelled rows by the order of a hash
+    of the id, whose ids are sent to the documents; None if one of the two labels is missing."""
     some = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("y")).filter("id is not null and y in (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
     n = some.count()
     if not n:
         return None
-    share = int(min(1.0, LABELLED / n) * (1 << 30))
+    share = int(min(1.0, labelled / n) * (1 << 30))
     picked = some.filter(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) < share)
     d = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"))
-    rows = described(d.join(picked, "id").select("t", "y"), "t", ["y"]).toPandas()
+    rows = described(d.join(F.broadcast(picked), "id").select("t", "y"), "t", ["y"]).toPandas()  # ``labelled`` ids
     if rows["y"].nunique() < 2:
         return None
     return Logistic.fit(np.stack(rows["described"].to_numpy()), rows["y"].to_numpy(float))
@@ -135,13 +137,14 @@ def classify(
     kinds the evidence is 0 and all are accepted; repeated rows stay; no rows give no rows.
     """
     names = ["evidence", "host_quality", "path_quality", "quality_prob", "accepted"]
-    keys = ["__key", "__host", "__path"]
+    keys = ["__host", "__path"]
     model = fit(docs, labels, doc_id, text)
     prior = model.prior if model else 1.0
-    source = docs.select(*_keys(doc_id, text, host, path), F.col(f"`{text}`").alias("__t"))
-    own = cut(evidence(source, model, "__t", keys), "evidence")
     p = _sigmoid(F.col("evidence") + float(np.log(prior / (1 - prior))) if model else F.lit(30.0))
-    paths = cut(own.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum(p).alias("good")), "paths")
+    # Evidence is worked out twice, for the groups and for the rows: that costs less than to shuffle
+    # or write all texts.
+    own = evidence(docs.select(*_keys(host, path), F.col(f"`{text}`").alias("__t")), model, "__t", keys)
+    paths = cut(own.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(p).alias("good")), "paths")
     hosts = cut(paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "hosts")
     total = hosts.agg(F.sum("n"), F.sum("good")).first()
     world = float(total[1] / total[0]) if total[0] else prior
@@ -162,22 +165,24 @@ def classify(
     hosts = hosts.select("__host", shrunk(hosts, F.lit(world)).alias("host_quality"))
     paths = paths.join(hosts, "__host")
     paths = paths.withColumn("strength", F.lit(strength(paths, F.col("host_quality"))))
+    posterior = [F.col(c).alias(f"__{c}") for c in ("n", "good", "strength", "host_quality")]
+    paths = cut(paths.select(*keys, *posterior, shrunk(paths, F.col("host_quality")).alias("__path_quality")), "posteriors")
+    # By number, so that no name of the input can clash with one of the work.
+    kept = [c for c in docs.columns if c.lower() not in names]
+    own_columns = [f"c{i}" for i in range(len(kept))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(own_columns, kept, strict=True)), *_keys(host, path), F.col(f"`{text}`").alias("__t"))
+    scored = evidence(rows, model, "__t", [*own_columns, *keys])
+    if paths.count() <= MOST_SENT:
+        joined = scored.join(F.broadcast(paths), keys)  # MOST_SENT rows of a few numbers
+    else:
+        joined = join_groups(scored, paths, keys, ["evidence"], "__n", int(total[0]))
     # A document's own part is taken out of its path, so that it doesn't count twice.
-    joined = own.join(paths, ["__host", "__path"])
-    rest = F.greatest((F.col("good") - p + F.col("strength") * F.col("host_quality")) / (F.col("n") - 1 + F.col("strength")), F.lit(1e-6))
-    scored = joined.select(
-        "__key", "evidence", "host_quality", shrunk(paths, F.col("host_quality")).alias("path_quality"),
-        _sigmoid(F.col("evidence") + _logit(rest)).alias("quality_prob") if model else F.lit(1.0).alias("quality_prob"), "__host", "__path",
-    ).dropDuplicates(["__key", "__host", "__path"])
-    out = docs.select(*without(docs, names), *_keys(doc_id, text, host, path))
-    kept = [c for c in out.columns if c not in keys]
-    out = out.join(scored, keys, "left")
-    return out.select(*(F.col(f"`{c}`") for c in kept), "evidence", "host_quality", "path_quality", "quality_prob", (F.col("quality_prob") >= accept).alias("accepted"))
-
-
-def _keys(doc_id: str, text: str, host: str, path: str) -> list[Column]:
-    return [
-        row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("__key"),
-        F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("\0")).alias("__host"),
-        F.coalesce(F.col(f"`{path}`").cast("string"), F.lit("\0")).alias("__path"),
-    ]
+    rest = F.greatest((F.col("__good") - p + F.col("__strength") * F.col("__host_quality")) / (F.col("__n") - 1 + F.col("__strength")), F.lit(1e-6))
+    prob = _sigmoid(F.col("evidence") + _logit(rest)) if model else F.lit(1.0)
+    out = joined.withColumn("quality_prob", prob)
+    back = [F.col(n).alias(c) for n, c in zip(own_columns, kept, strict=True)]
+    return out.select(*back, "evidence", F.col("__host_quality").alias("host_quality"), F.col("__path_quality").alias("path_quality"), "quality_prob", (F.col("quality_prob") >= accept).alias("accepted"))
+
+
+def _keys(host: str, path: str) -> list[Column]:
+    return [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")).alias(n) for c, n in ((host, "__host"), (path, "__path"))]

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_text
+from tidemark.ship import ship
 
-#: Bounds of the training sample: confirmed toxic texts, and unlabelled texts.
-POSITIVES, UNLABELLED = 4_000, 8_000
-#: Features are words and word beginnings of these lengths, seen in so many confirmed texts.
-BEGINNINGS, SUPPORT = (3, 4, 5, 6), 3
-#: Log ratios no higher than this count for nothing.
+from .common import map_text, slices
+
+#: About how many confirmed toxic texts, and unlabelled texts, the learner's steps see. What a feature
+#: is worth looking at for is counted over all texts of the training part.
+POSITIVES, UNLABELLED = 4_000, 16_000
+#: Features are words and word beginnings of these lengths, seen in so many confirmed texts, and in
+#: this share of them.
+BEGINNINGS, SUPPORT, SHARE = (3, 4, 5, 6), 3, 0.01
+#: Features whose log ratio of confirmed to all texts is no higher than this aren't looked at.
 LEAST_RATIO = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -80,63 +84,72 @@ class Reader:
         return out
 
 
-def summary(evidence: np.ndarray) -> np.ndarray:
-    """What the classifier sees of a text: the strongest log ratios of its features, how many pass
-    some marks, and their sum."""
-    top = np.zeros(4)
-    best = np.sort(evidence)[::-1][:4]
-    top[: len(best)] = best
-    return np.concatenate([[1.0], top, [np.log1p((evidence > m).sum()) for m in (1.0, 2.0, 3.0)], [np.log1p(evidence.sum())]])
-
-
 class NonNegativePU:
-    """Linear scores trained by the non-negative risk of positive and unlabelled texts.
+    """A linear score of sets of features, trained by the non-negative risk of positive and
+    unlabelled sets.
 
     With class prior p and the logistic loss l, the risk is p E+[l(s)] + max(0, Eu[l(-s)] - p
     E+[l(-s)]): the part of the toxic texts among the unlabelled is taken off, and never below 0.
+    The weights are the mean of the second half of the steps'.
     """
 
-    def __init__(self, prior: float, rounds: int = 600, rate: float = 0.05, decay: float = 1e-3):
+    def __init__(self, prior: float, rounds: int = 300, rate: float = 0.05, decay: float = 3e-4):
         self.prior, self.rounds, self.rate, self.decay = prior, rounds, rate, decay
 
-    def fit(self, pos: np.ndarray, unl: np.ndarray) -> NonNegativePU:
-        both = np.concatenate([pos, unl])
-        self.mean, self.scale = both.mean(0), both.std(0) + 1e-9
-        self.mean[0], self.scale[0] = 0.0, 1.0
-        pos, unl = (pos - self.mean) / self.scale, (unl - self.mean) / self.scale
-        w, m, v = np.zeros(pos.shape[1]), 0.0, 0.0
-        soft, sig = lambda z: np.logaddexp(0, z), lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    def risk(self, s: np.ndarray, n_pos: int) -> tuple[float, float]:
+        """(risk of positives, risk of negatives before it is held at 0) of scores, positives first."""
+        pos, unl = s[:n_pos], s[n_pos:]
+        loss = lambda z: np.logaddexp(0, -z)
+        return self.prior * loss(pos).mean(), loss(-unl).mean() - self.prior * loss(-pos).mean()
+
+    def slope(self, s: np.ndarray, n_pos: int) -> np.ndarray:
+        """Of the risk by each score. Where the risk of negatives is below 0 it has been overfitted:
+        then it is stepped back along it instead."""
+        sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        pos, unl = s[:n_pos], s[n_pos:]
+        negative = np.concatenate([-self.prior * sig(pos) / n_pos, sig(unl) / len(unl)])
+        if self.risk(s, n_pos)[1] < 0:
+            return -negative
+        negative[:n_pos] -= self.prior * sig(-pos) / n_pos
+        return negative
+
+    def fit(self, pos: list[np.ndarray], unl: list[np.ndarray], k: int) -> NonNegativePU:
+        """Of sets of features from 0 to ``k``."""
+        sets, n = [*pos, *unl], len(pos) + len(unl)
+        row = np.repeat(np.arange(n), [len(s) for s in sets])
+        col = np.concatenate([np.asarray(s, np.int64) for s in sets]) if len(row) else np.empty(0, np.int64)
+        w, total = np.zeros(k + 1), np.zeros(k + 1)
+        m, v = np.zeros(k + 1), np.zeros(k + 1)
         for step in range(1, self.rounds + 1):
-            sp, su = pos @ w, unl @ w
-            negative = soft(su).mean() - self.prior * soft(sp).mean()
-            g_neg = unl.T @ sig(su) / len(unl) - self.prior * pos.T @ sig(sp) / len(pos)
-            # Below 0 the estimate has overfitted: step back along it instead.
-            g = -self.prior * pos.T @ sig(-sp) / len(pos) + g_neg if negative >= 0 else -g_neg
-            g = g + self.decay * np.r_[0.0, w[1:]]
+            c = self.slope(w[k] + np.bincount(row, weights=w[col], minlength=n), len(pos))
+            g = np.append(np.bincount(col, weights=c[row], minlength=k) + self.decay * w[:k], c.sum())
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        self.w = w
+            rate = self.rate * min(1.0, 2 * (1 - step / (self.rounds + 1)))
+            w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            if 2 * step > self.rounds:
+                total += w
+        total /= self.rounds - self.rounds // 2
+        self.weights, self.bias = total[:k], float(total[k])
         return self
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.scale) @ self.w, -50, 50)))
-
 
 class ToxicModel:
-    """Log ratios of features between confirmed and unlabelled texts, and the classifier on them."""
+    """Features and their weights; without a learner every text has the class prior."""
 
-    def __init__(self, ratio: dict[str, float], pu: NonNegativePU | None, prior: float):
-        self.values, self.pu, self.prior = np.array([*ratio.values(), 0.0]), pu, prior
-        self.vocabulary = {f: i for i, f in enumerate(ratio)}
+    def __init__(self, features_: list[str], pu: NonNegativePU | None, prior: float):
+        self.vocabulary = {f: i for i, f in enumerate(features_)}
+        self.weights = pu.weights if pu else None
+        self.bias, self.prior = pu.bias if pu else 0.0, prior
 
     def scorer(self):
         """A function from a list of texts to their scores, with a memory of its own."""
-        read, values = Reader(self.vocabulary), self.values
+        read = Reader(self.vocabulary)
 
         def do(texts: list[str]) -> np.ndarray:
-            if self.pu is None or not texts:
+            if self.weights is None or not texts:
                 return np.full(len(texts), self.prior)
-            return self.pu.score(np.array([summary(values[list(read(t))]) for t in texts]))
+            s = np.array([self.weights[list(read(t))].sum() for t in texts]) + self.bias
+            return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
 
         return do
 
@@ -144,44 +157,104 @@ class ToxicModel:
         return self.scorer()(texts)
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float) -> ToxicModel:
-    """A model of the texts given. A training text's own features don't count for itself."""
+def chosen(n_pos: np.ndarray, n_all: np.ndarray, positives: int, texts: int) -> np.ndarray:
+    """Places of the features whose share among confirmed toxic texts stands out from that among all."""
+    ratio = np.log((n_pos + 0.2) / (positives + 1)) - np.log((n_all + 2.0) / (texts + 10))
+    return np.flatnonzero(ratio > LEAST_RATIO)
+
+
+def train(positive: list[str], unlabelled: list[str], prior: float, support: int = SUPPORT) -> ToxicModel:
+    """A model of the texts given, as ``fit`` makes one of tables."""
     if len(positive) < 2 or len(unlabelled) < 2:
-        return ToxicModel({}, None, prior)
-    grow = Reader()
-    counted = Counter(i for t in positive for i in grow(t))
-    known = {f: j for j, f in enumerate(f for f, i in grow.vocabulary.items() if counted[i] >= SUPPORT)}
-    read = Reader(known)
-    fp, fu = ([np.fromiter(read(t), np.int64) for t in texts] for texts in (positive, unlabelled))
-    count = lambda sets: np.bincount(np.concatenate(sets), minlength=len(known))
-    n_pos, n_unl, P, U = count(fp), count(fu), len(fp), len(fu)
-
-    def ratio(less_p: int = 0, less_u: int = 0) -> np.ndarray:
-        r = np.log((np.maximum(n_pos - less_p, 0) + 0.2) / (P + 1)) - np.log((np.maximum(n_unl - less_u, 0) + 2.0) / (U + 10))
-        return np.where(r > LEAST_RATIO, r, 0)
-
-    seen = lambda r, sets: np.array([summary(v[v > 0]) for s in sets for v in [r[s]]])
-    pu = NonNegativePU(prior).fit(seen(ratio(1, 0), fp), seen(ratio(0, 1), fu))
-    final = ratio()
-    return ToxicModel({f: float(final[i]) for f, i in known.items() if final[i] > 0}, pu, prior)
-
-
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicModel:
-    """Train on rows that aren't held out: at most POSITIVES confirmed toxic texts and UNLABELLED
-    texts whatever their label, both by the order of a hash of the id; the class prior is the share
-    of the toxic among all labelled rows of the training part."""
-    d = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).filter(F.col("t").isNotNull() & F.col("id").isNotNull())
+        return ToxicModel([], None, prior)
+    read = Reader()
+    n = np.bincount(np.array([i for t in positive for i in read(t)], np.int64), minlength=len(read.vocabulary))
+    often = max(support, int(np.ceil(SHARE * len(positive))))
+    found = sorted((f, n[i]) for f, i in read.vocabulary.items() if n[i] >= often)
+    if not found:
+        return ToxicModel([], None, prior)
+    names = [f for f, _ in found]
+    read = Reader({f: i for i, f in enumerate(names)})
+    n_all = np.bincount(np.array([i for t in unlabelled for i in read(t)], np.int64), minlength=len(names))
+    names = [names[i] for i in chosen(np.array([c for _, c in found]), n_all, len(positive), len(unlabelled))]
+    read = Reader({f: i for i, f in enumerate(names)})
+    sets = lambda texts: [np.fromiter(read(t), np.int64) for t in texts]
+    return ToxicModel(names, NonNegativePU(prior).fit(sets(positive), sets(unlabelled), len(names)), prior)
+
+
+def _features(df: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(f) the places of each text's features in the vocabulary."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by the confirmed texts' features
+
+    def make():
+        read = Reader({f: i for i, f in enumerate(shared.value)})
+        return lambda texts: [[list(read(t.decode("utf-8", "replace"))) for t in texts]]
+
+    return map_text(df, "t", [T.StructField("f", T.ArrayType(T.LongType()))], make, [])
+
+
+def _counts(df: DataFrame, vocabulary: list[str]) -> tuple[np.ndarray, int]:
+    """How many of all texts have each feature, and how many texts there are. A task hands over one
+    number a feature, which are added up by feature."""
+    ship(df.sparkSession)
+    shared, k = df.sparkSession.sparkContext.broadcast(vocabulary), len(vocabulary)
+
+    def run(batches):
+        read, total, n = Reader({f: i for i, f in enumerate(shared.value)}), np.zeros(k + 1, np.int64), 0
+        for batch in batches:
+            for start, size in slices(batch.column(0)):
+                for t in batch.column(0).slice(start, size).to_pylist():
+                    total[list(read(t.decode("utf-8", "replace")))] += 1
+                    n += 1
+        total[k] = n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["i", "n"])
+
+    out = np.zeros(k + 1, np.int64)
+    for r in df.select(F.col("t").cast("binary")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        out[r["i"]] = r["n"]
+    return out[:k], int(out[k])
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicModel:
+    """Train on rows that aren't held out; the class prior is the share of the toxic among all
+    labelled rows of the training part.
+
+    Candidates for features come from at most about ``positives`` confirmed toxic texts; how many
+    texts have each is counted over all texts of the training part, whatever their labels; the
+    learner's steps see the confirmed texts' sets of the chosen features, and those of about
+    ``unlabelled`` texts. Either sample goes by the order of a hash of the id. No text comes to the
+    driver. Null texts and ids don't train; without toxic labels the model knows the prior only."""
+    d = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t")).filter(F.col("t").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     some = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))).distinct()
     total, toxic = some.agg(F.count("*"), F.sum((F.col("y") == 1).cast("long"))).first()
     if not total or not toxic:
-        return ToxicModel({}, None, 0.0)
+        return ToxicModel([], None, 0.0)
     h = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30))
     share = lambda want, have: int(min(1.0, want / max(have, 1)) * (1 << 30))
-    pos = some.filter((F.col("y") == 1) & (h < share(POSITIVES, toxic))).select("id").join(d, "id")
-    rest = d.filter(~held_out(F.col("id")))
-    unl = rest.filter(h < share(UNLABELLED, docs.count()))
-    # The hash keeps either sample near its bound; texts are what the driver holds, so no more.
-    return train([r.t for r in pos.select("t").collect()], [r.t for r in unl.select("t").collect()], toxic / total)
+    ids = some.filter((F.col("y") == 1) & (h < share(positives, toxic))).select("id").distinct()
+    pos = d.join(F.broadcast(ids), "id").select("t")  # ``positives`` ids
+    names = map_text(pos, "t", [T.StructField("f", T.ArrayType(T.StringType()))], _all_features, [])
+    often = names.select(F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
+    n_positive = pos.count()
+    found = sorted((r["f"], r["n"]) for r in often.filter(F.col("n") >= max(SUPPORT, int(np.ceil(SHARE * n_positive)))).collect())
+    if n_positive < 2 or not found:
+        return ToxicModel([], None, toxic / total)
+    vocabulary, n_pos = [f for f, _ in found], np.array([n for _, n in found])
+    n_all, n_texts = _counts(d, vocabulary)
+    vocabulary = [vocabulary[i] for i in chosen(n_pos, n_all, n_positive, n_texts)]
+    unl = d.filter(h < share(unlabelled, n_texts)).select("t")
+    sets = [[np.array(r["f"], np.int64) for r in _features(x, vocabulary).collect()] for x in (pos, unl)]
+    if len(sets[1]) < 2:
+        return ToxicModel([], None, toxic / total)
+    return ToxicModel(vocabulary, NonNegativePU(toxic / total).fit(*sets, len(vocabulary)), toxic / total)
+
+
+def _all_features():
+    def do(texts: list[bytes]) -> list[list]:
+        return [[sorted({f for token in set(t.decode("utf-8", "replace").split()) for f in features(token)}) for t in texts]]
+
+    return do
 
 
 def score(df: DataFrame, model: ToxicModel, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
