@@ -1,5 +1,6 @@
 """Command line: ``python -m tidemark lang [-e EXPR | -f FILE] [--format text|json|csv]``,
-``python -m tidemark server``, ``python -m tidemark version``."""
+``python -m tidemark python [FILE | -e EXPR]``, ``python -m tidemark server [--port N] [--tcp-port N]
+[--scripts]``, ``python -m tidemark version``."""
 
 from __future__ import annotations
 
@@ -28,6 +29,19 @@ def run_lines(engine, lines, form: str, out=sys.stdout) -> None:
             print(f"error: {e}", file=out)
 
 
+def listen(engine, root: str, port: int):
+    """A TCP listener beside the store, and the stream that takes in what it spools."""
+    import threading
+
+    from tidemark.streaming.ingest import ingest, lines_from
+    from tidemark.streaming.listener import Listener, Spool
+
+    folder = root.removeprefix("file://").rstrip("/") + "/spool"
+    listener = Listener(Spool(folder), port=port)
+    threading.Thread(target=listener.serve_forever, daemon=True).start()
+    return listener, ingest(lines_from(engine.spark, f"file://{folder}"), engine.store, f"{root.rstrip('/')}/spool-checkpoint")
+
+
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="tidemark")
     top.add_argument("--data", help="folder of the store")
@@ -38,6 +52,11 @@ def main(argv: list[str] | None = None) -> int:
     lang.add_argument("--format", default="text", choices=["text", "json", "csv"])
     server = sub.add_parser("server")
     server.add_argument("--port", type=int, default=8086)
+    server.add_argument("--tcp-port", type=int, help="listen for line protocol as well")
+    server.add_argument("--scripts", action="store_true", help="let clients run Python programs")
+    python = sub.add_parser("python")
+    python.add_argument("file", nargs="?")
+    python.add_argument("-e", dest="expr")
     sub.add_parser("version")
     a = top.parse_args(argv)
     if a.command == "version":
@@ -51,7 +70,20 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "server":
         from tidemark.server import serve
 
-        serve(engine, port=a.port).serve_forever()
+        if a.tcp_port is not None:
+            listen(engine, a.data, a.tcp_port)
+        serve(engine, port=a.port, scripts=a.scripts).serve_forever()
+        return 0
+    if a.command == "python":
+        from tidemark import scripting
+
+        if a.expr:
+            scripting.one(engine, a.expr)
+        elif a.file:
+            with open(a.file, encoding="utf-8") as f:
+                print("\n".join(scripting.run(engine, f.read())))
+        else:
+            scripting.repl(engine)
         return 0
     if a.expr:
         run_lines(engine, [a.expr], a.format)

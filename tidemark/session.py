@@ -53,6 +53,10 @@ class Engine:
     def db_measurements(self) -> list[str]:
         return sorted({*self.registered, *(self.store.measurements() if self.store else [])})
 
+    def db_series(self, name: str) -> list[str]:
+        m = self.measurement(name)
+        return [r[0] for r in m.df.select(m.series_key().alias("series")).distinct().orderBy("series").collect()] if m else []
+
     def db_fields(self, name: str) -> list[str]:
         m = self.measurement(name)
         return m.fields if m else []

@@ -19,11 +19,6 @@ def lines_from(spark: SparkSession, folder: str, most_files: int = 1000) -> Data
     return spark.readStream.option("maxFilesPerTrigger", most_files).text(folder)
 
 
-def lines_from_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
-    """Lines of a TCP server, for trials: a socket can't be read again after a failure."""
-    return spark.readStream.format("socket").option("host", host).option("port", port).load()
-
-
 def ingest(lines: DataFrame, store: Store, checkpoint: str, once: bool = False, every: str = "5 seconds") -> StreamingQuery:
     """Append line protocol to the store batch by batch; bad lines are left out, whatever is wrong
     with them. With ``once`` what is there is taken in and the query ends. The store's log keeps each
