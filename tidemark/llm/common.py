@@ -62,18 +62,22 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], part: list[st
     """``rows`` with the columns of their group (joined by ``on``), hot groups dealt out.
 
     ``groups`` has one row a key, whose ``times`` is the number of its rows, and should be cheap to
-    read (cut). Keys with over a ``share``-th of all rows, fewer than ``share`` as they can't add up
-    to more, are sent to the rows as marks; their rows are dealt by ``part`` into ``salts`` parts,
-    each with its copy of the group's row. So no task has more than a small part of a hot key, and
-    what is broadcast has a bound that doesn't grow with the data. ``merge`` joins by sorting even
-    where the groups are few, for those whose number grows with the data."""
+    read (cut). Hashes of the keys with over a ``share``-th of all rows, fewer than ``share`` as they
+    can't add up to more, come to the driver; rows with such a hash are dealt by ``part`` into
+    ``salts`` parts, each with its copy of the group's row. So no task has more than a small part of
+    a hot key, and what is handed around has a bound that doesn't grow with the data. ``merge`` joins
+    by sorting even where the groups are few, for those whose number grows with the data."""
     if total is None:
         total = groups.agg(F.sum(times)).first()[0] or 0
+    if any(rows.schema[c].dataType != groups.schema[c].dataType for c in on):
+        raise TypeError("keys of two types have two hashes")
     least = max(256, total // share)
-    hot = groups.filter(F.col(times) >= least).select(*on, F.lit(True).alias("__hot"))
-    salted = F.when(F.col("__hot"), F.pmod(F.xxhash64(*part), F.lit(salts))).otherwise(0)
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__salt", salted).drop("__hot")
-    copies = F.when(F.col(times) >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    key = F.xxhash64(*on)
+    hot = [r[0] for r in groups.filter(F.col(times) >= least).select(key).distinct().collect()]
+    if not hot:
+        return rows.join(groups.hint("merge") if merge else groups, on, how)
+    dealt = rows.withColumn("__salt", F.when(key.isin(hot), F.pmod(F.xxhash64(*part), F.lit(salts))).otherwise(0))
+    copies = F.when(key.isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     copied = groups.withColumn("__salt", F.explode(copies.cast("array<bigint>")))
     return dealt.join(copied.hint("merge") if merge else copied, [*on, "__salt"], how).drop("__salt")
 

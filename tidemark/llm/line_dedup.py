@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_groups, let, row_key
+from .common import cut, join_groups, let, made, remove, row_key
 
 #: Chunkings: (whether the rolling window of two lines looks ahead, multiplier, addend).
 #: A window that looks ahead settles the boundary at a repeated passage's start from its own lines,
@@ -162,9 +162,12 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_cha
     docs = df.select(*(F.col(f"`{c}`") for c in names), row_key(idc, body).alias("__key"))
     some = (F.instr(body, "\n") > 0) | (F.size(F.split(body, " ")) >= LONG_LINE)
     each = docs.filter(some).select("__key", idc.alias("__id"), F.split(body, "\n").alias("lines"))
-    pieces = cut(_pieces(each), "pieces")  # finding them costs more than reading them twice
-    gone = _repeated_chunks(pieces, each).unionByName(_repeated_windows(pieces))
-    removed = gone.groupBy("__key").agg(F.collect_set(_span(F.col("at"), F.col("n"))).alias("__gone"))  # of one text, so bounded by it
+    with made() as paths:
+        pieces = cut(_pieces(each), "pieces")  # finding them costs more than reading them twice
+        gone = _repeated_chunks(pieces, each).unionByName(_repeated_windows(pieces))
+        removed = gone.groupBy("__key").agg(F.collect_set(_span(F.col("at"), F.col("n"))).alias("__gone"))  # of one text, so bounded by it
+        removed = cut(removed, "gone")
+    remove(df.sparkSession, paths[:-1])  # the last is the result
     out = docs.join(removed, "__key", "left")
     hit = F.col("__gone").isNotNull()
     covered = F.array_distinct(F.flatten(F.transform("__gone", lambda g: F.sequence(_at(g), _at(g) + _n(g) - 1))))
