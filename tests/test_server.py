@@ -76,6 +76,11 @@ def test_subscriptions_over_a_websocket(served, engine):
     assert c.receive() == (websocket.CLOSE, b"\x03\xe8")
 
 
+def test_page(served):
+    with urllib.request.urlopen(f"http://127.0.0.1:{served}/") as r:
+        assert r.headers["Content-Type"].startswith("text/html") and b"new WebSocket" in r.read()
+
+
 def post(port, path, body):
     return urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{port}{path}", json.dumps(body).encode(), method="POST"))
 

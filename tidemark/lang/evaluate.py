@@ -30,6 +30,8 @@ from . import functions as L
 from .syntax import BRACKET, MONADIC, parse
 from .values import Builtin, Col, Dur, Frame, Groups, Lambda, LangError, Measure, Sym, Table, Ts, Vec, from_spark, kind_of, same, show
 
+#: Numbers of a range that the driver holds; longer ones are a frame's column.
+LOCAL = 100_000
 NUMERIC = ("int", "float", "bool")
 SPARK = {"int": "long", "float": "double", "bool": "boolean", "sym": "string", "str": "string", "ts": "long"}
 
@@ -192,7 +194,7 @@ class Session:
 
     def dyad(self, op: str, a: object, b: object) -> object:
         if op == "~":
-            return same(a, b)
+            return self.match(a, b)
         special = {"!": self.make_dict, ",": self.join, "#": self.take, "_": self.drop, "?": self.find, "in": self.member_of, "like": self.like}
         if op in special:
             return special[op](a, b)
@@ -211,6 +213,21 @@ class Session:
             return Vec(self.result_kind(op, kind_of(a).removesuffix("[]"), kind_of(b).removesuffix("[]")), out)
         return self.scalar(op, a, b)
 
+    def match(self, a: object, b: object) -> bool:
+        """Deep equality. Of a measurement's vectors lengths are compared first, then values by place."""
+        if not (isinstance(a, Col) or isinstance(b, Col)):
+            return same(a, b)
+        if kind_of(a) != kind_of(b) or self.fn_count(a) != self.fn_count(b):
+            return False
+        a, b = (self.spread(x) if isinstance(x, Vec) else x for x in (a, b))
+        x, y = self.zip(a, b)
+        if x.kind == "float":
+            p, q = self.double(x), self.double(y)
+            equal = N.feq(p, q) | (F.isnan(p) & F.isnan(q))
+        else:
+            equal = x.x.eqNullSafe(y.x)
+        return x.frame.df.filter(~F.coalesce(equal, F.lit(False))).isEmpty()
+
     def result_kind(self, op: str, a: str, b: str) -> str:
         if op in ("=", "<>", "<", ">", "<=", ">=", "&", "|"):
             return "bool"
@@ -481,6 +498,8 @@ class Session:
     def fn_til(self, n: object) -> Vec:
         if not isinstance(n, int):
             raise LangError("til of a number")
+        if n > LOCAL:
+            return Col(Frame(self.spark.range(n).select(F.col("id").alias("__i")), ["__i"]), "__i", "int")
         return Vec("int", list(range(n)))
 
     def fn_upper(self, s: object) -> object:

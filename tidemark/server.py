@@ -1,4 +1,4 @@
-"""A thin HTTP service on an engine: /write, /query, /lang, /python, /ws, /subscribe, /status,
+"""A thin HTTP service on an engine: a page at /, and /write, /query, /lang, /python, /ws, /subscribe, /status,
 /measurements, /series, /fields, /health."""
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlparse
 
 from tidemark import scripting, websocket
+from tidemark.page import PAGE
 from tidemark.plans.dialect import parse
 from tidemark.render import series_json, value_json
 from tidemark.session import Engine
@@ -32,7 +33,14 @@ def handler(engine: Engine, scripts: bool = False) -> type[BaseHTTPRequestHandle
 
         def do_GET(self) -> None:
             url = urlparse(self.path)
-            if url.path == "/health":
+            if url.path == "/":
+                data = PAGE.encode()
+                self.send_response(200)
+                self.send_header("Content-Type", "text/html; charset=utf-8")
+                self.send_header("Content-Length", str(len(data)))
+                self.end_headers()
+                self.wfile.write(data)
+            elif url.path == "/health":
                 self.answer(200, {"status": "ok"})
             elif url.path == "/status":
                 self.answer(200, engine.store.status() if engine.store else {"measurements": len(engine.registered)})
