@@ -303,8 +303,8 @@ def test_sparse_groups_shrink(spark):
 
 
 def test_warc_round_trip(spark):
-    pages = ["<p>one</p>", "", None, "<p>one</p>", "é" * 1000, "two\r\n\r\nWARC/1.0\r\n", "<p>one</p>", "big " * 50_000]
-    rows = [(i * 10, f"http://h/{i}" if i != 4 else None, t, "x") for i, t in enumerate(pages)] + [(None, "http://n", "<p>one</p>", "x"), (0, "http://h/0", "<p>one</p>", "x")]
+    pages = ["<p>one</p>", "", None, "<p>one</p>", "é" * 1000, "two\r\n\r\nWARC/1.0\r\n", "<p>one</p>", "big " * 50_000, "long url"]
+    rows = [(i * 10, (f"http://h/{i}" if t != "long url" else "data:" + "u" * 400_000) if i != 4 else None, t, "x") for i, t in enumerate(pages)] + [(None, "http://n", "<p>one</p>", "x"), (0, "http://h/0", "<p>one</p>", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, Payload string").repartition(3)
     for compress in (True, False):
         files = warc.write(df, f"{shared_dir(spark)}/w{compress}", compress=compress)

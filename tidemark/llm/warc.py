@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 
 from tidemark.ship import ship
 
-from .common import cut
+from .common import cut, join_groups
 
 #: A file is closed when it has so many bytes.
 FILE_BYTES = 48 << 20
-#: Bytes of headers that a record may have before its block.
+#: Bytes that are read at first in search of the end of a record's headers; four times as many, and so on, where it isn't in them.
 HEADER_BYTES = 1 << 16
 #: How a gzip member and a record's version line begin.
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_HEADERS_END = re.compile(rb"\r\n\r\n|\r\nWARC/1\.")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 
 
@@ -68,8 +69,8 @@ def write(
         F.col(f"`{page_id}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("url"), F.coalesce(F.encode(F.col(f"`{html}`"), "UTF-8"), F.lit(b"")).alias("payload")
     ).withColumn("sha", F.sha1("payload"))
     large = rows.filter(F.length("payload") >= least)
-    first = cut(large.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1 and first is not null").select("sha", "first"), "first")
-    joined = rows.join(first, "sha", "left").drop("sha").withColumn("first", F.when(F.length("payload") >= least, F.col("first")))
+    first = cut(large.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("times")).filter("times > 1 and first is not null"), "first")
+    joined = join_groups(rows, first, ["sha"], ["page_id", "url"], how="left").drop("sha", "times").withColumn("first", F.when(F.length("payload") >= least, F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
@@ -138,7 +139,7 @@ def parse(data: bytes, start: int = 0) -> tuple[dict[str, str], bytes, int]:
     the version line, the headers' end, the length, the two newlines after it, the block's digest."""
     if not _VERSION_LINE.match(data, start):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n", start, start + HEADER_BYTES)
+    end = data.find(b"\r\n\r\n", start)
     if end < 0:
         raise Bad("headers don't end")
     head: dict[str, str] = {}
@@ -175,6 +176,21 @@ def _member_at(w: Window, at: int) -> tuple[bytes, int]:
     return b"".join(parts), here - len(unpack.unused_data)
 
 
+def _headers_at(w: Window, at: int) -> bytes:
+    """A record's headers with the blank line that ends them. The next version line ends the search,
+    as no header holds one, so looking through damaged parts stays linear."""
+    n = HEADER_BYTES
+    while True:
+        part = w.get(at, n)
+        if m := _HEADERS_END.search(part):
+            if m[0] != b"\r\n\r\n":
+                raise Bad("headers don't end")
+            return part[: m.end()]
+        if len(part) < n:
+            raise Bad("headers don't end")
+        n *= 4
+
+
 def _record_at(w: Window, at: int) -> tuple[list[tuple[dict, bytes]], int]:
     start = w.get(at, 7)
     if start.startswith(MEMBER):
@@ -188,7 +204,7 @@ def _record_at(w: Window, at: int) -> tuple[list[tuple[dict, bytes]], int]:
         return out, end
     if start != VERSION:
         raise Bad("neither a member nor a version line")
-    head = w.get(at, HEADER_BYTES)
+    head = _headers_at(w, at)
     m = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", head[: max(head.find(b"\r\n\r\n"), 0)])
     if not m:
         raise Bad("no length")
