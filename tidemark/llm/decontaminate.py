@@ -12,7 +12,7 @@ from .common import cut, join_groups, let, text_key, without
 WINDOW, K = 10, 4
 #: What parts words, and the same with capitals left in the words.
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+NOT_EVEN_CAPITAL = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed value: characters beyond ASCII that lower() might change.
 OTHER_CAPITALS = r"[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{M}&&[^\x00-\x7F]]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, NOT_WORD), lambda w: w != "")
 
 
+def how_many(text: Column) -> Column:
+    """The number of words of a text as it is, 0 of null. Splitting costs less than matching words."""
+    return F.coalesce(F.size(F.array_remove(F.split(text, NOT_EVEN_CAPITAL), "")), F.lit(0)).cast("long")
+
+
 def _windows(a: Column, n: int, f) -> Column:
     """f(a[i], ..., a[i + n - 1]) for each i; ``a`` must be a column or a bound variable."""
     starts = F.slice(a, 1, F.greatest(F.size(a) - (n - 1), F.lit(0)))
@@ -75,7 +80,7 @@ def decontaminate(
     if not lengths:
         none = F.array().cast("array<string>")
         zero = F.lit(0).cast("long")
-        n_words = F.coalesce(F.regexp_count(body, F.lit(ANY_WORD)), F.lit(0)).cast("long")
+        n_words = how_many(body)
         return docs.select(*without(docs, names), n_words.alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), none.alias("item_ids"), F.lit(False).alias("contaminated"))
 
     hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
@@ -109,7 +114,7 @@ def decontaminate(
     hits = hit.groupBy("key").agg(covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
     hits = cut(hits.join(seeds.select("key", "times"), "key"), "hits")
 
-    n_words = F.coalesce(F.regexp_count(body, F.lit(ANY_WORD)), F.lit(0)).cast("long")
+    n_words = how_many(body)
     out = docs.select(*without(docs, names), n_words.alias("n_words"), text_key(body).alias("__key"), _others(docs, text).alias("__part"))
     kept = out.columns[:-3]
     found = hits.select(F.col("key").alias("__key"), F.col("n_hit").alias("__hit"), F.col("item_ids").alias("__items"), F.col("times").alias("__times"))
