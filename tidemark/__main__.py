@@ -12,8 +12,9 @@ from tidemark.render import render
 VERSION = "0.1.0"
 
 
-def run_lines(engine, lines, form: str, out=sys.stdout) -> None:
+def run_lines(engine, lines, form: str, out=None) -> None:
     """One expression a line; lines that begin with / are comments; errors don't end the run."""
+    out = out or sys.stdout
     for line in lines:
         line = line.strip()
         if not line or line.startswith("/"):
