@@ -197,6 +197,35 @@ def test_pipeline_finds_similar_texts(spark):
     assert similar.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_pairs_of_a_large_group_of_edited_copies(spark, monkeypatch):
+    """Copies that mostly don't reach 0.8 with each other share bands by the thousand; few pairs are compared, no link is lost."""
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 10**5)}" for _ in range(150)]
+    texts = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(2, 9)):
+            w[rng.randrange(len(w))] = f"edit{rng.randint(0, 30)}"
+        texts.append(" ".join(w))
+        if i % 10 == 0:  # its own copies
+            for at in rng.sample(range(150), 2):
+                texts.append(" ".join([*w[:at], "again", *w[at + 1 :]]))
+    sets = [{" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    root = groups([(a, b) for a, b in combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], range(len(sets)))
+    counts, put = {}, similar.cut
+
+    def counted(df, label="cut"):
+        out = put(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(similar, "cut", counted)
+    rows = similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(i, root[i]) for i in range(len(texts))}
+    assert len(set(root.values())) > 100 and counts["open"] > 100
+    assert counts["rest-pairs"] < 10 * len(texts)
+
+
 def plain_windows(documents, items):
     word, low = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: word.findall((t or "").translate(low))

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,6 +83,32 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.dropDuplicates(["key"])  # rows repeated with one id and text
 
 
+def _rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), keys of sets (key, s, group) of two groups: all pairs that reach the similarity, and few others.
+
+    Each set's shingles are put in one order, the rarest first. Where two sets reach it, the first
+    shingle that they share has places in both after which enough are left for what they must have
+    in common; so pairs meet only by shingles at such places. The smaller set has such places among
+    its rarest ninth only (at 80 percent): those of a text that many copies have are among them in
+    the text's nearest copies alone, which the star has linked. Places are held against each other
+    once for all sets of one group and size, by the first, and only then for each set.
+    """
+    reach = lambda n, at, other: (n - at) * (100 + percent) >= (n + other) * percent
+    each = cut(sets.select("key", "group", F.size("s").cast("long").alias("n"), F.explode("s").alias("h")), "shingles")
+    shared = cut(each.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1"), "shared-shingles")
+    of_set = Window.partitionBy("key")
+    at = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("times", "h")) - 1  # shingles of no other set come first
+    found = join_groups(each, shared, ["h"], ["key"]).withColumn("at", at)
+    places = cut(found.filter((F.col("n") - F.col("at")) * 100 >= F.col("n") * percent).select("h", "group", "n", "at", "key"), "places")
+    firsts = cut(places.groupBy("h", "group", "n").agg(F.min("at").alias("at")), "firsts")
+    small = lambda df: df.filter(reach(F.col("n"), F.col("at"), F.col("n"))).select("h", *(F.col(c).alias(f"o_{c}") for c in df.columns if c != "h"))
+    both = reach(F.col("n"), F.col("at"), F.col("o_n")) & reach(F.col("o_n"), F.col("o_at"), F.col("n"))
+    near = (F.col("o_n") <= F.col("n")) & (F.col("o_n") * 100 >= F.col("n") * percent)
+    meet = cut(firsts.join(small(firsts), "h").filter((F.col("group") != F.col("o_group")) & near & both).drop("at", "o_at"), "meet")
+    pairs = meet.join(places, ["h", "group", "n"]).join(small(places), ["h", "o_group", "o_n"]).filter(both)
+    return pairs.select(F.least("key", "o_key").alias("a"), F.greatest("key", "o_key").alias("b"))
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text_key, component_id) for every row; doc_id and text_key name it.
 
@@ -93,7 +119,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     Sets in one band are first held against the band's centre, the set that shares bands with most
     others, which links most of a group of near copies by one pair each; then those that these links
-    leave in different components against each other. All candidates are compared as whole sets.
+    leave in different components against each other, see ``_rare``. All candidates are compared as
+    whole sets.
     """
     body = F.col(f"`{text}`")
     with made() as paths:
@@ -112,10 +139,13 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         together = cut(join_groups(met.drop("met"), cut(centre, "centres"), ["band"], ["key"]).drop("times"), "bands")
         near_size = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-        def verified(pairs: DataFrame, label: str) -> DataFrame:
+        def read(wanted: DataFrame, label: str) -> DataFrame:
+            return cut(_sets(ids, cut(sets.select("key", "doc_id", "text_key").join(wanted, "key", "left_semi"), f"{label}-wanted"), size), f"{label}-sets")
+
+        def verified(pairs: DataFrame, label: str, held: DataFrame | None = None) -> DataFrame:
             pairs = cut(pairs.distinct(), f"{label}-pairs")
-            wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-            held = cut(_sets(ids, cut(sets.select("key", "doc_id", "text_key").join(wanted, "key", "left_semi"), f"{label}-wanted"), size), f"{label}-sets")
+            if held is None:
+                held = read(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), label)
             often = cut(pairs.groupBy("a").agg(F.count("*").alias("times")).join(held.select(F.col("key").alias("a"), F.col("s").alias("x")), "a"), f"{label}-left")
             both = join_groups(pairs, often, ["a"], ["b"]).join(held.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
             both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("total"))
@@ -125,11 +155,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         found = cut(_grouped(star), "grouped")
         named = together.join(found, "key", "left").select("band", "key", "n", F.coalesce("group", "key").alias("group"))
         apart = named.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi").select("band")
-        open_ = cut(named.join(apart, "band", "left_semi"), "open")
-        other = open_.select("band", F.col("key").alias("b"), F.col("n").alias("bn"), F.col("group").alias("bg"))
-        cross = open_.join(other, "band").filter((F.col("key") < F.col("b")) & (F.col("group") != F.col("bg")) & near_size(F.col("n"), F.col("bn")))
-        tested = cross.select(F.col("key").alias("a"), "b").join(star, ["a", "b"], "left_anti")
-        rest = verified(tested, "rest")
+        open_ = cut(named.join(apart, "band", "left_semi").select("key", "group").distinct(), "open")
+        held = read(open_.select("key"), "open")
+        rest = verified(_rare(held.join(open_, "key"), percent), "rest", held)
         groups = _grouped(star.union(rest))
         known = sets.select("key", "doc_id", "times").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
         ids_of = known.groupBy("group").agg(F.min("doc_id").alias("component_id"))
