@@ -171,6 +171,12 @@ def test_simhash_on_rows(spark):
     assert simhash.near_duplicates(docs(spark, texts).filter("false")).count() == 0
 
 
+def test_simhash_keys_are_never_broadcast(spark):
+    few = similar.cut(spark.createDataFrame([(i * 2654435761,) for i in range(100)], "fp long"))  # of a known size
+    plan = simhash.links(few)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_pipeline_finds_similar_texts(spark):
     import corpus_pipeline
 
