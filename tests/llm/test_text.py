@@ -232,6 +232,25 @@ def test_pairs_of_a_large_group_of_edited_copies(spark, monkeypatch):
     assert counts["rest-pairs"] < 10 * len(texts)
 
 
+def test_pipeline_links_by_fingerprints(spark, monkeypatch):
+    """Sets that share no band are linked by their fingerprints' Golay keys, if they are alike."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    base = [" ".join(f"w{rng.randint(0, 10**5)}" for _ in range(200)) for _ in range(5)]
+    texts = [*base, *(f"{t} more" for t in base), "one two", "three four"]
+    sets = [similar.shingles(t.encode()) for t in texts]
+    fps = [simhash.majority(x) for x in sets]
+    assert all((fps[i] ^ fps[i + 5]).bit_count() <= 3 for i in range(5))
+    assert fps[-1] == simhash.fingerprint(b"three four")
+    sketches = similar._sketches
+    monkeypatch.setattr(similar, "_sketches", lambda *a: sketches(*a).withColumn("bands", F.array().cast("array<bigint>")))
+    rows = similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {i: i - 5 if 5 <= i < 10 else i for i in range(12)}
+    same = spark.createDataFrame([(b"a", 100, 7), (b"b", 100, 7), (b"c", 10, 7), (b"d", 90, 8), (b"e", 90, 7 ^ 15 << 20), (b"f", 95, 6)], "key binary, n int, fp long")
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in similar._by_fingerprint(same, 80).collect()} == {(b"a", b"b"), (b"f", b"a"), (b"f", b"d")}
+
+
 def plain_windows(documents, items):
     word, low = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"), str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     split = lambda t: word.findall((t or "").translate(low))

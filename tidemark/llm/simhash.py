@@ -33,7 +33,12 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     if len(words) <= size:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     h, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.array([h(join(s), SEED) for s in zip(*(words[i:] for i in range(size)))], "<u8")  # noqa: B905
+    return majority(np.array([h(join(s), SEED) for s in zip(*(words[i:] for i in range(size)))], "<u8"))  # noqa: B905
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the unsigned 64-bit hashes; none have none."""
+    hashes = np.ascontiguousarray(hashes, "<u8")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -1,4 +1,4 @@
-"""Similar texts by word shingles: MinHash bands for candidates, whole sets compared."""
+"""Similar texts by word shingles: SimHash keys and MinHash bands for candidates, whole sets compared."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from .common import cut, join_groups, made, map_text, remove, text_key
 from .components import components
-from .simhash import SEED
+from .simhash import SEED, links, majority
 
 #: Bands of a sketch and minima in each: a pair at similarity 0.8 shares a band in 99.96% of cases.
 BANDS, ROWS = 20, 5
@@ -51,16 +51,17 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _sketches(df: DataFrame, text: str, keep: list[str], size: int) -> DataFrame:
-    """Add key (of the set: equal sets have equal ones), n and bands of every text."""
+    """Add key (of the set: equal sets have equal ones), n, fp (the set's SimHash) and bands of every text."""
 
     def make():
         def do(texts: list[bytes | None]) -> list[list]:
             sets = [shingles(t, size) for t in texts]
-            return [[_key(x) for x in sets], [len(x) for x in sets], [bands(x) for x in sets]]
+            fps = np.array([majority(x) for x in sets], np.uint64).view(np.int64)
+            return [[_key(x) for x in sets], [len(x) for x in sets], fps.tolist(), [bands(x) for x in sets]]
 
         return do
 
-    fields = [("key", T.BinaryType()), ("n", T.IntegerType()), ("bands", T.ArrayType(T.LongType()))]
+    fields = [("key", T.BinaryType()), ("n", T.IntegerType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
     return map_text(df, text, [T.StructField(n, t) for n, t in fields], make, keep)
 
 
@@ -83,6 +84,18 @@ def _sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.dropDuplicates(["key"])  # rows repeated with one id and text
 
 
+def _by_fingerprint(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b), keys of sets (key, n, fp) whose fingerprints differ in 3 bits or fewer, by the Golay
+    keys of ``simhash``: the first set of each fingerprint against those of the fingerprints that are
+    near, and against the other sets of its own."""
+    near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
+    firsts = cut(sets.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("m"), F.count("*").alias("times")), "fingerprints")
+    own = join_groups(sets.select("fp", "key", "n"), firsts.filter("times > 1"), ["fp"], ["key"]).filter((F.col("key") != F.col("m.key")) & near(F.col("n"), F.col("m.n")))
+    x, y = (firsts.select(F.col("fp").alias(side), F.col("m").alias(f"{side}_m")) for side in ("a", "b"))
+    other = cut(links(firsts).distinct(), "near").join(x, "a").join(y, "b").filter(near(F.col("a_m.n"), F.col("b_m.n")))
+    return own.select(F.col("m.key").alias("a"), F.col("key").alias("b")).union(other.select("a_m.key", "b_m.key"))
+
+
 def _rare(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b), keys of sets (key, s, group) of two groups: all pairs that reach the similarity, and few others.
 
@@ -117,8 +130,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     words are alike; rows with a null id link others but name no component; repeated rows stay; no
     rows give no rows.
 
-    Sets in one band are first held against the band's centre, the set that shares bands with most
-    others, which links most of a group of near copies by one pair each; then those that these links
+    Candidates are sets whose SimHash fingerprints differ in 3 bits or fewer, found by Golay keys as in
+    ``simhash``, and, as most pairs at 0.8 differ in more bits, sets in one MinHash band. These are
+    held against the band's centre, the set that shares bands with most others, which links most of a
+    group of near copies by one pair each; then those that these links
     leave in different components against each other, see ``_rare``. All candidates are compared as
     whole sets.
     """
@@ -127,8 +142,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         ids = df.select(F.col(f"`{doc_id}`").alias("doc_id"), text_key(body).alias("text_key"), body.alias("text"))
         each = cut(_sketches(ids, "text", ["doc_id", "text_key"], size), "sketches")
         name = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-        grouped = each.groupBy("key").agg(F.min(name).alias("least"), F.count("*").alias("times"), F.max("n").alias("n"), F.min_by("bands", name).alias("bands"))
-        sets = cut(grouped.select("key", "least.doc_id", "least.text_key", "times", "n", "bands"), "sets")
+        grouped = each.groupBy("key").agg(F.min(name).alias("least"), F.count("*").alias("times"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.min_by("bands", name).alias("bands"))
+        sets = cut(grouped.select("key", "least.doc_id", "least.text_key", "times", "n", "fp", "bands"), "sets")
         listed = sets.select("key", "n", F.explode("bands").alias("band"))
         many = cut(listed.groupBy("band").agg(F.count("*").alias("times")).filter("times > 1"), "many")
         shared = cut(join_groups(listed, many, ["band"], ["key"]), "shared")
@@ -151,7 +166,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
             both = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("common"), (F.size("x") + F.size("y")).cast("long").alias("total"))
             return cut(both.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("a", "b"), f"{label}-links")
 
-        star = verified(together.filter((F.col("key") != F.col("m.key")) & near_size(F.col("n"), F.col("m.n"))).select(F.col("m.key").alias("a"), F.col("key").alias("b")), "star")
+        about = together.filter((F.col("key") != F.col("m.key")) & near_size(F.col("n"), F.col("m.n"))).select(F.col("m.key").alias("a"), F.col("key").alias("b"))
+        star = verified(about.union(_by_fingerprint(sets, percent)), "star")
         found = cut(_grouped(star), "grouped")
         named = together.join(found, "key", "left").select("band", "key", "n", F.coalesce("group", "key").alias("group"))
         apart = named.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi").select("band")
