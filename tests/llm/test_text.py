@@ -12,6 +12,7 @@ import pytest
 import xxhash
 
 from tidemark.llm import bpe, decontaminate, line_dedup, similar, simhash, token_counts
+from tidemark.llm import components as components_of
 
 BPE, UNIGRAM = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, Decoded string"
@@ -232,6 +233,34 @@ def test_pairs_of_a_large_group_of_edited_copies(spark, monkeypatch):
     assert counts["rest-pairs"] < 10 * len(texts)
 
 
+def test_few_rows_go_to_few_files(spark, monkeypatch):
+    """Tables of a few rows are one file each though a shuffle has many partitions, and links stay whole."""
+    rng = random.Random(9)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(60)] for _ in range(40)]
+    texts = [" ".join(w) for w in base] + [" ".join([*w, f"x{i}"]) for w in base for i in range(2)]
+    files, put = {}, similar.cut
+
+    def counted(df, label="cut"):
+        out = put(df, label)
+        files.setdefault(label, []).append(len(out.inputFiles()))
+        return out
+
+    for of in (similar, components_of):
+        monkeypatch.setattr(of, "cut", counted)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {(r["doc_id"], r["component_id"]) for r in rows} == {(i, i if i < 40 else (i - 40) // 2) for i in range(120)}
+    narrow = ("many", "shared", "met", "centres", "bands", "fingerprints", "star-wanted", "grouped", "open", "open-wanted", "result")
+    assert {label: max(files[label]) for label in narrow} == dict.fromkeys(narrow, 1)
+    assert set(files["edges"][1:]) >= {1} and sum(n > 1 for n in files["edges"]) <= 2  # the first of either call is as it comes
+
+
 def test_pipeline_links_by_fingerprints(spark, monkeypatch):
     """Sets that share no band are linked by their fingerprints' Golay keys, if they are alike."""
     from pyspark.sql import functions as F

@@ -16,6 +16,8 @@ from tidemark.ship import ship
 
 #: Texts of one Python step are handed back in slices of about this many bytes.
 SLICE_BYTES = 8 << 20
+#: Narrow rows that are worth a file of their own.
+FILE_ROWS = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +60,12 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int) -> DataFrame:
+    """``df``, of narrow rows and no more than ``most`` of them, in no more partitions than these fill:
+    few rows go to few files however many partitions a shuffle has; large tables keep theirs."""
+    return df.coalesce(max(1, -(-most // FILE_ROWS)))
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], part: list[str], times: str = "times", total: int | None = None, share: int = 1000, salts: int = 32, how: str = "inner", merge: bool = False) -> DataFrame:
     """``rows`` with the columns of their group (joined by ``on``), hot groups dealt out.
 

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, small: bool = False) -> DataFrame:
     """(id, component_id) of every id with a link; component_id is the smallest id reachable.
 
     Each round is two grouped minima and two joins on the id, written to the shared folder, so
     nothing is gathered on the driver but one count and one checksum. Links that are null or
-    loops count for nothing; repeated ones count once; no links give an empty table.
+    loops count for nothing; repeated ones count once; no links give an empty table. ``small``: a
+    round's links, never more than there were before it, go to no more files than they fill.
     """
     edges = cut(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -25,7 +26,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         if not seen[0]:
             break
-        edges = cut(_small_star(_large_star(edges)), "edges")
+        stars = _small_star(_large_star(edges))
+        edges = cut(few(stars, seen[0]) if small else stars, "edges")
         now = _state(edges)
         if now == seen:
             break

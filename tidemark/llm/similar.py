@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, join_groups, made, map_text, remove, text_key
+from .common import cut, few, join_groups, made, map_text, remove, text_key
 from .components import components
 from .simhash import SEED, links, majority
 
@@ -89,7 +89,7 @@ def _by_fingerprint(sets: DataFrame, percent: int) -> DataFrame:
     keys of ``simhash``: the first set of each fingerprint against those of the fingerprints that are
     near, and against the other sets of its own."""
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    firsts = cut(sets.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("m"), F.count("*").alias("times")), "fingerprints")
+    firsts = cut(few(sets.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("m"), F.count("*").alias("times")), sets.count()), "fingerprints")
     own = join_groups(sets.select("fp", "key", "n"), firsts.filter("times > 1"), ["fp"], ["key"]).filter((F.col("key") != F.col("m.key")) & near(F.col("n"), F.col("m.n")))
     x, y = (firsts.select(F.col("fp").alias(side), F.col("m").alias(f"{side}_m")) for side in ("a", "b"))
     other = cut(links(firsts).distinct(), "near").join(x, "a").join(y, "b").filter(near(F.col("a_m.n"), F.col("b_m.n")))
@@ -144,18 +144,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         name = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
         grouped = each.groupBy("key").agg(F.min(name).alias("least"), F.count("*").alias("times"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.min_by("bands", name).alias("bands"))
         sets = cut(grouped.select("key", "least.doc_id", "least.text_key", "times", "n", "fp", "bands"), "sets")
+        total = sets.count()  # bounds the narrow tables below
         listed = sets.select("key", "n", F.explode("bands").alias("band"))
-        many = cut(listed.groupBy("band").agg(F.count("*").alias("times")).filter("times > 1"), "many")
-        shared = cut(join_groups(listed, many, ["band"], ["key"]), "shared")
+        many = cut(few(listed.groupBy("band").agg(F.count("*").alias("times")).filter("times > 1"), BANDS * total // 2), "many")
+        shared = cut(few(join_groups(listed, many, ["band"], ["key"]), BANDS * total), "shared")
         # How many others each set meets in its bands: a base meets more than its copies do.
         central = shared.groupBy("key").agg(F.sum("times").alias("met"))
-        met = cut(shared.drop("times").join(central, "key"), "met")
+        met = cut(few(shared.drop("times").join(central, "key"), BANDS * total), "met")
         centre = met.groupBy("band").agg(F.max(F.struct("met", "key", "n")).alias("m"), F.count("*").alias("times"))
-        together = cut(join_groups(met.drop("met"), cut(centre, "centres"), ["band"], ["key"]).drop("times"), "bands")
+        together = cut(few(join_groups(met.drop("met"), cut(few(centre, BANDS * total // 2), "centres"), ["band"], ["key"]).drop("times"), BANDS * total), "bands")
         near_size = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
         def read(wanted: DataFrame, label: str) -> DataFrame:
-            return cut(_sets(ids, cut(sets.select("key", "doc_id", "text_key").join(wanted, "key", "left_semi"), f"{label}-wanted"), size), f"{label}-sets")
+            return cut(_sets(ids, cut(few(sets.select("key", "doc_id", "text_key").join(wanted, "key", "left_semi"), total), f"{label}-wanted"), size), f"{label}-sets")
 
         def verified(pairs: DataFrame, label: str, held: DataFrame | None = None) -> DataFrame:
             pairs = cut(pairs.distinct(), f"{label}-pairs")
@@ -168,16 +169,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
         about = together.filter((F.col("key") != F.col("m.key")) & near_size(F.col("n"), F.col("m.n"))).select(F.col("m.key").alias("a"), F.col("key").alias("b"))
         star = verified(about.union(_by_fingerprint(sets, percent)), "star")
-        found = cut(_grouped(star), "grouped")
+        found = cut(few(_grouped(star), total), "grouped")
         named = together.join(found, "key", "left").select("band", "key", "n", F.coalesce("group", "key").alias("group"))
         apart = named.groupBy("band").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo != hi").select("band")
-        open_ = cut(named.join(apart, "band", "left_semi").select("key", "group").distinct(), "open")
+        open_ = cut(few(named.join(apart, "band", "left_semi").select("key", "group").distinct(), total), "open")
         held = read(open_.select("key"), "open")
         rest = verified(_rare(held.join(open_, "key"), percent), "rest", held)
         groups = _grouped(star.union(rest))
         known = sets.select("key", "doc_id", "times").join(groups, "key", "left").withColumn("group", F.coalesce("group", "key"))
         ids_of = known.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-        named_sets = cut(known.join(ids_of, "group").select("key", "times", "component_id"), "result")
+        named_sets = cut(few(known.join(ids_of, "group").select("key", "times", "component_id"), total), "result")
         result = cut(join_groups(each.select("doc_id", "text_key", "key"), named_sets, ["key"], ["doc_id"]).select("doc_id", "text_key", "component_id"), "components")
     remove(df.sparkSession, paths[:-1])  # the last is the result
     return result
@@ -185,4 +186,4 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 def _grouped(links: DataFrame) -> DataFrame:
     """(key, group) of every key with a link; group is the least key reachable."""
-    return components(links).withColumnRenamed("id", "key").withColumnRenamed("component_id", "group")
+    return components(links, small=True).withColumnRenamed("id", "key").withColumnRenamed("component_id", "group")
