@@ -91,15 +91,16 @@ class Frame:
     def running(self, func: str, x: Column) -> str:
         """Add sums avgs mins maxs prds ffill bfill of a column of doubles."""
         if not self.dealt():
-            whole = {"ffill": windows.fill_forward, "bfill": windows.fill_backward}.get(func)
-            return self.add(whole(x, self.window()) if whole else windows.running(func, x, self.window()))
+            if func == "bfill":
+                return self.add(windows.fill_backward(x, self.window(True)))
+            return self.add(windows.fill_forward(x, self.window()) if func == "ffill" else windows.running(func, x, self.window()))
         place, value = self.places(), self.add(x)
         name = self.fresh()
         self.df = blocks.running(self.df, func, value, name, place, self.BLOCK)
         return name
 
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.by).orderBy(*self.order)
+    def window(self, back: bool = False) -> WindowSpec:
+        return Window.partitionBy(*self.by).orderBy(*([F.desc(o) for o in self.order] if back else self.order))
 
     def ordered(self) -> DataFrame:
         return self.df.orderBy(*self.by, *self.order)

@@ -73,16 +73,15 @@ def running(df: DataFrame, func: str, value: str, name: str, place: str = "__i",
     blocked = df.withColumn("__block", F.call_function("div", F.col(place), F.lit(block).cast("long")))
     edges = blocked.groupBy("__block").agg(_edge(func, x, place).alias("__edge"))
     # A row a block: a small table, in one order.
-    if func == "bfill":
-        carried = F.first("__edge", ignorenulls=True).over(Window.orderBy("__block").rowsBetween(1, Window.unboundedFollowing))
-    else:
-        past = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-        carried = {"mins": F.min, "maxs": F.max, "prds": F.product, "ffill": lambda e: F.last(e, ignorenulls=True)}.get(func, F.sum)("__edge").over(past)
+    back = func == "bfill"
+    filled = lambda e: F.last(e, ignorenulls=True)
+    past = Window.orderBy(F.desc("__block") if back else "__block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = {"mins": F.min, "maxs": F.max, "prds": F.product, "ffill": filled, "bfill": filled}.get(func, F.sum)("__edge").over(past)
     edges = edges.select("__block", carried.alias("__carried"))
-    over = Window.partitionBy("__block").orderBy(place)
+    over = Window.partitionBy("__block").orderBy(F.desc(place) if back else place)
     c = F.col("__carried")
     if func in ("ffill", "bfill"):
-        own = (W.fill_forward if func == "ffill" else W.fill_backward)(x, over)
+        own = (W.fill_backward if back else W.fill_forward)(x, over)
         out = F.when(~F.isnan(own), own).otherwise(F.coalesce(c, own))
     elif func in ("mins", "maxs"):
         least = F.least if func == "mins" else F.greatest

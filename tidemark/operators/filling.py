@@ -43,7 +43,8 @@ def fill(df: DataFrame, width: int, tags: list[str], values: dict[str, bool], po
     joined = left.join(right, on, "left").select("s.time", *(F.col(f"s.`{t}`") for t in tags), *(F.col(f"d.`{v}`") for v in values), F.col("d.__there").isNull().alias("__new"))
     over = Window.partitionBy(*tags).orderBy("time")
     past = over.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = over.rowsBetween(1, Window.unboundedFollowing)
+    # The rows ahead, nearest last: a frame that ends with the last row is read afresh for every row.
+    ahead = Window.partitionBy(*tags).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, -1)
     out = []
     for v, is_count in values.items():
         x, new = F.col(f"`{v}`"), F.col("__new")
@@ -53,7 +54,7 @@ def fill(df: DataFrame, width: int, tags: list[str], values: dict[str, bool], po
             made = F.when(new, F.last(x, ignorenulls=True).over(past)).otherwise(x)
         elif policy == "linear":
             at = F.when(x.isNotNull(), F.struct(F.col("time").alias("t"), x.alias("x")))
-            a, b = F.last(at, ignorenulls=True).over(past), F.first(at, ignorenulls=True).over(ahead)
+            a, b = F.last(at, ignorenulls=True).over(past), F.last(at, ignorenulls=True).over(ahead)
             line = a["x"] + (b["x"] - a["x"]) * (F.col("time") - a["t"]).cast("double") / F.when(b["t"] != a["t"], (b["t"] - a["t"]).cast("double"))
             made = F.when(new, line).otherwise(x)
         elif policy == "null":

@@ -81,5 +81,7 @@ def fill_forward(x: Column, over: WindowSpec) -> Column:
     return F.coalesce(F.last(quiet(x), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0)), x)
 
 
-def fill_backward(x: Column, over: WindowSpec) -> Column:
-    return F.coalesce(F.first(quiet(x), ignorenulls=True).over(over.rowsBetween(0, Window.unboundedFollowing)), x)
+def fill_backward(x: Column, back: WindowSpec) -> Column:
+    """``back`` has the order falling: Spark reads a frame that ends with the last row afresh for
+    every row, one that begins with the first only once."""
+    return fill_forward(x, back)
