@@ -29,20 +29,24 @@ def run(spark: SparkSession, sf_dir: str, text: str) -> object:
     return Session(spark, found.get).run(text)
 
 
-def tidy(x: Column, kind: str) -> Column:
-    """Doubles to 6 places, NaN and infinities as null. The 1e-9 keeps exact halves, which the two
-    engines round by different rules, from coming up."""
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.round(x + 1e-9, 6)) if kind == "float" else x
+def tidy(x: Column, kind: str, finite: bool = True) -> Column:
+    """Doubles to 6 places, NaN and infinities as null if results are to be ``finite``. The 1e-9
+    keeps exact halves, which the two engines round by different rules, from coming up."""
+    if kind != "float":
+        return x
+    rounded = F.round(x + 1e-9, 6)
+    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), rounded) if finite else rounded
 
 
-def vector(name: str, text: str, sql: str, key: str = "event_id") -> None:
-    """A vector or table over events, by event; ``sql`` names its columns."""
+def vector(name: str, text: str, sql: str, key: str = "event_id", finite: bool = True) -> None:
+    """A vector or table over events, by event; ``sql`` names its columns. Where it gives NaN and
+    infinities, ``finite`` is false."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         got = run(spark, sf_dir, text)
         columns = {"v": got} if isinstance(got, Col) else got.columns
         first = next(iter(columns.values()))
-        return first.frame.df.select(key, *(tidy(c.x, c.kind).alias(n) for n, c in columns.items()))
+        return first.frame.df.select(key, *(tidy(c.x, c.kind, finite).alias(n) for n, c in columns.items()))
 
     QUERIES[name], ORACLE_SQL[name] = query, f"select {key}, {sql} from {E} window w as ({O}), up as ({O} rows unbounded preceding), ten as ({O} rows between 9 preceding and current row), ahead as ({O} rows between current row and unbounded following)"
 
@@ -97,7 +101,7 @@ vector("arr_scan", "{x + y}\\events.value", f"{r('sum(value) over up')} as v")
 vector("arr_scan_max", "{$[x > y; x; y]}\\events.value", f"{r('max(value) over up')} as v")
 vector("arr_each_prior", "{x * y}':events.value", f"{r('case when row_number() over w = 1 then value else value * lag(value) over w end')} as v")
 vector("arr_each", "{(x * x) + 1}'events.value", f"{r('value * value + 1')} as v")
-vector("rate_of_change", "(deltas events.value) % (deltas events.ts) % 1000000000", f"{r('(value - coalesce(lag(value) over w, 0)) / ((t::double - coalesce(lag(t::double) over w, 0)) / 1e9)')} as v")
+vector("rate_of_change", "(deltas events.value) % (deltas events.ts) % 1000000000", f"{r('(value - coalesce(lag(value) over w, 0)) / ((t::double - coalesce(lag(t::double) over w, 0)) / 1e9)')} as v", finite=False)
 QUERIES["arr_ema"] = lambda spark, sf_dir: (lambda g: g.frame.df.select("event_id", tidy(g.x, "float").alias("v")))(run(spark, sf_dir, "ema[0.5; events.value]"))
 ORACLE_SQL["arr_ema"] = f"""with o as (select event_id, value, row_number() over ({O}) as n from {E})
  select a.event_id, {r("sum(b.value * pow(0.5, a.n - b.n + case when b.n = 1 then 0 else 1 end))")} as v from o a join o b on b.n between a.n - 60 and a.n group by 1"""
