@@ -68,3 +68,46 @@ def test_filling_backward_reads_rows_once(spark, monkeypatch, large):
         e = e if math.isnan(x) else x
         want.append(e)
     assert all(a == b or (math.isnan(a) and math.isnan(b)) for a, b in zip(got, reversed(want), strict=True))
+
+
+@pytest.fixture(scope="module")
+def twice(spark, tmp_path_factory):
+    """The 100,000 events of sf0.1 two times and its orders: more rows than a block's, 20 times less than
+    the size from which an order was dealt into blocks before."""
+    folder = str(tmp_path_factory.mktemp("twice"))
+    for name in ("orders", "lineitem"):
+        spark.read.parquet(f"/root/testdata/sf0.{'1' if name == 'orders' else '001'}/{name}.parquet").coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    e = spark.read.parquet(f"/root/testdata/sf0.1/events.parquet")
+    e.withColumn("event_id", F.explode(F.array(F.col("event_id"), F.col("event_id") + 100_000))).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def stages(spark):
+    jvm, none = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    seq = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return {x.stageId(): x for x in map(seq.apply, range(seq.size()))}
+
+
+def most_rows(spark, before):
+    """The most rows of a shuffle that one task has read in the stages since ``before``."""
+    store, out = spark.sparkContext._jsc.sc().statusStore(), 0
+    for i, stage in stages(spark).items():
+        if i not in before:
+            tasks = store.taskList(i, stage.attemptId(), 10_000)
+            for t in (tasks.apply(k) for k in range(tasks.size())):
+                if t.taskMetrics().isDefined():
+                    out = max(out, t.taskMetrics().get().shuffleReadMetrics().recordsRead())
+    return out
+
+
+#: Queries of one order over all events.
+ONE_ORDER = ["arr_zip"]
+
+
+@pytest.mark.parametrize("name", ONE_ORDER)
+def test_no_task_has_all_rows(spark, twice, name):
+    from tidemark.plans.language_queries import ORACLE_SQL, QUERIES
+
+    before = set(stages(spark))
+    assert not differences(QUERIES[name](spark, twice), ORACLE_SQL[name], twice)
+    assert 0 <= most_rows(spark, before) < 150_000

@@ -20,6 +20,7 @@ from tidemark.operators import windows as W
 from tidemark.operators.aggregates import correlation, median
 from tidemark.operators.aggregates import nearest_rank as nearest_rank_rows
 from tidemark.operators.aggregates import weighted_mean
+from tidemark.operators.blocks import by_blocks
 from tidemark.operators.ema import ema, ema_blocks, smooth
 from tidemark.operators.joins import asof
 from tidemark.plans.compiler import compile_select, predicate
@@ -277,9 +278,13 @@ class Session:
             at = c.frame.places()
             return c.frame.df.select(F.col(at).alias("__i"), c.x.alias(name))
 
-        both = numbered(a, "__a").withColumn("__in", F.lit(1)).join(numbered(b, "__b").withColumn("__also", F.lit(1)), "__i", "full")
+        left, right = numbered(a, "__a"), numbered(b, "__b")
+        of = a.frame if a.frame.dealt() else b.frame
+        if of.dealt():
+            left, right = (by_blocks(x, of.rows, of.BLOCK, "__i") for x in (left, right))
+        both = left.withColumn("__in", F.lit(1)).join(right.withColumn("__also", F.lit(1)), "__i", "full")
         checked = F.when(F.col("__in").isNull() | F.col("__also").isNull(), F.raise_error(F.lit("vectors of different lengths")).cast("int")).otherwise(1)
-        frame = Frame(both.withColumn("__ok", checked).filter("__ok = 1"), ["__i"])
+        frame = of.among(both.withColumn("__ok", checked).filter("__ok = 1"), ["__i"], place="__i")
         return Col(frame, "__a", a.kind), Col(frame, "__b", b.kind)
 
     def dyad_columns(self, op: str, a: object, b: object) -> Col:
@@ -335,11 +340,7 @@ class Session:
     def position(self, c: Col) -> tuple[Frame, str]:
         """A frame with the rows' places, from 0, in a column."""
         at = c.frame.places()
-        return Frame(c.frame.df, c.frame.order, c.frame.by), at
-
-    def cut(self, c: Col, keep: Callable[[Column], Column]) -> Col:
-        f, at = self.position(c)
-        return Col(Frame(f.df.filter(keep(F.col(at))), c.frame.order, c.frame.by), c.name, c.kind)
+        return c.frame.among(c.frame.df, c.frame.order, c.frame.by, at), at
 
     def take(self, n: object, v: object) -> object:
         if not isinstance(n, int):
@@ -356,7 +357,11 @@ class Session:
         if not isinstance(n, int):
             raise LangError("drop has a number on the left")
         if isinstance(v, Col):
-            return self.cut(v, lambda at: at >= n)
+            f, at = self.position(v)
+            place, n = f.fresh(), max(n, 0)
+            out = f.among(f.df.filter(F.col(at) >= n).withColumn(place, F.col(at) - n), f.line(at), f.by, place)
+            out.rows = None if f.rows is None else max(f.rows - n, 0)
+            return Col(out, v.name, v.kind)
         if isinstance(v, Vec):
             return Vec(v.kind, v.items[max(n, 0) :])
         if isinstance(v, (list, str)):
@@ -548,7 +553,9 @@ class Session:
     def fn_rev(self, v: object) -> object:
         if isinstance(v, Col):
             f, at = self.position(v)
-            return Col(Frame(f.df.withColumn("__rev", -F.col(at)), ["__rev"]), v.name, v.kind)
+            # Where rows are counted their new places are known, and needn't be sorted for.
+            last = f.rows - 1 if f.dealt() else 0
+            return Col(f.among(f.df.withColumn("__rev", last - F.col(at)), ["__rev"], place="__rev" if f.dealt() else None), v.name, v.kind)
         return Vec(v.kind, v.items[::-1]) if isinstance(v, Vec) else v[::-1]
 
     def fn_asc(self, v: object) -> object:
@@ -561,9 +568,9 @@ class Session:
         if kind_of(v) not in ("int[]", "float[]"):
             raise LangError(f"{kind_of(v)} can't be sorted")
         if isinstance(v, Col):
-            f, at = self.position(v)
-            key = -v.x if down else v.x
-            return Col(Frame(f.df.withColumn("__key", key).withColumn("__tie", F.col(at)), ["__key", "__tie"]), v.name, v.kind)
+            f = v.frame
+            key = f.add(-v.x if down else v.x)
+            return Col(f.among(f.df, [key, *f.by, *f.order]), v.name, v.kind)
         return Vec(v.kind, sorted(v.items, key=lambda x: (math.isnan(x), -x if down else x)))
 
     def fn_distinct(self, v: object) -> object:
@@ -593,7 +600,7 @@ class Session:
             raise LangError(f"where of {kind_of(v)}")
         if isinstance(v, Col):
             f, at = self.position(v)
-            return Col(Frame(f.df.filter(v.x), v.frame.order, v.frame.by), at, "int")
+            return Col(f.among(f.df.filter(v.x), f.line(at), f.by), at, "int")
         return Vec("int", [i for i, x in enumerate(v.items) if x])
 
     def fn_prev(self, v: object) -> object:
@@ -651,8 +658,8 @@ class Session:
         if isinstance(v, Col):
             f = v.frame
             value, place = f.add(self.double(v)), f.places() if f.dealt() else None
-            out = ema_blocks(f.df, float(alpha), value, "__ema", place, f.BLOCK) if place else ema(f.df, float(alpha), value, f.order, f.by, "__ema")
-            return Col(Frame(out, f.order, f.by), "__ema", "float")
+            out = ema_blocks(f.df, float(alpha), value, "__ema", place, f.BLOCK, f.rows) if place else ema(f.df, float(alpha), value, f.order, f.by, "__ema")
+            return Col(f.among(out, f.order, f.by, place), "__ema", "float")
         return Vec("float", smooth(self.floats(v), float(alpha)))
 
     def call_xbar(self, d: object, v: object) -> object:
@@ -739,7 +746,7 @@ class Session:
         if kind_of(i) == "bool[]":
             if isinstance(v, Col) or isinstance(i, Col):
                 a, b = self.zip(*(x if isinstance(x, Col) else self.spread(x) for x in (v, i)))
-                return Col(Frame(a.frame.df.filter(b.x), a.frame.order, a.frame.by), a.name, a.kind)
+                return Col(a.frame.among(a.frame.df.filter(b.x), a.frame.order, a.frame.by), a.name, a.kind)
             if len(v) != len(i):
                 raise LangError(f"lengths {len(v)} and {len(i)}")
             return Vec(v.kind, [x for x, m in zip(v.items, i.items, strict=True) if m])
@@ -747,10 +754,14 @@ class Session:
             if i.kind != "int":
                 raise LangError(f"an index of {kind_of(i)}")
             f, at = self.position(v if isinstance(v, Col) else self.spread(v))
-            g, to = self.position(i)
+            g, order = i.frame, [*i.frame.by, *i.frame.order]
+            named = [f"__q{n}" for n in range(len(order))]
             values = f.df.select(F.col(at).alias("__p"), F.col(f"`{v.name if isinstance(v, Col) else '__x'}`").alias("__w"))
-            places = g.df.select(F.col(to).alias("__q"), i.x.alias("__p"))
-            return Col(Frame(places.join(values, "__p"), ["__q"]), "__w", v.kind)
+            places = g.df.select(*(F.col(f"`{o}`").alias(q) for o, q in zip(order, named, strict=True)), i.x.alias("__p"))
+            of = f if f.dealt() else g
+            if of.dealt():
+                values, places = (by_blocks(x, of.rows, of.BLOCK, "__p") for x in (values, places))
+            return Col(g.among(places.join(values, "__p"), named), "__w", v.kind)
         if isinstance(v, Col):
             n = self.fn_count(v) if any(x < 0 for x in (i.items if isinstance(i, Vec) else [i])) else 0
             wanted = [x + n if x < 0 else x for x in (i.items if isinstance(i, Vec) else [i])]
@@ -849,7 +860,10 @@ class Session:
         if kind == "':":
             x = v.x
             before = Col(v.frame, v.frame.windowed(lambda over: F.lag(x).over(over), 1), v.kind)
-            first = Col(v.frame, v.frame.windowed(lambda over: F.row_number().over(over) == 1, 1), "bool")
+            if v.frame.dealt():
+                first = Col(v.frame, v.frame.add(F.col(v.frame.places()) == 0), "bool")
+            else:
+                first = Col(v.frame, v.frame.windowed(lambda over: F.row_number().over(over) == 1, 1), "bool")
             got = self.apply(f, [v, before], env)
             return Col(v.frame, v.frame.add(F.when(first.x, v.x).otherwise(got.x)), got.kind)
         body = f.body if isinstance(f, Lambda) else None

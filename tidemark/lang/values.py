@@ -44,13 +44,26 @@ class Frame:
     """Rows with a total order. Vectors of one frame are columns of one growing DataFrame, so
     operators between them need no join; Catalyst drops what isn't used."""
 
-    #: Size (as planned) from which one order over all rows is dealt into blocks, and rows of one.
+    #: Size (as planned) from which rows are counted, and the rows of a block: one order over more is
+    #: dealt into blocks.
     LARGE, BLOCK = blocks.LARGE, blocks.BLOCK
 
     def __init__(self, df: DataFrame, order: list[str], by: list[str] | None = None):
         self.df, self.order, self.by, self.made = df, order, by or [], 0
         self.place: str | None = None
         self._large: bool | None = None
+        #: Of a large frame: its rows, or where it has no places yet those it may have at most.
+        self.rows: int | None = None
+
+    def among(self, df: DataFrame, order: list[str], by: list[str] | None = None, place: str | None = None) -> Frame:
+        """A frame of some of these rows, or of as many; with ``place``, of as many."""
+        f = Frame(df, order, by)
+        f.place, f._large, f.rows = place, self.dealt(), self.rows
+        return f
+
+    def line(self, at: str) -> list[str]:
+        """The order of this frame's rows, by one column where their places ``at`` tell it."""
+        return self.order if self.by else [at]
 
     def fresh(self) -> str:
         self.made += 1
@@ -66,7 +79,8 @@ class Frame:
     def dealt(self) -> bool:
         """Whether the order is dealt into blocks: one order over many rows."""
         if self._large is None:
-            self._large = not self.by and blocks.is_large(self.df, self.LARGE)
+            self.rows = None if self.by else blocks.many(self.df, self.LARGE, self.BLOCK)
+            self._large = self.rows is not None
         return self._large
 
     def places(self) -> str:
@@ -74,7 +88,7 @@ class Frame:
         if self.place is None or self.place not in self.df.columns:
             if self.dealt():
                 self.place = self.fresh()
-                self.df = blocks.numbered(self.df, self.order, self.place)
+                self.df, self.rows = blocks.numbered(self.df, [F.col(f"`{o}`") for o in self.order], self.place, self.rows, self.BLOCK)
             else:
                 over = Window.orderBy(*[F.col(f"`{o}`") for o in [*self.by, *self.order]])
                 self.place = self.add((F.row_number().over(over) - 1).cast("long"))
@@ -85,7 +99,7 @@ class Frame:
         if not self.dealt():
             return self.add(build(self.window()))
         place, name = self.places(), self.fresh()
-        self.df = blocks.near(self.df, {name: build}, before, after, place, self.BLOCK)
+        self.df = blocks.near(self.df, {name: build}, before, after, place, self.BLOCK, self.rows)
         return name
 
     def running(self, func: str, x: Column) -> str:
@@ -96,7 +110,7 @@ class Frame:
             return self.add(windows.fill_forward(x, self.window()) if func == "ffill" else windows.running(func, x, self.window()))
         place, value = self.places(), self.add(x)
         name = self.fresh()
-        self.df = blocks.running(self.df, func, value, name, place, self.BLOCK)
+        self.df = blocks.running(self.df, func, value, name, place, self.BLOCK, self.rows)
         return name
 
     def window(self, back: bool = False) -> WindowSpec:

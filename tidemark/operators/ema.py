@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.ship import ship
 
-from .blocks import BLOCK
+from .blocks import BLOCK, by_blocks
 
 
 def smooth(values, alpha: float, start: float | None = None) -> list[float]:
@@ -24,13 +24,14 @@ def smooth(values, alpha: float, start: float | None = None) -> list[float]:
     return out
 
 
-def ema(df: DataFrame, alpha: float, value: str, order: list[str], by: list[str] | None = None, name: str = "ema", later: float | None = None) -> DataFrame:
+def ema(df: DataFrame, alpha: float, value: str, order: list[str], by: list[str] | None = None, name: str = "ema", later: float | None = None, dealt: DataFrame | None = None) -> DataFrame:
     """``df`` with ``name``. Rows are dealt by ``by`` and sorted within partitions; the loop streams
     over batches and holds one number a series, so a long series needs no memory. ``later`` is what
-    series but those of key 0 start from."""
+    series but those of key 0 start from; ``dealt``, the same rows where they are dealt by ``by`` already."""
     by = by or []
     ship(df.sparkSession)
-    dealt = df.repartition(*by) if by else df.repartition(1)
+    if dealt is None:
+        dealt = df.repartition(*by) if by else df.repartition(1)
     ordered = dealt.sortWithinPartitions(*by, *order)
     schema = T.StructType([*(f for f in df.schema if f.name != name), T.StructField(name, T.DoubleType())])
 
@@ -54,11 +55,11 @@ def ema(df: DataFrame, alpha: float, value: str, order: list[str], by: list[str]
     return ordered.mapInArrow(run, schema)
 
 
-def ema_blocks(df: DataFrame, alpha: float, value: str, name: str = "ema", place: str = "__i", block: int = BLOCK) -> DataFrame:
+def ema_blocks(df: DataFrame, alpha: float, value: str, name: str = "ema", place: str = "__i", block: int = BLOCK, rows: int | None = None) -> DataFrame:
     """The same of one long series whose rows have their places: each block smooths from 0, and what
     the blocks before come to fades by (1 - alpha) a row. A row a block is carried along in one task."""
     blocked = df.withColumn("__block", F.call_function("div", F.col(place), F.lit(block).cast("long")))
-    local = ema(blocked, alpha, value, [place], ["__block"], "__local", later=0.0)
+    local = ema(blocked, alpha, value, [place], ["__block"], "__local", later=0.0, dealt=None if rows is None else by_blocks(blocked, rows, block))
     edges = local.groupBy("__block").agg(F.max_by("__local", place).alias("end"), F.count("*").alias("n"))
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -73,4 +74,4 @@ def ema_blocks(df: DataFrame, alpha: float, value: str, name: str = "ema", place
     carried = edges.repartition(1).sortWithinPartitions("__block").mapInPandas(carry, "__block long, __carried double")
     faded = F.pow(F.lit(1 - alpha), F.col(place) % block + 1) * F.col("__carried")
     out = F.when(F.col("__block") == 0, F.col("__local")).otherwise(F.col("__local") + faded)
-    return local.join(carried, "__block").withColumn(name, out).drop("__block", "__local", "__carried")
+    return local.join(F.broadcast(carried), "__block").withColumn(name, out).drop("__block", "__local", "__carried")

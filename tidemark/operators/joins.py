@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, is_large, last_hit, numbered
+from .blocks import BLOCK, last_hit, many, numbered
 
 
 def asof(
@@ -24,8 +24,10 @@ def asof(
     b = right.select(F.col(ts).alias("t"), F.lit(0).alias("side"), (F.col(right_order) if right_order else F.lit(0)).cast("long").alias("seq"), F.struct(F.col(value).alias("v")).alias("hit"), *(F.col(k).alias(f"k_{k}") for k in by))
     both = a.unionByName(b, allowMissingColumns=True)
     order = ["t", "side", "seq"]
-    if not by and (is_large(both) if blocks is None else blocks):
-        carried = last_hit(numbered(both, order), "hit", "found", block=block)
+    rows = None if by or blocks is False else both.count() if blocks else many(both, block=block)
+    if rows is not None:
+        placed, rows = numbered(both, order, rows=rows, block=block)
+        carried = last_hit(placed, "hit", "found", block=block, rows=rows)
     else:
         over = Window.partitionBy(*[f"k_{k}" for k in by]).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         carried = both.withColumn("found", F.last("hit", ignorenulls=True).over(over))
