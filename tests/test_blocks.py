@@ -101,7 +101,7 @@ def most_rows(spark, before):
 
 
 #: Queries of one order over all events.
-ONE_ORDER = ["arr_zip"]
+ONE_ORDER = ["arr_zip", "arr_index"]
 
 
 @pytest.mark.parametrize("name", ONE_ORDER)
@@ -109,5 +109,7 @@ def test_no_task_has_all_rows(spark, twice, name):
     from tidemark.plans.language_queries import ORACLE_SQL, QUERIES
 
     before = set(stages(spark))
-    assert not differences(QUERIES[name](spark, twice), ORACLE_SQL[name], twice)
+    # DuckDB joins by pairs unless the number of events is a literal.
+    sql = ORACLE_SQL[name].replace("(select count(*) from events) - 1", "200000 - 1")
+    assert not differences(QUERIES[name](spark, twice), sql, twice)
     assert 0 <= most_rows(spark, before) < 150_000
