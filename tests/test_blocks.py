@@ -101,7 +101,7 @@ def most_rows(spark, before):
 
 
 #: Queries of one order over all events.
-ONE_ORDER = ["arr_zip", "arr_index"]
+ONE_ORDER = ["arr_zip", "arr_index", "lang_zscore"]
 
 
 @pytest.mark.parametrize("name", ONE_ORDER)
