@@ -101,7 +101,7 @@ def most_rows(spark, before):
 
 
 #: Queries of one order over all events.
-ONE_ORDER = ["arr_zip", "arr_index", "lang_zscore"]
+ONE_ORDER = ["arr_zip", "arr_index", "lang_zscore", "lang_two_measurements"]
 
 
 @pytest.mark.parametrize("name", ONE_ORDER)
