@@ -113,3 +113,21 @@ def test_no_task_has_all_rows(spark, twice, name):
     sql = ORACLE_SQL[name].replace("(select count(*) from events) - 1", "200000 - 1")
     assert not differences(QUERIES[name](spark, twice), sql, twice)
     assert 0 <= most_rows(spark, before) < 150_000
+
+
+def test_ema_has_no_task_of_all_rows(spark, twice):
+    """Against the recurrence itself; the SQL joins each event with the 60 before."""
+    import duckdb
+
+    from tidemark.plans.language_queries import QUERIES, E, O
+
+    before = set(stages(spark))
+    got = {r["event_id"]: r["v"] for r in QUERIES["arr_ema"](spark, twice).collect()}
+    assert most_rows(spark, before) < 150_000
+    e, db = None, duckdb.connect()
+    db.execute(f"create view events as select * from '{twice}/events.parquet/*.parquet'")
+    rows = db.execute(f"select event_id, value from {E} {O}").fetchall()
+    for i, x in rows:
+        e = x if e is None else 0.5 * x + 0.5 * e
+        assert abs(got[i] - e) < 2e-6
+    assert len(rows) == len(got) == 200_000
