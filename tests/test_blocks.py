@@ -101,7 +101,7 @@ def most_rows(spark, before):
 
 
 #: Queries of one order over all events.
-ONE_ORDER = ["arr_zip", "arr_index", "lang_zscore", "lang_two_measurements", "arr_asc", "arr_desc", "arr_wma", "arr_rev", "arr_deltas"]
+ONE_ORDER = ["arr_zip", "arr_index", "lang_zscore", "lang_two_measurements", "arr_asc", "arr_desc", "arr_wma", "arr_rev", "arr_deltas", "arr_ffill"]
 
 
 @pytest.mark.parametrize("name", ONE_ORDER)
