@@ -101,7 +101,7 @@ def most_rows(spark, before):
 
 
 #: Queries of one order over all events.
-ONE_ORDER = ["arr_zip", "arr_index", "lang_zscore", "lang_two_measurements", "arr_asc", "arr_desc", "arr_wma", "arr_rev", "arr_deltas", "arr_ffill", "arr_find", "arr_find_none", "arr_ratios", "arr_avgs", "arr_drop", "arr_each_prior", "arr_mavg", "arr_maxs"]
+ONE_ORDER = ["arr_zip", "arr_index", "lang_zscore", "lang_two_measurements", "arr_asc", "arr_desc", "arr_wma", "arr_rev", "arr_deltas", "arr_ffill", "arr_find", "arr_find_none", "arr_ratios", "arr_avgs", "arr_drop", "arr_each_prior", "arr_mavg", "arr_maxs", "arr_mcount"]
 
 
 @pytest.mark.parametrize("name", ONE_ORDER)
