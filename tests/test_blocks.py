@@ -105,9 +105,10 @@ ONE_ORDER = ["arr_zip", "arr_index", "lang_zscore", "lang_two_measurements", "ar
 
 
 @pytest.mark.parametrize("name", ONE_ORDER)
-def test_no_task_has_all_rows(spark, twice, name):
+def test_no_task_has_all_rows(spark, twice, monkeypatch, name):
     from tidemark.plans.language_queries import ORACLE_SQL, QUERIES
 
+    monkeypatch.setattr(Frame, "BLOCK", 20_000)  # of two blocks both may fall to one task
     before = set(stages(spark))
     # DuckDB joins by pairs unless the number of events is a literal.
     sql = ORACLE_SQL[name].replace("(select count(*) from events) - 1", "200000 - 1")
@@ -115,12 +116,13 @@ def test_no_task_has_all_rows(spark, twice, name):
     assert 0 <= most_rows(spark, before) < 150_000
 
 
-def test_ema_has_no_task_of_all_rows(spark, twice):
+def test_ema_has_no_task_of_all_rows(spark, twice, monkeypatch):
     """Against the recurrence itself; the SQL joins each event with the 60 before."""
     import duckdb
 
     from tidemark.plans.language_queries import QUERIES, E, O
 
+    monkeypatch.setattr(Frame, "BLOCK", 20_000)  # of two blocks both may fall to one task
     before = set(stages(spark))
     got = {r["event_id"]: r["v"] for r in QUERIES["arr_ema"](spark, twice).collect()}
     assert most_rows(spark, before) < 150_000

@@ -56,8 +56,8 @@ def numbered(df: DataFrame, order: list[Column | str], name: str = "__i", rows:
 
 
 def by_blocks(df: DataFrame, rows: int | None, block: int = BLOCK, *keys: str) -> DataFrame:
-    """``df`` dealt by ``__block``, or ``keys``, over twice as many tasks as there are blocks among
-    ``rows``: two blocks in one task are rare, and five are the most to be met."""
+    """``df`` dealt by ``__block``, or ``keys``, by hash over twice as many tasks as there are blocks
+    among ``rows``, so that a task has few blocks however many there are."""
     return df if rows is None else df.repartition(2 * max(1, -(-rows // block)), *(keys or ("__block",)))
 
 
